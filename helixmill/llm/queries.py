@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from helixmill.llm import packing, url_rules
+from helixmill.llm import bpe, packing, quality_rules, url_rules
 
 
 def queries():
-    return {"op6_url_filter": url_rules.op6_url_filter, "op7_packing": packing.op7_packing}
+    return {"op4_quality": quality_rules.op4_quality, "op6_url_filter": url_rules.op6_url_filter, "op7_packing": packing.op7_packing, "op9_bpe": bpe.op9_bpe}
 
 
 def oracle_sql():
