@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from helixmill.llm import bpe, packing, quality_rules, url_rules
+from helixmill.llm import bpe, html_extract, license_scan, order_minhash, packing, quality_rules, url_rules
 
 
 def queries():
-    return {"op4_quality": quality_rules.op4_quality, "op6_url_filter": url_rules.op6_url_filter, "op7_packing": packing.op7_packing, "op9_bpe": bpe.op9_bpe}
+    return {"op2_license_scan": license_scan.op2_license_scan, "op3_order_minhash": order_minhash.op3_order_minhash, "op4_quality": quality_rules.op4_quality, "op6_url_filter": url_rules.op6_url_filter, "op7_packing": packing.op7_packing, "op8_html_extract": html_extract.op8_html_extract, "op9_bpe": bpe.op9_bpe}
 
 
 def oracle_sql():
