@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
-from helixmill.llm import bpe, html_extract, license_scan, order_minhash, packing, quality_rules, substring_dedup, url_rules
+from helixmill.llm import bpe, html_extract, license_scan, line_dedup, order_minhash, packing, quality_rules, substring_dedup, url_rules
 
 
 def queries():
-    return {"op1_substring_dedup": substring_dedup.op1_substring_dedup, "op2_license_scan": license_scan.op2_license_scan, "op3_order_minhash": order_minhash.op3_order_minhash, "op4_quality": quality_rules.op4_quality, "op6_url_filter": url_rules.op6_url_filter, "op7_packing": packing.op7_packing, "op8_html_extract": html_extract.op8_html_extract, "op9_bpe": bpe.op9_bpe}
+    return {
+        "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+        "op2_license_scan": license_scan.op2_license_scan,
+        "op3_order_minhash": order_minhash.op3_order_minhash,
+        "op4_quality": quality_rules.op4_quality,
+        "op5_line_dedup": line_dedup.op5_line_dedup,
+        "op6_url_filter": url_rules.op6_url_filter,
+        "op7_packing": packing.op7_packing,
+        "op8_html_extract": html_extract.op8_html_extract,
+        "op9_bpe": bpe.op9_bpe,
+    }
 
 
 def oracle_sql():
