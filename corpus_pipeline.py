@@ -9,11 +9,17 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from helixmill.llm import line_dedup, ngram_jaccard, packing, quality_rules, substring_dedup
 from helixmill.llm.common import ensure_checkpoint_dir
 
 
+def counted(docs: DataFrame) -> DataFrame:
+    """n_chars of the texts as they are now."""
+    return docs.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")) if "n_chars" in docs.columns else docs
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     return quality_rules.keep_quality(docs)
@@ -21,7 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier one, or nearly do, go; each document stays."""
-    return line_dedup.drop_repeated_lines(docs)
+    return counted(line_dedup.drop_repeated_lines(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 100 bytes that occur earlier go; each document stays."""
-    return substring_dedup.drop_repeated_strings(docs)
+    return counted(substring_dedup.drop_repeated_strings(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
