@@ -8,10 +8,10 @@ the smaller ones fill the smallest gap that takes them, largest first.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,23 +25,27 @@ CAPACITY = 2048
 
 
 class Encoder:
-    """Token ids of a text by a `tokenizers` file, with a memory of chunks that always encode alike."""
+    """Token ids by a `tokenizers` file, with a memory of chunks that always encode alike; new ones are encoded together."""
 
     def __init__(self, path: str, most: int = 400_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
         self.tokenizer.encode_special_tokens = True
 
+    def many(self, texts: list[str]) -> Iterator[np.ndarray]:
+        if len(self.known) > self.most:
+            self.known.clear()
+        chunks, known = [spaced_chunks(t) for t in texts], self.known
+        new = list({c for x in chunks for c in x if c not in known})
+        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            known[c] = np.array(e.ids, "<u4").tobytes()
+        for x in chunks:
+            yield np.frombuffer(b"".join(map(known.__getitem__, x)), "<u4")
+
     def ids(self, text: str) -> np.ndarray:
-        chunks, known = spaced_chunks(text), self.known
-        if new := [c for c in dict.fromkeys(chunks) if c not in known]:
-            if len(known) > self.most:
-                known.clear()
-                new = list(dict.fromkeys(chunks))
-            for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[c] = tuple(e.ids)
-        return np.fromiter(chain.from_iterable(map(known.__getitem__, chunks)), dtype=np.uint32)
+        return next(self.many([text]))
 
 
 @lru_cache(1)
@@ -137,12 +141,12 @@ def tokenised_pieces(docs: DataFrame, path: str, end: int = 0, capacity: int = C
     """A row per piece: key, piece, start, length, ids_crc32 and, if asked for, ids. Null text is an empty one, which is the end id alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).ids
+        own_encoder = encoder(path)
         for batch in batches:
             for part in text_slices(batch, "text"):
                 rows, ids_out = [], []
-                for k, t in zip(part.column("key").to_pylist(), texts_of(part.column("text"))):
-                    ids = np.append(encode(t), np.uint32(end)).astype("<u4")
+                for k, ids in zip(part.column("key").to_pylist(), own_encoder.many(texts_of(part.column("text")))):
+                    ids = np.append(ids, np.uint32(end)).astype("<u4")
                     for i, (start, n) in enumerate(cut(len(ids), capacity)):
                         own = ids[start : start + n]
                         rows.append((k, i, start, n, zlib.crc32(own.tobytes())))
