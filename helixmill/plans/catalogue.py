@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from helixmill.plans import q_kmers
+from helixmill.plans.registry import QUERIES, SQL
+
 
 def entry(spark: SparkSession) -> DataFrame:
-    raise NotImplementedError
+    """k-mer entropy of the smallest tables."""
+    return q_kmers.a03_a09_entropy_summary(spark, "/root/testdata/sf0.001")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
