@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixmill.plans import q_kmers
+from helixmill.plans import q_intervals, q_kmers  # noqa: F401
 from helixmill.plans.registry import QUERIES, SQL
 
 
