@@ -100,7 +100,7 @@ def task_label(read_id: Column) -> Column:
 
 
 def age_rank(subfamily: Column) -> Column:
-    """A key that sorts subfamilies from young to old, other old ones and the background last."""
+    """A key that sorts subfamilies from young to old, other old ones and the background last. The number is the first in the name, as the rule is written, so L1PA* share that of L1."""
     number = F.coalesce(F.nullif(F.regexp_extract(subfamily, "[0-9]+", 0), F.lit("")).cast("int"), F.lit(99))
     first = F.when(subfamily == "L1HS", 0).when(subfamily.startswith("L1PA"), 1).when(subfamily.startswith("L1P"), 2).when(subfamily == "NEGATIVE", 9).otherwise(5)
     return F.struct(first.alias("era"), F.when(first == 1, number).otherwise(0).alias("number"), subfamily.alias("name"))
