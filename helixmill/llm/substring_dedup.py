@@ -1,7 +1,7 @@
 """Removal of byte strings that occur earlier in the corpus, by suffix arrays.
 
 A string of 100 bytes cannot meet every other one in one task. Each text therefore sends anchors: the places where the hash
-of 32 bytes is the smallest among the 32-byte runs of some 100-byte string. Equal strings have equal anchors at equal
+of 32 bytes is the smallest among the 32-byte runs of a 100-byte string. Equal strings have equal anchors at equal
 offsets, so two places can only be equal where an anchor hash comes twice. Anchors with the same whole surroundings are one
 class, decided by its first member; where surroundings differ, one member of each class sends its bytes, and a suffix array
 over them gives the strings of 100 bytes that two classes share. Rows are combined before each shuffle, and a text is
@@ -11,6 +11,7 @@ sent in compressed form, never all strings of it.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,24 +57,38 @@ def sliding(x: np.ndarray, w: int, op) -> np.ndarray:
     return op(x[: len(x) - (w - m)], x[w - m :]) if w > m else x
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes of runs, places of anchors in `data`, their documents). Ties are all anchors."""
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of runs; places of anchors in `data`; first and last start of the strings that have this anchor).
+
+    A string's anchor is the leftmost smallest of its runs, so each string of `length` bytes inside a document has one.
+    """
     w = length - GRAM + 1
     none = np.empty(0, np.int64)
     if len(data) < length:
-        return np.empty(0, U), none, none
+        return np.empty(0, U), none, none, none
     h = gram_hashes(data)
     low = sliding(h, w, np.minimum)  # of the string that starts here
     ok = np.zeros(len(low) + 1, np.int8)
-    sizes = np.diff(offsets)
-    long = sizes >= length
+    long = np.diff(offsets) >= length
     np.add.at(ok, offsets[:-1][long], 1)
     np.add.at(ok, offsets[1:][long] - length + 1, -1)
-    low = np.where(np.cumsum(ok[:-1]) > 0, low, U(0))
+    ok = np.cumsum(ok[:-1]) > 0
+    new = ok.copy()
+    new[1:] &= ~ok[:-1] | (low[1:] != low[:-1]) | (low[:-1] == h[: len(low) - 1])
+    new[offsets[:-1][long]] = True
+    first = np.flatnonzero(new)
+    if not len(first):
+        return h, none, none, none
+    stop = ok.copy()
+    stop[:-1] &= ~ok[1:] | new[1:]
+    last = np.flatnonzero(stop)
+    least = low[last]
     pad = np.zeros(w - 1, U)
-    best = sliding(np.concatenate((pad, low, pad)), w, np.maximum)
-    at = np.flatnonzero(best == h)
-    return h, at, np.searchsorted(offsets, at, side="right") - 1
+    at = np.flatnonzero(sliding(np.concatenate((pad, np.where(ok, low, U(0)), pad)), w, np.maximum) == h)
+    i = np.searchsorted(at, last)
+    while len(off := np.flatnonzero(h[at[i]] != least)):
+        i[off] += 1
+    return h, at[i], first, last
 
 
 def _digest(h: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -89,15 +104,14 @@ def _digest(h: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
 def anchor_rows(doc: np.ndarray, data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
     """For each anchor: hash, hash of its surroundings, document, packed place, packed hashes of its two half surroundings.
 
-    The surroundings are what strings of `length` bytes around the run can reach inside the document. A half, with the
-    run, is contained in every string that reaches at least so far to its side; 0 stands for a half that does not fit.
+    The surroundings are what the strings of `length` bytes with this anchor cover. A half, with the run, is contained in
+    every string that reaches at least so far to its side; 0 stands for a half that does not fit.
     """
-    h, at, owner = anchors(data, offsets, length)
-    side = length - GRAM
-    start = np.maximum(at - side, offsets[owner])
-    stop = np.minimum(at + length, offsets[owner + 1])
+    h, at, start, last = anchors(data, offsets, length)
+    stop = last + length
+    owner = np.searchsorted(offsets, at, side="right") - 1
     whole = _digest(h, start, stop)
-    half = side // 2
+    half = (length - GRAM) // 2
     a, b = at - half, at + GRAM + half
     left = np.where(a >= start, _digest(h, np.maximum(a, start), at + GRAM) >> U(33) | U(1), U(0))
     right = np.where(b <= stop, _digest(h, at, np.minimum(b, stop)) >> U(33) | U(1), U(0))
@@ -216,33 +230,40 @@ def _shared(group: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 def shared_strings(contexts: list[tuple[int, int, bytes]], length: int = LENGTH) -> list[tuple[int, int]]:
     """Of stretches (document, start, bytes): (document, start) of each string of `length` bytes that starts earlier as well."""
-    text: list[int] = []
-    home: list[tuple[int, int]] = []  # for each place of the joined stretches: document and place in it
-    left: list[int] = []
     m = len(contexts)
-    for i, (doc, start, data) in enumerate(contexts):
-        text += [b + m + 1 for b in data]
-        text.append(m - i)  # closes a stretch; no other place has it
-        home += [(doc, start + j) for j in range(len(data) + 1)]
-        left += range(len(data), -1, -1)
+    text: list[int] = []
+    begins: list[int] = []
+    whole = bytearray()  # marks the places where a string of `length` bytes fits
+    for i, (_, _, data) in enumerate(contexts):
+        begins.append(len(text))
+        text.extend([b + m for b in data])
+        text.append(m - i - 1)  # closes a stretch; no other place has it, the last one is the smallest
+        fits = max(0, len(data) - length + 1)
+        whole += b"\1" * fits + bytes(len(data) + 1 - fits)
     joined = b"\0".join(c[2] for c in contexts) + b"\0"
-    text.append(0)
     out: list[tuple[int, int]] = []
     run: list[int] = []
+    last = b""
 
     def close() -> None:
-        if len(run) > 1:
-            first = min(home[i] for i in run)
-            out.extend(home[i] for i in run if home[i] != first)
+        places = []
+        for s in run:
+            i = bisect_right(begins, s) - 1
+            places.append((contexts[i][0], contexts[i][1] + s - begins[i]))
+        first = min(places)
+        out.extend(p for p in places if p != first)
 
     for s in suffix_array(text):
-        if s >= len(left) or left[s] < length:
-            continue
-        if run and joined[s : s + length] != joined[run[-1] : run[-1] + length]:
-            close()
-            run = []
-        run.append(s)
-    close()
+        if whole[s]:
+            own = joined[s : s + length]
+            if own == last:
+                run.append(s)
+            else:
+                if len(run) > 1:
+                    close()
+                run, last = [s], own
+    if len(run) > 1:
+        close()
     return out
 
 
@@ -274,7 +295,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
 
     own = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.struct(*(docs[c] for c in kept)).alias("row"))
     row = own.schema["row"].dataType.simpleString()
-    texts = own.mapInArrow(zipped, f"doc long, row {row}, packed binary").repartition(n, "doc")
+    texts = own.mapInArrow(zipped, f"doc long not null, row {row}, packed binary").repartition(n, "doc")
 
     def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -30,6 +30,22 @@ def suffix_array(text: Sequence[int]) -> list[int]:
     last = n - 1
     while last > 0:
         start = group[place[last]]
+        if start == last:  # alone: no counting
+            s = place[last]
+            p = s - 1
+            while p >= 0 and group[p] >= start:
+                p = before[p]
+            before[s] = p
+            if p >= 0:
+                old = group[p]
+                stop = end[old]
+                if stop != old:
+                    other, at = place[stop], where[p]
+                    place[at], where[other], place[stop], where[p] = other, at, p, stop
+                    group[p] = end[stop] = stop
+                    end[old] = stop - 1
+            last = start - 1
+            continue
         members = sorted(place[start : last + 1])
         hits: dict[int, int] = {}
         for s in members:
@@ -40,8 +56,14 @@ def suffix_array(text: Sequence[int]) -> list[int]:
             if p >= 0:
                 hits[p] = hits.get(p, 0) + 1
         by_count: dict[int, dict[int, list[int]]] = {}
-        for p, k in hits.items():
-            by_count.setdefault(k, {}).setdefault(group[p], []).append(p)
+        if len(hits) == len(members) or len(hits) == 1:
+            own: dict[int, list[int]] = {}
+            for p in hits:
+                own.setdefault(group[p], []).append(p)
+            by_count[1] = own
+        else:
+            for p, k in hits.items():
+                by_count.setdefault(k, {}).setdefault(group[p], []).append(p)
         for k in sorted(by_count, reverse=True):
             for old, moved in by_count[k].items():
                 stop = end[old]
