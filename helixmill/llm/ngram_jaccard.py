@@ -165,7 +165,7 @@ def add_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def prefixes(batches: Iterator[pa.RecordBatch], cells: np.ndarray, words: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """(shingle, set, size) of each set's prefix; a set that comes again in a batch is sent once."""
+    """(shingle, set, size) of each set's prefix; a set that comes again in a batch is sent once. In all lists the size's low 32 bits hold the shingle's place in the set's order."""
     for batch in batches:
         seen = np.empty(0, np.int64)
         for part in text_slices(batch, "text"):
@@ -183,7 +183,7 @@ def prefixes(batches: Iterator[pa.RecordBatch], cells: np.ndarray, words: int, p
             n = np.bincount(d, minlength=part.num_rows)
             place = np.arange(len(d)) - (np.cumsum(n) - n)[d]
             sent = place <= (n - least_overlap(n, percent))[d]
-            yield pa.RecordBatch.from_arrays([pa.array(h[sent].view(np.int64)), pa.array(name[d[sent]]), pa.array(size[d[sent]])], ["shingle", "set", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[sent].view(np.int64)), pa.array(name[d[sent]]), pa.array(size[d[sent]] << 32 | place[sent])], ["shingle", "set", "size"])
 
 
 def _lists(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> tuple[list[np.ndarray], np.ndarray] | None:
@@ -216,25 +216,36 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[new], b[new]
 
 
+def possible(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets that meet in a list can link, if it is their first common shingle: what stands before it in either is not shared.
+
+    A pair that links passes in the list of its first common shingle, so it is enough to keep those that pass somewhere.
+    """
+    n, m = x >> 32, y >> 32
+    most = np.minimum(n - (x & 0xFFFFFFFF), m - (y & 0xFFFFFFFF))
+    return 100 * most >= percent * (n + m - most)
+
+
 def first_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of short lists, and of each member with the smallest of a long one (kind 0); the rows of long lists (kind 1)."""
+    """Pairs of short lists, and of each member of a long one with that which has the least before the shingle (kind 0); the rows of long lists (kind 1)."""
     got = _lists(batches, ("shingle", "set", "size"))
     if got is None:
         return
     (token, name, size), n = got
-    alike = lambda x, y: 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
     a, b = [], []
     for k in range(1, SHORT):
         i = np.flatnonzero((token[k:] == token[:-k]) & (n[k:] <= SHORT)) if len(token) > k else np.empty(0, np.int64)
-        i = i[alike(size[i], size[i + k])]
+        i = i[possible(size[i], size[i + k], percent)]
         a.append(name[i])
         b.append(name[i + k])
     long = n > SHORT
     t, m, s = token[long], name[long], size[long]
+    order = np.lexsort((m, ((s & 0xFFFFFFFF) << 20) // (s >> 32), t))
+    t, m, s = t[order], m[order], s[order]
     head = np.ones(len(t), bool)
     head[1:] = t[1:] != t[:-1]
     first = np.maximum.accumulate(np.where(head, np.arange(len(t)), 0))
-    i = np.flatnonzero(~head & alike(s, s[first])) if len(t) else np.empty(0, np.int64)
+    i = np.flatnonzero(~head & possible(s, s[first], percent)) if len(t) else np.empty(0, np.int64)
     x, y = _pairs(np.concatenate([*a, m[first[i]]]), np.concatenate([*b, m[i]]))
     kind = np.concatenate((np.zeros(len(x), np.int8), np.ones(len(t), np.int8)))
     join = lambda p, q: pa.array(np.concatenate((p, q)))
@@ -242,7 +253,7 @@ def first_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
 
 
 def cross_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Of long lists, pairs of members that are not in one component."""
+    """Of long lists, pairs of members that can link and are not in one component."""
     got = _lists(batches, ("shingle", "set", "size", "comp"))
     if got is None:
         return
@@ -255,16 +266,17 @@ def cross_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
 
     edges = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.empty(0, np.int64)
     for lo, hi in zip(edges, np.append(edges[1:], len(token))):
-        order = lo + np.argsort(size[lo:hi], kind="stable")
-        c, s, m = comp[order], size[order], name[order]
-        if (c == c[0]).all():
+        if (comp[lo:hi] == comp[lo]).all():
             continue
-        for i in range(len(order) - 1):
-            stop = int(np.searchsorted(s, 100 * s[i] // percent, side="right"))
-            other = np.flatnonzero(c[i + 1 : stop] != c[i]) + i + 1
+        every = lo + np.argsort(size[lo:hi] >> 32, kind="stable")
+        n = size[every] >> 32
+        for i in range(len(every) - 1):
+            stop = int(np.searchsorted(n, 100 * n[i] // percent, side="right"))
+            other = every[i + 1 : stop]
+            other = other[(comp[other] != comp[every[i]]) & possible(size[other], size[every[i]], percent)]
             if len(other):
-                a.append(np.full(len(other), m[i]))
-                b.append(m[other])
+                a.append(np.full(len(other), name[every[i]]))
+                b.append(name[other])
                 held += len(other)
             if held > 2_000_000:
                 yield out()
