@@ -43,9 +43,14 @@ def probes(line: Column, n: Column, t: int) -> list[tuple[Column, Column, Column
     return out
 
 
-def keys(line: Column, n: Column, wanted: list[tuple[Column, Column, Column, Column]]) -> Column:
-    """An array of hashes; null where a substring doesn't lie inside the line."""
-    return F.array_compact(F.array_distinct(F.array(*(F.when((a >= 0) & (size >= 1) & (a + size <= n), F.xxhash64(m, i, F.substring(line, a + 1, size))) for m, i, a, size in wanted))))
+def key_rows(lines: DataFrame, wanted: list[tuple[Column, Column, Column, Column]], doc: str, place: str) -> DataFrame:
+    """(key, doc, place) for each wanted substring that lies inside the line; place holds the line's number and length. lines: doc, no, line, n.
+
+    The hashes are columns of one projection before they are exploded, so that all of it is compiled.
+    """
+    hashes = [F.when((at >= 0) & (size >= 1) & (at + size <= F.col("n")), F.xxhash64(m, i, F.substring("line", at + 1, size))).alias(f"_h{j}") for j, (m, i, at, size) in enumerate(wanted)]
+    wide = lines.select(F.col("doc").alias(doc), F.shiftleft(F.col("no").cast("long"), 32).bitwiseOR(F.col("n").cast("long")).alias(place), *hashes)
+    return wide.select(doc, place, F.explode(F.array(*(f"_h{j}" for j in range(len(hashes))))).alias("key")).where(F.col("key").isNotNull())
 
 
 def within(a: Column, b: Column, t: int) -> Column:
@@ -76,12 +81,15 @@ def within(a: Column, b: Column, t: int) -> Column:
 
 
 def meeting_pairs(lines: DataFrame, t: int = DISTANCE) -> DataFrame:
-    """lines: distinct texts `line` known by `id` (any orderable struct). Pairs of ids (a, b), a < b, that agree in a segment."""
-    n = F.length("line")
-    filed = lines.select("id", n.alias("n"), F.explode(keys(F.col("line"), n, segments(F.col("line"), n, t))).alias("key"))
-    asked = lines.select(F.col("id").alias("other"), n.alias("m"), F.explode(keys(F.col("line"), n, probes(F.col("line"), n, t))).alias("key"))
-    met = filed.join(asked, "key").where((F.col("id") != F.col("other")) & (F.col("m") - F.col("n")).between(0, t))
-    return met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    """lines: distinct texts `line` known by their first place (doc, no). Pairs of places (a, b), a < b, that agree in a segment."""
+    n = F.col("n")
+    lines = lines.withColumn("n", F.length("line"))
+    filed = key_rows(lines, segments(F.col("line"), n, t), "doc", "place")
+    asked = key_rows(lines, probes(F.col("line"), n, t), "other", "at")
+    size = lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1))
+    met = filed.join(asked, "key").where(((F.col("doc") != F.col("other")) | (F.col("place") != F.col("at"))) & (size("at") - size("place")).between(0, t))
+    x, y = (F.struct(F.col(d).alias("doc"), F.shiftright(p, 32).cast("int").alias("no")) for d, p in (("doc", "place"), ("other", "at")))
+    return met.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
 def docs_by_key(docs: DataFrame, key: str) -> DataFrame:
@@ -108,16 +116,17 @@ def dedup_lines(docs: DataFrame, t: int = DISTANCE, least: int = LEAST_CHARS, ke
     split = F.split(F.element_at("_rows", 1).getField(text), "\n")
 
     def with_text(ids: DataFrame) -> DataFrame:
-        """ids: structs (doc, no); adds their lines, from the documents where they first stand."""
+        """ids: structs (doc, no); their lines, from the documents where they first stand."""
         wanted = ids.groupBy(F.col("id.doc").alias("_key")).agg(F.collect_set("id.no").alias("_nos"))
         one = own.join(wanted, "_key").select("_key", split.alias("_lines"), "_nos")
         one = one.select("_key", "_lines", F.explode("_nos").alias("_no"))
-        return one.select(F.struct(F.col("_key").alias("doc"), F.col("_no").alias("no")).alias("id"), F.get("_lines", F.col("_no")).alias("line"))
+        return one.select(F.col("_key").alias("doc"), F.col("_no").alias("no"), F.get("_lines", F.col("_no")).alias("line"))
 
     pairs = meeting_pairs(with_text(firsts.select("id")), t)
     met = with_text(pairs.select(F.explode(F.array("a", "b")).alias("id")))
-    left, right = (met.select(F.col("id").alias(c), F.split("line", "").alias(f"{c}_chars")) for c in ("a", "b"))
-    near = pairs.join(left, "a").join(right, "b").where(within(F.col("a_chars"), F.col("b_chars"), t)).select(F.col("b").alias("id")).distinct().withColumn("near", F.lit(True))
+    left, right = (met.select(F.struct("doc", "no").alias(c), F.col("line").alias(f"{c}_line")) for c in ("a", "b"))
+    both = pairs.join(left, "a").join(right, "b").select("b", F.split("a_line", "").alias("x"), F.split("b_line", "").alias("y"))
+    near = both.where(within(F.col("x"), F.col("y"), t)).select(F.col("b").alias("id")).distinct().withColumn("near", F.lit(True))
     judged = firsts.join(near, "id", "left")
     gone = places.join(judged, ["h", "g"]).select("doc", "no", F.struct("doc", "no").eqNullSafe(F.col("id")).alias("first"), "near").where(~F.col("first") | F.col("near"))
     cuts = gone.groupBy(F.col("doc").alias("_key")).agg(F.collect_set(F.when(~F.col("first"), F.col("no"))).alias("exact"), F.collect_set(F.when(F.col("first"), F.col("no"))).alias("nears"))
