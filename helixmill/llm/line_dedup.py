@@ -125,8 +125,9 @@ def dedup_lines(docs: DataFrame, t: int = DISTANCE, least: int = LEAST_CHARS, ke
     pairs = meeting_pairs(with_text(firsts.select("id")), t)
     met = with_text(pairs.select(F.explode(F.array("a", "b")).alias("id")))
     left, right = (met.select(F.struct("doc", "no").alias(c), F.col("line").alias(f"{c}_line")) for c in ("a", "b"))
-    both = pairs.join(left, "a").join(right, "b").select("b", F.split("a_line", "").alias("x"), F.split("b_line", "").alias("y"))
-    near = both.where(within(F.col("x"), F.col("y"), t)).select(F.col("b").alias("id")).distinct().withColumn("near", F.lit(True))
+    chars = F.array(F.struct(F.split("a_line", "").alias("x"), F.split("b_line", "").alias("y")))  # an argument of a lambda is worked out once
+    alike = F.exists(chars, lambda s: within(s["x"], s["y"], t))
+    near = pairs.join(left, "a").join(right, "b").where(alike).select(F.col("b").alias("id")).distinct().withColumn("near", F.lit(True))
     judged = firsts.join(near, "id", "left")
     gone = places.join(judged, ["h", "g"]).select("doc", "no", F.struct("doc", "no").eqNullSafe(F.col("id")).alias("first"), "near").where(~F.col("first") | F.col("near"))
     cuts = gone.groupBy(F.col("doc").alias("_key")).agg(F.collect_set(F.when(~F.col("first"), F.col("no"))).alias("exact"), F.collect_set(F.when(F.col("first"), F.col("no"))).alias("nears"))
