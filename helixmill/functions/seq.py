@@ -118,7 +118,7 @@ def parse_region(region: Column) -> Column:
     """chr:start-end(strand) as a struct; anything else raises an error."""
     at = lambda i: F.regexp_extract(region, r"^(chr\w+):(\d+)-(\d+)\(([+-])\)", i)
     good = F.when(region.isNotNull() & (at(1) == ""), F.raise_error(F.concat(F.lit("bad region: "), region)).cast("string")).otherwise(at(1))
-    return F.struct(good.alias("chrom"), at(2).cast("bigint").alias("start"), at(3).cast("bigint").alias("end"), at(4).alias("strand"))
+    return F.struct(good.alias("chrom"), at(2).try_cast("bigint").alias("start"), at(3).try_cast("bigint").alias("end"), at(4).alias("strand"))
 
 
 def parse_locus_name(name: Column) -> Column:

@@ -47,7 +47,7 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
         f *= c * d
         if abs(1 - c * d) < 1e-14:
             break
-    return front * f
+    return front * (f - 1)
 
 
 def correlation_p(r: float, df: int) -> float:

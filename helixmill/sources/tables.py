@@ -59,7 +59,7 @@ def read_feature_counts(spark: SparkSession, path: str) -> DataFrame:
     """geneid, target, category, region, strand, library, count: one row for each count column."""
     t = spark.read.csv(path, sep="\t", header=True, comment="#")
     libs = t.columns[6:]
-    long = t.unpivot(["Geneid"], libs, "library", "count") if libs else t.select("Geneid", F.lit(None).cast("string").alias("library"), F.lit(None).cast("string").alias("count"))
+    long = t.unpivot(["Geneid"], [f"`{c}`" for c in libs], "library", "count") if libs else t.select("Geneid", F.lit(None).cast("string").alias("library"), F.lit(None).cast("string").alias("count"))
     part = lambda i: F.regexp_extract("Geneid", r"^([^.]+)\.([^.]+)\.([^.]+)\.([^.]+)$", i)
     return long.select(F.col("Geneid").alias("geneid"), part(1).alias("target"), part(2).alias("category"), part(3).alias("region"), part(4).alias("strand"), "library", F.col("count").cast("double").alias("count"))
 
@@ -145,13 +145,13 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
 def read_composition(spark: SparkSession, path: str) -> DataFrame:
     """split, class, n: thousands separators are taken out."""
     t = spark.read.csv(path, header=True, quote='"')
-    return t.unpivot([t.columns[0]], t.columns[1:], "class", "n").select(F.col(t.columns[0]).alias("split"), "class", F.regexp_replace("n", ",", "").cast("bigint").alias("n"))
+    return t.unpivot([F.col(f"`{t.columns[0]}`")], [f"`{c}`" for c in t.columns[1:]], "class", "n").select(F.col(t.columns[0]).alias("split"), "class", F.regexp_replace("n", ",", "").cast("bigint").alias("n"))
 
 
 def read_strata(spark: SparkSession, path: str, axis: str) -> DataFrame:
     """axis, method, stratum, value of a matrix with a method per row and a stratum per column."""
     t = spark.read.csv(path, header=True)
-    return t.unpivot([t.columns[0]], t.columns[1:], "stratum", "value").select(F.lit(axis).alias("axis"), F.col(t.columns[0]).alias("method"), "stratum", F.col("value").cast("double").alias("value"))
+    return t.unpivot([F.col(f"`{t.columns[0]}`")], [f"`{c}`" for c in t.columns[1:]], "stratum", "value").select(F.lit(axis).alias("axis"), F.col(t.columns[0]).alias("method"), "stratum", F.col("value").cast("double").alias("value"))
 
 
 def write_scores(scores: DataFrame, path: str, key: str, classes: list[str]) -> None:
