@@ -134,7 +134,7 @@ def min_max(rows: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
     return rows.withColumns({"_lo": lo, "_hi": hi}).withColumn(out, F.coalesce((F.col(value) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0)), F.lit(0.5))).drop("_lo", "_hi")
 
 
-#: Named sets of loci; each is a predicate on value, pct (of the method's own total), reference and common.
+#: Named sets of loci; each is a predicate on value, unit, pct (of the method's own total), reference and common.
 LOCUS_SETS = {
     "F0_all": lambda: F.lit(True),
     "F1_common": lambda: F.col("common"),
@@ -142,11 +142,12 @@ LOCUS_SETS = {
     "F3_scalefree": lambda: (F.col("reference") > 1) | (F.col("pct") < 1),
     "F4_support": lambda: F.col("pct") >= 0.1,
     "F5_common_detected": lambda: F.col("common") & (F.col("reference") > 0),
+    "F6_unit_aware": lambda: F.when(F.col("unit") == "TPM", F.col("reference") > 1).otherwise((F.col("reference") > 1) | (F.col("value") < 1)),
 }
 
 
 def definition_grid(rows: DataFrame, sets: dict = LOCUS_SETS) -> DataFrame:
-    """Each method's fit in each set of loci, with the number and share of loci that the set removes. rows: locus, method, value, pct, reference, common."""
+    """Each method's fit in each set of loci, with the number and share of loci that the set removes. rows: locus, method, unit, value, pct, reference, common."""
     est = rows.where(F.col("value").isNotNull())
     every = est.groupBy("method").agg(F.count("*").alias("_all"))
     marked = est.select("*", F.explode(F.array(*(F.struct(F.lit(n).alias("name"), f().alias("on")) for n, f in sets.items()))).alias("s")).where("s.on").withColumn("filter_def", F.col("s.name")).drop("s")
@@ -245,3 +246,15 @@ def protocol_contrast(profiles: DataFrame, arm: str, treated: str, control: str,
     """Ratio of a share in the treated to that in the control arm, and whether it rose."""
     t, c = (profiles.where(F.col(arm) == a).select(F.col(share).alias(n)) for a, n in ((treated, "_t"), (control, "_c")))
     return t.crossJoin(c).select(F.col("_t").alias("treated"), F.col("_c").alias("control"), (F.col("_t") / F.nullif("_c", F.lit(0))).alias("ratio")).withColumn("rises", F.col("ratio") > 1)
+
+
+def packed_blocks(rows: DataFrame, shard: str, order: str, ids: str, size: int) -> DataFrame:
+    """(shard, block, ids): a shard's arrays joined end to end in order and cut into blocks of `size`; the rest of a shard goes.
+
+    A shard is a bounded batch of rows; offsets are running sums of sizes inside it.
+    """
+    w = Window.partitionBy(shard).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    at = rows.select(shard, F.col(ids).alias("_ids"), (F.sum(F.size(ids)).over(w) - F.size(ids)).alias("_from"))
+    one = at.select(shard, "_from", F.posexplode("_ids").alias("_i", "_id")).withColumn("_at", F.col("_from") + F.col("_i"))
+    blocks = one.groupBy(shard, F.floor(F.col("_at") / size).alias("block")).agg(F.array_sort(F.collect_list(F.struct("_at", "_id"))).alias("_x"))
+    return blocks.where(F.size("_x") == size).select(shard, "block", F.transform("_x", lambda x: x["_id"]).alias(ids))

@@ -30,7 +30,7 @@ def loci(spark, d):
     names = spark.createDataFrame([(m,) for m in M], ["method"])
     g = reference(spark, d).crossJoin(F.broadcast(names)).join(values(spark, d), ["locus", "method"], "left")
     g = O.percent_of_total(g, ["method"], "value")
-    return g.withColumn("common", F.count("value").over(Window.partitionBy("locus")) == 3)
+    return g.withColumn("common", F.count("value").over(Window.partitionBy("locus")) == 3).withColumn("unit", F.when(F.col("method") == "R", "TPM").otherwise("RPM"))
 
 
 @query(f"WITH {BASE} SELECT locus, reference IS NOT NULL AS in_reference, max(value) FILTER (WHERE method = 'A') AS A, max(value) FILTER (WHERE method = 'N') AS N, max(value) FILTER (WHERE method = 'R') AS R FROM g GROUP BY ALL")
@@ -117,21 +117,17 @@ def w02_dominant(spark, d):
     return O.dominant(loci(spark, d).where("value is not null"), ["method"], "locus", "value")
 
 
-@query("WITH c AS (SELECT doc_id, length(text) AS n FROM documents), o AS (SELECT doc_id, sum(n) OVER (ORDER BY doc_id) - n AS s, n FROM c), x AS (SELECT (s + i) // 1000 AS block, doc_id FROM o, unnest(range(0, n)) t(i)) SELECT block::BIGINT AS block, count(*) AS size, count(DISTINCT doc_id) AS docs FROM x WHERE doc_id < 100 GROUP BY block HAVING count(*) = 1000")
-def w04_blocks(spark, d):
-    """Token arrays of a shard joined end to end and cut into blocks; the tail goes. A shard here is the first 100 documents' characters, its offsets a running sum."""
-    from pyspark.sql import Window
-
-    c = table(spark, d, "documents").where("doc_id < 100").select("doc_id", F.length("text").alias("n"))
-    o = c.withColumn("s", F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
-    parts = o.where("n > 0").select("doc_id", "s", "n", F.explode(F.sequence(F.floor(F.col("s") / 1000), F.floor((F.col("s") + F.col("n") - 1) / 1000))).alias("block"))
-    size = F.least(F.col("s") + F.col("n"), (F.col("block") + 1) * 1000) - F.greatest(F.col("s"), F.col("block") * 1000)
-    return parts.withColumn("b", size).groupBy("block").agg(F.sum("b").alias("size"), F.count("*").alias("docs")).where("size = 1000")
+@query("""WITH w AS (SELECT doc_id // 50 AS shard, doc_id, i, length(string_split(text, ' ')[i]) AS id FROM documents, unnest(range(1, len(string_split(text, ' ')) + 1)) t(i)), o AS (SELECT shard, id, row_number() OVER (PARTITION BY shard ORDER BY doc_id, i) - 1 AS p FROM w)
+SELECT shard, p // 512 AS block, sum(id)::BIGINT AS total, min(id)::BIGINT AS low, count(*) AS n FROM o GROUP BY ALL HAVING count(*) = 512""")
+def w04_packed_blocks(spark, d):
+    x = table(spark, d, "documents").select(F.floor(F.col("doc_id") / 50).alias("shard"), "doc_id", F.transform(F.split("text", " "), lambda w: F.length(w).cast("bigint")).alias("ids"))
+    b = O.packed_blocks(x, "shard", "doc_id", "ids", 512)
+    return b.select("shard", "block", F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, y: a + y).alias("total"), F.array_min("ids").alias("low"), F.size("ids").cast("bigint").alias("n"))
 
 
 FIT = "CASE WHEN count(*) >= 3 THEN pow(covar_pop({x}, {y}) / nullif(stddev_pop({x}) * stddev_pop({y}), 0), 2) END"
 GRIDQ = f"""{BASE}, e AS (SELECT * FROM g WHERE value IS NOT NULL), s AS (SELECT 'F0_all' AS filter_def, * FROM e UNION ALL SELECT 'F1_common', * FROM e WHERE common UNION ALL SELECT 'F2_published', * FROM e WHERE reference > 1 OR value < 1 UNION ALL SELECT 'F3_scalefree', * FROM e WHERE reference > 1 OR pct < 1
-UNION ALL SELECT 'F4_support', * FROM e WHERE pct >= 0.1 UNION ALL SELECT 'F5_common_detected', * FROM e WHERE common AND reference > 0), k AS (SELECT *, rank() OVER (PARTITION BY filter_def, method ORDER BY reference) + (count(*) OVER (PARTITION BY filter_def, method, reference) - 1) / 2 AS rx, rank() OVER (PARTITION BY filter_def, method ORDER BY value) + (count(*) OVER (PARTITION BY filter_def, method, value) - 1) / 2 AS ry FROM s),
+UNION ALL SELECT 'F4_support', * FROM e WHERE pct >= 0.1 UNION ALL SELECT 'F5_common_detected', * FROM e WHERE common AND reference > 0 UNION ALL SELECT 'F6_unit_aware', * FROM e WHERE reference > 1 OR (method <> 'R' AND value < 1)), k AS (SELECT *, rank() OVER (PARTITION BY filter_def, method ORDER BY reference) + (count(*) OVER (PARTITION BY filter_def, method, reference) - 1) / 2 AS rx, rank() OVER (PARTITION BY filter_def, method ORDER BY value) + (count(*) OVER (PARTITION BY filter_def, method, value) - 1) / 2 AS ry FROM s),
 al AS (SELECT method, count(*) AS al FROM e GROUP BY method), dg AS (SELECT filter_def, method, count(*) AS n, {FIT.format(x='reference', y='value')} AS r2, CASE WHEN count(*) >= 3 THEN covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0) END AS rho FROM k GROUP BY ALL)"""
 
 
