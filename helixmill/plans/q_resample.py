@@ -45,7 +45,7 @@ def r11_entropy_interval(spark, d):
     return rounded(R.entropy_interval(x, "l_partkey", "c", 40), "h", "low", "high")
 
 
-@query("SELECT round(log2(sum(c)) - sum(c * log2(c)) / sum(c), 6) AS h, round(h - 1.959963984540054 * sqrt((sum(c / n * pow(log2(c / n), 2)) - h * h) / sum(c)), 6) AS low, round(h + 1.959963984540054 * sqrt((sum(c / n * pow(log2(c / n), 2)) - h * h) / sum(c)), 6) AS high FROM (SELECT count(*)::DOUBLE AS c, sum(count(*)) OVER () AS n FROM lineitem GROUP BY l_partkey)")
+@query("WITH c AS (SELECT count(*)::DOUBLE AS c, sum(count(*)) OVER () AS n FROM lineitem GROUP BY l_partkey), x AS (SELECT log2(sum(c)) - sum(c * log2(c)) / sum(c) AS e, sum(c / n * pow(log2(c / n), 2)) AS s, sum(c) AS t FROM c) SELECT round(e, 6) AS h, round(e - 1.959963984540054 * sqrt((s - e * e) / t), 6) AS low, round(e + 1.959963984540054 * sqrt((s - e * e) / t), 6) AS high FROM x")
 def r11_entropy_interval_normal(spark, d):
     x = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("c"))
     return rounded(R.entropy_interval(x, "l_partkey", "c", most_types=1), "h", "low", "high")
@@ -123,18 +123,18 @@ def r03_partial_p(spark, d):
     return rounded(x.withColumn("p", r_p_value("r", F.col("n") - 3)), "r", "p")
 
 
-@query("SELECT l_partkey AS kmer, round(avg(l_extendedprice), 4) AS mean, count(*) AS n, arg_max(l_returnflag, l_extendedprice) AS domain FROM lineitem GROUP BY 1 HAVING count(*) >= 2")
+@query("SELECT l_partkey AS kmer, round(avg(l_extendedprice), 6) AS mean, count(*) AS n, arg_max(l_returnflag, l_extendedprice) AS domain FROM lineitem GROUP BY 1 HAVING count(*) >= 2")
 def a33_kmer_ranks(spark, d):
     x = lines(spark, d).withColumnRenamed("l_partkey", "kmer")
-    return R.kmer_rank_table(x, "kmer", "v", "l_returnflag").withColumn("mean", F.round("mean", 4))
+    return R.kmer_rank_table(x, "kmer", "v", "l_returnflag").withColumn("mean", F.round("mean", 6))
 
 
-@query("SELECT l_partkey // 50 AS bin, round(avg(l_extendedprice), 4) AS mean, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) >= 5")
+@query("SELECT l_partkey // 50 AS bin, round(avg(l_extendedprice), 6) AS mean, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) >= 5")
 def a34_binned_profile(spark, d):
-    return R.binned_profile(lines(spark, d), "l_partkey", "v").withColumn("mean", F.round("mean", 4))
+    return R.binned_profile(lines(spark, d), "l_partkey", "v").withColumn("mean", F.round("mean", 6))
 
 
-@query("WITH k AS (SELECT l_partkey AS kmer, round(avg(l_extendedprice), 4) AS mean FROM lineitem GROUP BY 1 HAVING count(*) >= 2) SELECT *, 'low' AS side FROM (SELECT * FROM k ORDER BY mean, kmer LIMIT 12) UNION ALL SELECT *, 'high' FROM (SELECT * FROM k ORDER BY mean DESC, kmer LIMIT 12)")
+@query("WITH k AS (SELECT l_partkey AS kmer, round(avg(l_extendedprice), 6) AS mean FROM lineitem GROUP BY 1 HAVING count(*) >= 2) SELECT *, 'low' AS side FROM (SELECT * FROM k ORDER BY mean, kmer LIMIT 12) UNION ALL SELECT *, 'high' FROM (SELECT * FROM k ORDER BY mean DESC, kmer LIMIT 12)")
 def t04_both_ends(spark, d):
-    k = R.kmer_rank_table(lines(spark, d).withColumnRenamed("l_partkey", "kmer"), "kmer", "v", "l_returnflag").select("kmer", F.round("mean", 4).alias("mean"))
+    k = R.kmer_rank_table(lines(spark, d).withColumnRenamed("l_partkey", "kmer"), "kmer", "v", "l_returnflag").select("kmer", F.round("mean", 6).alias("mean"))
     return R.both_ends(k)

@@ -30,7 +30,7 @@ def compare(spark, con, query, sql, sf_dir):
         if isinstance(x, bool):
             return str(x)
         if isinstance(x, (int, float)) or type(x).__name__ == "Decimal":
-            return f"{float(x) + 0.0:.6g}" if float(x) else "0"
+            return f"{float(x) + 0.0:.12g}" if float(x) else "0"
         return str(x)
 
     a, b = key(got), key(want)
@@ -57,7 +57,7 @@ if __name__ == "__main__":
     from helixmill.plans import catalogue
 
     tmp = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark = SparkSession.builder.master("local[3]").config("spark.sql.shuffle.partitions", "6").config("spark.ui.enabled", "false").config("spark.driver.memory", "4g").config("spark.sql.session.timeZone", "UTC").config("spark.local.dir", tmp).config("spark.sql.warehouse.dir", tmp).config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    spark = SparkSession.builder.master(f"local[{os.environ.get('ORACLE_CPUS', '3')}]").config("spark.sql.shuffle.partitions", "6").config("spark.ui.enabled", "false").config("spark.driver.memory", "4g").config("spark.sql.session.timeZone", "UTC").config("spark.local.dir", tmp).config("spark.sql.warehouse.dir", tmp).config("spark.ui.showConsoleProgress", "false").getOrCreate()
     spark.sparkContext.setLogLevel("OFF")
     sf, names = sys.argv[1], sys.argv[2:]
     con = connect(sf)
