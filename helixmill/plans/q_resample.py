@@ -123,18 +123,18 @@ def r03_partial_p(spark, d):
     return rounded(x.withColumn("p", r_p_value("r", F.col("n") - 3)), "r", "p")
 
 
-@query("SELECT l_partkey AS kmer, round(avg(l_extendedprice), 6) AS mean, count(*) AS n, arg_max(l_returnflag, l_extendedprice) AS domain FROM lineitem GROUP BY 1 HAVING count(*) >= 2")
+@query("SELECT l_partkey AS kmer, round(avg(l_extendedprice), 8) AS mean, count(*) AS n, arg_max(l_returnflag, l_extendedprice) AS domain FROM lineitem GROUP BY 1 HAVING count(*) >= 2")
 def a33_kmer_ranks(spark, d):
     x = lines(spark, d).withColumnRenamed("l_partkey", "kmer")
-    return R.kmer_rank_table(x, "kmer", "v", "l_returnflag").withColumn("mean", F.round("mean", 6))
+    return R.kmer_rank_table(x, "kmer", "v", "l_returnflag").withColumn("mean", F.round("mean", 8))
 
 
-@query("SELECT l_partkey // 50 AS bin, round(avg(l_extendedprice), 6) AS mean, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) >= 5")
+@query("SELECT l_partkey // 50 AS bin, round(avg(l_extendedprice), 8) AS mean, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) >= 5")
 def a34_binned_profile(spark, d):
-    return R.binned_profile(lines(spark, d), "l_partkey", "v").withColumn("mean", F.round("mean", 6))
+    return R.binned_profile(lines(spark, d), "l_partkey", "v").withColumn("mean", F.round("mean", 8))
 
 
-@query("WITH k AS (SELECT l_partkey AS kmer, round(avg(l_extendedprice), 6) AS mean FROM lineitem GROUP BY 1 HAVING count(*) >= 2) SELECT *, 'low' AS side FROM (SELECT * FROM k ORDER BY mean, kmer LIMIT 12) UNION ALL SELECT *, 'high' FROM (SELECT * FROM k ORDER BY mean DESC, kmer LIMIT 12)")
+@query("WITH k AS (SELECT l_partkey AS kmer, round(avg(l_extendedprice), 8) AS mean FROM lineitem GROUP BY 1 HAVING count(*) >= 2) SELECT *, 'low' AS side FROM (SELECT * FROM k ORDER BY mean, kmer LIMIT 12) UNION ALL SELECT *, 'high' FROM (SELECT * FROM k ORDER BY mean DESC, kmer LIMIT 12)")
 def t04_both_ends(spark, d):
-    k = R.kmer_rank_table(lines(spark, d).withColumnRenamed("l_partkey", "kmer"), "kmer", "v", "l_returnflag").select("kmer", F.round("mean", 6).alias("mean"))
+    k = R.kmer_rank_table(lines(spark, d).withColumnRenamed("l_partkey", "kmer"), "kmer", "v", "l_returnflag").select("kmer", F.round("mean", 8).alias("mean"))
     return R.both_ends(k)
