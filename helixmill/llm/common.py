@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 from collections.abc import Iterator
 
@@ -54,6 +53,3 @@ def int64s(column: pa.Array) -> np.ndarray:
     """Null: the smallest number."""
     return np.asarray(pa.compute.fill_null(column, np.iinfo(np.int64).min), dtype=np.int64)
 
-
-def vocabulary_dir() -> str:
-    return os.environ.get("HELIXMILL_TOKENIZERS", "/opt/tokenizers")

@@ -384,7 +384,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     Texts are lower-cased in A-Z and divided at ASCII white space; a set is the distinct runs of `words` words, or all words
     if they are fewer; null, empty and blank texts have an empty set and no link. Rows link if 100 * common shingles are at
     least percent * all shingles of the two. Rows with equal texts link, so do rows that repeat a key. A null key counts as
-    the smallest number. Other columns are dropped; an empty table gives an empty result. Sets are compared by 64-bit hashes.
+    the smallest number, -2^63, in component_id. Other columns are dropped; an empty table gives an empty result. Sets are compared by 64-bit hashes.
     """
     import zstandard
 
@@ -435,13 +435,14 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     labelled = rows.join(comps, "set", "left").select("key", "size", F.when(F.col("size") > 0, F.coalesce("comp", "set")).alias("comp"))
     smallest = labelled.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("key").alias("component_id"))
     out = labelled.join(smallest, "comp", "left")
-    return out.select(F.col("key").alias(key), F.col("size").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
+    return out.select(F.nullif("key", F.lit(-(2**63))).alias(key), F.col("size").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows of `docs` whose key is the smallest of its component; rows that repeat a key are one row."""
-    found = jaccard_components(docs).where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_key")).distinct()
-    return docs.join(found, F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))) == F.col("_key"), "left_semi").dropDuplicates([key])
+    number = F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)))
+    found = jaccard_components(docs).where(number == F.col("component_id")).select(number.alias("_key")).distinct()
+    return docs.join(found, number == F.col("_key"), "left_semi").dropDuplicates([key])
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
