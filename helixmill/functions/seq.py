@@ -53,6 +53,7 @@ def splitmix_bucket(code: pd.Series, buckets: pd.Series) -> pd.Series:
     """splitmix64 of a code, modulo the number of buckets. Unsigned 64-bit arithmetic, which SQL types don't have."""
     import numpy as np
 
+    # fixed values: the shifts and factors of splitmix64
     x = code.to_numpy().astype(np.uint64)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -107,6 +108,7 @@ def age_rank(subfamily: Column) -> Column:
 
 
 def display_group(label: Column) -> Column:
+    """The names of the groups."""
     u = F.upper(label)
     return (
         F.when(u == "NEGATIVE", "NEGATIVE").when(u.startswith("L1HS"), "L1HS (young)").when(u.rlike("^L1PA[2-6]$"), "L1PA2-6 (young)")
