@@ -19,30 +19,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixmill.llm.common import table, text_slices, texts_of
-from helixmill.llm.words import spaced_chunks
+from helixmill.llm.words import head_and_chunks
 
 CAPACITY = 2048
 
 
 class Encoder:
-    """Token ids by a `tokenizers` file, with a memory of chunks that always encode alike; new ones are encoded together."""
+    """Token ids by a `tokenizers` file, with a memory of chunks that always encode alike; new ones are encoded together.
 
-    def __init__(self, path: str, most: int = 400_000):
+    A text is a head and chunks that follow a blank each, see spaced_chunks. Chunks are kept without their blank.
+    """
+
+    def __init__(self, path: str, most: int = 700_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.tokenizer.encode_special_tokens = True
+        self.heads: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+
+    def _learn(self, memory: dict[str, bytes], chunks: list[str], blank: str) -> None:
+        for c, e in zip(chunks, self.tokenizer.encode_batch_fast([blank + c for c in chunks], add_special_tokens=False)):
+            memory[c] = np.array(e.ids, "<u4").tobytes()
 
     def many(self, texts: list[str]) -> Iterator[np.ndarray]:
         if len(self.known) > self.most:
             self.known.clear()
-        chunks, known = [spaced_chunks(t) for t in texts], self.known
-        new = list({c for x in chunks for c in x if c not in known})
-        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[c] = np.array(e.ids, "<u4").tobytes()
-        for x in chunks:
-            yield np.frombuffer(b"".join(map(known.__getitem__, x)), "<u4")
+        self.heads.clear()
+        parts = [head_and_chunks(t) for t in texts]
+        self._learn(self.heads, list({x[0] for x in parts}), "")
+        self._learn(self.known, list(set().union(*(x[1] for x in parts)).difference(self.known)), " ")
+        for head, rest in parts:
+            yield np.frombuffer(self.heads[head] + b"".join(map(self.known.__getitem__, rest)), "<u4")
 
     def ids(self, text: str) -> np.ndarray:
         return next(self.many([text]))

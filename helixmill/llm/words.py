@@ -14,3 +14,13 @@ def spaced_chunks(text: str) -> list[str]:
         return []
     first, *rest = BLANK.split(text)
     return ([first] if first else []) + [" " + x for x in rest]
+
+
+#: A blank that no word or sign follows, at which a text must not be cut.
+OPEN = re.compile(r" (?!\S)")
+
+
+def head_and_chunks(text: str) -> tuple[str, list[str]]:
+    """The same cuts: what stands before the first of them, and the chunks after it less their blanks."""
+    head, *rest = text.split(" ") if not OPEN.search(text) else BLANK.split(text)
+    return head, rest

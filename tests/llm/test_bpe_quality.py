@@ -7,7 +7,7 @@ import pytest
 from helixmill.llm.bpe import TextBpe
 from helixmill.llm.packing import Encoder, cut, pack
 from helixmill.llm.quality_rules import measures, neighbour_lcps, suffix_ranks
-from helixmill.llm.words import spaced_chunks
+from helixmill.llm.words import head_and_chunks, spaced_chunks
 
 P = pytest.importorskip("public_tokenizers")
 ODD = ["", " ", "  ", "a  b", "a \n b", "\n\n x", "é  ü   z", "it's we'll\tx", "漢字 かな 🙂🙂  9 99,9", "\x1c \x1d x", "end  ", "<|endoftext|> x", "a" * 300, " \u0085 b  c", "ﬀ K İ ı", "﻿ x ​ y"]
@@ -38,6 +38,8 @@ def test_chunked_encoding_is_the_tokenizers():
     own = Encoder(P.path("byte_bpe_50k.json"), most=50)
     for t in texts():
         assert "".join(spaced_chunks(t)) == t
+        head, rest = head_and_chunks(t)
+        assert [*([head] if head else []), *(" " + x for x in rest)] == spaced_chunks(t)
         assert own.ids(t).tolist() == own.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
