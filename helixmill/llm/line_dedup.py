@@ -72,7 +72,7 @@ def within(a: Column, b: Column, t: int) -> Column:
         out = new[0]
         for e in range(1, t + 1):
             out = out.bitwiseOR(F.shiftleft(new[e], w * e))
-        return out
+        return F.when(s == 0, s).otherwise(out)  # no diagonal is left: nothing more to work out
 
     start = sum(sum(1 << (d + t) for d in range(e + 1)) << (w * e) for e in range(t + 1))
     end = F.aggregate(F.when(F.size(a) > 0, F.sequence(F.lit(0), F.size(a) - 1)).otherwise(F.array().cast("array<int>")), F.lit(start).cast("long"), step)
