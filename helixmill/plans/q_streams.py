@@ -82,7 +82,7 @@ def a15_token_lengths(spark, d):
 
 @query()
 def p24_masked_tokens(spark, d):
-    x = table(spark, d, "documents").select("doc_id", F.transform(F.slice(F.split("text", " "), 1, 64), lambda w: F.length(w).cast("bigint")).alias("ids"))
+    x = table(spark, d, "documents").select("doc_id", F.transform(F.split("text", " "), lambda w: F.length(w).cast("bigint")).alias("ids"))
     m = x.select("doc_id", F.size("ids").alias("n"), S.masked_ids(F.col("ids"), F.col("doc_id").cast("string")).alias("m"))
     return m.select("doc_id", "n", F.size(F.filter("m.labels", lambda x: x != -100)).alias("masked"))
 

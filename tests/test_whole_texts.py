@@ -22,3 +22,9 @@ def test_every_kmer_has_a_token(spark, tmp_path):
     want = {at: 5 + rank[c] if c in rank else 5 + len(rank) + c % 32 for at, c in codes.items()}
     got = [tuple(r) for r in Q.p07_token_ids(spark, documents(spark, tmp_path, rows)).select("doc_id", "off", "token").collect()]
     assert len(got) == len(want) and {(i, j): t for i, j, t in got} == want and max(j for _, j, _ in got) == 294
+
+
+def test_every_word_may_be_masked(spark, tmp_path):
+    rows = [(1, "en", "word " * 299 + "end"), (2, "en", "one two"), (3, "en", None)]
+    got = {r.doc_id: r for r in Q.p24_masked_tokens(spark, documents(spark, tmp_path, rows)).collect()}
+    assert got[1].n == 300 and 30 < got[1].masked < 90 and got[2].n == 2
