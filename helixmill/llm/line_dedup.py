@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from helixmill.llm.common import table
 
 DISTANCE = 2
+#: Near matches only: in a shorter line two edits are over a tenth of it and make another line of it (a number, a short word).
 LEAST_CHARS = 20
 
 
@@ -98,20 +99,23 @@ def docs_by_key(docs: DataFrame, key: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("_key"), F.array(F.struct(*docs.columns)).alias("_rows")).repartition(n, "_key")
 
 
-def dedup_lines(docs: DataFrame, t: int = DISTANCE, least: int = LEAST_CHARS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, t: int = DISTANCE, least: int = LEAST_CHARS, key: str = "doc_id", text: str = "text", least_exact: int | None = None) -> DataFrame:
     """`docs` with text less each line that repeats an earlier one or is within edit distance t of one; and counts.
 
     Lines are what \\n divides. Earlier: in a document of a smaller key, or before in the same one. A line goes if its text
     came before, or if a text within t characters first came before; it is judged on the input, also if that text goes
-    itself. Lines of fewer than `least` characters stay. Added: n_lines, n_exact and n_near (removed lines of either kind).
+    itself. Lines of fewer than `least` characters have no near ones. Their repeats go from `least_exact` characters on, if
+    that is given and they hold a letter or digit (blank lines and lines of signs give a text its form); else they stay. Added: n_lines, n_exact and n_near (removed lines of either kind).
     Null text stays null, with no lines. A key stands for one text (rows that repeat one are judged alike); null is before
     all others. Other columns stay, but for clashing names of the counts. An empty table gives an empty result.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_exact", "n_near")]
     docs = docs.select(*names)
-    lines = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("doc"), F.posexplode(F.split(F.col(text), "\n")).alias("no", "line")).where(F.length("line") >= least)
-    places = lines.select("doc", "no", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(t), "line").alias("g"))
-    firsts = places.groupBy("h", "g").agg(F.min(F.struct("doc", "no")).alias("id"))
+    lines = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("doc"), F.posexplode(F.split(F.col(text), "\n")).alias("no", "line"))
+    long = F.length("line") >= least
+    short = F.lit(False) if least_exact is None else (F.length("line") >= least_exact) & F.col("line").rlike(r"[\p{L}\p{N}]")
+    places = lines.where(long | short).select("doc", "no", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(t), "line").alias("g"), long.alias("long"))
+    firsts = places.groupBy("h", "g").agg(F.min(F.struct("doc", "no")).alias("id"), F.max("long").alias("long"))
     own = docs_by_key(docs, key)
     split = F.split(F.element_at("_rows", 1).getField(text), "\n")
 
@@ -122,7 +126,7 @@ def dedup_lines(docs: DataFrame, t: int = DISTANCE, least: int = LEAST_CHARS, ke
         one = one.select("_key", "_lines", F.explode("_nos").alias("_no"))
         return one.select(F.col("_key").alias("doc"), F.col("_no").alias("no"), F.get("_lines", F.col("_no")).alias("line"))
 
-    pairs = meeting_pairs(with_text(firsts.select("id")), t)
+    pairs = meeting_pairs(with_text(firsts.where("long").select("id")), t)
     met = with_text(pairs.select(F.explode(F.array("a", "b")).alias("id")))
     left, right = (met.select(F.struct("doc", "no").alias(c), F.col("line").alias(f"{c}_line")) for c in ("a", "b"))
     chars = F.array(F.struct(F.split("a_line", "").alias("x"), F.split("b_line", "").alias("y")))  # an argument of a lambda is worked out once
@@ -139,9 +143,9 @@ def dedup_lines(docs: DataFrame, t: int = DISTANCE, least: int = LEAST_CHARS, ke
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
-    return dedup_lines(docs).select(*docs.columns)
+    return dedup_lines(docs, least_exact=1).select(*docs.columns)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    got = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), least_exact=1)
     return got.select("doc_id", "n_lines", "n_exact", "n_near", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
