@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,3 +54,20 @@ def int64s(column: pa.Array) -> np.ndarray:
     """Null: the smallest number."""
     return np.asarray(pa.compute.fill_null(column, np.iinfo(np.int64).min), dtype=np.int64)
 
+
+
+def with_row_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", name: str = "_id") -> DataFrame:
+    """`docs` with a number for each pair of key and text, in order of the key (null first), then of the text's hash.
+
+    Where each key stands for one text, the number is the key (null: the smallest number). Else numbers are dealt once, over
+    ranges of (key, hash), so that many rows of one key or none do not meet in one task. The check of the keys runs at once.
+    """
+    own = docs.withColumns({"_key": F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))), "_text": F.xxhash64(text, F.col(text).isNull())})
+    shared = own.groupBy("_key").agg((F.min("_text") != F.max("_text")).alias("many"))
+    if shared.where("many").isEmpty():
+        return own.withColumn(name, F.col("_key")).drop("_key", "_text")
+    ensure_checkpoint_dir(docs.sparkSession)
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = own.select("_key", "_text").distinct().repartitionByRange(n, "_key", "_text").sortWithinPartitions("_key", "_text")
+    ids = ids.withColumn(name, F.monotonically_increasing_id()).checkpoint()
+    return own.join(ids, ["_key", "_text"]).drop("_key", "_text")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixmill.llm.common import table
+from helixmill.llm.common import table, with_row_ids
 
 DISTANCE = 2
 #: Near matches only: in a shorter line two edits are over a tenth of it and make another line of it (a number, a short word).
@@ -106,17 +106,17 @@ def dedup_lines(docs: DataFrame, t: int = DISTANCE, least: int = LEAST_CHARS, ke
     came before, or if a text within t characters first came before; it is judged on the input, also if that text goes
     itself. Lines of fewer than `least` characters have no near ones. Their repeats go from `least_exact` characters on, if
     that is given and they hold a letter or digit (blank lines and lines of signs give a text its form); else they stay. Added: n_lines, n_exact and n_near (removed lines of either kind).
-    Null text stays null, with no lines. A key stands for one text (rows that repeat one are judged alike); null is before
-    all others. Other columns stay, but for clashing names of the counts. An empty table gives an empty result.
+    Null text stays null, with no lines. Rows that repeat key and text are judged alike; different texts of one key, null
+    as well, are documents of their own in order of their hashes. Null is before all others. Other columns stay, but for clashing names of the counts. An empty table gives an empty result.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_exact", "n_near")]
-    docs = docs.select(*names)
-    lines = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("doc"), F.posexplode(F.split(F.col(text), "\n")).alias("no", "line"))
+    docs = with_row_ids(docs.select(*names), key, text)
+    lines = docs.select(F.col("_id").alias("doc"), F.posexplode(F.split(F.col(text), "\n")).alias("no", "line"))
     long = F.length("line") >= least
     short = F.lit(False) if least_exact is None else (F.length("line") >= least_exact) & F.col("line").rlike(r"[\p{L}\p{N}]")
     places = lines.where(long | short).select("doc", "no", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(t), "line").alias("g"), long.alias("long"))
     firsts = places.groupBy("h", "g").agg(F.min(F.struct("doc", "no")).alias("id"), F.max("long").alias("long"))
-    own = docs_by_key(docs, key)
+    own = docs_by_key(docs, "_id")
     split = F.split(F.element_at("_rows", 1).getField(text), "\n")
 
     def with_text(ids: DataFrame) -> DataFrame:

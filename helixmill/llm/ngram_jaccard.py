@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixmill.llm.common import ensure_checkpoint_dir, int64s, table, text_bytes, text_slices
+from helixmill.llm.common import ensure_checkpoint_dir, int64s, table, text_bytes, text_slices, with_row_ids
 
 WORDS = 5
 PERCENT = 75
@@ -439,10 +439,10 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 
 
 def keep_one_of_each(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of `docs` whose key is the smallest of its component; rows that repeat a key are one row."""
-    number = F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)))
-    found = jaccard_components(docs).where(number == F.col("component_id")).select(number.alias("_key")).distinct()
-    return docs.join(found, number == F.col("_key"), "left_semi").dropDuplicates([key])
+    """The rows of `docs` that come first in their component, by key and then by the text's hash; rows that repeat key and text are one row."""
+    named = with_row_ids(docs, key)
+    found = jaccard_components(named, key="_id").select(F.coalesce("_id", F.lit(-(2**63))).alias("_id"), "component_id").where("_id = component_id").select("_id").distinct()
+    return named.join(found, "_id", "left_semi").dropDuplicates(["_id"]).select(*docs.columns)
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

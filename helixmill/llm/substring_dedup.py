@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixmill.llm.common import int64s, table, text_bytes, text_slices
+from helixmill.llm.common import int64s, table, text_bytes, text_slices, with_row_ids
 from helixmill.llm.suffix_array import suffix_array
 
 LENGTH = 100
@@ -272,8 +272,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
 
     Earlier: in a document of a smaller key, or before in the same document. Texts are UTF-8 bytes, null counts as empty.
     Strings are judged on the input. Added: n_bytes, n_removed, n_spans (maximal removed runs), kept (binary) and
-    kept_sha256. A key stands for one text: rows that repeat key and text are judged alike, and neither is earlier. A null
-    key is before all others. All columns stay, but for clashing names of the new ones. An empty table gives an empty
+    kept_sha256. Rows that repeat key and text are judged alike, and neither is earlier; different texts of one key, null as
+    well, are documents of their own in order of their hashes. A null key is before all others. All columns stay, but for clashing names of the new ones. An empty table gives an empty
     result. `length` is over 32 and at most 255 - 32.
     """
     import zstandard
@@ -282,7 +282,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
     names = [c for c in docs.columns if c not in new]
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kept = [c for c in names if c != text]
-    frame = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    docs = with_row_ids(docs.select(*names), key, text)
+    frame = docs.select(F.col("_id").alias("key"), F.col(text).alias("text"))
     sent = frame.mapInArrow(lambda b: send_anchors(b, length), ROW).repartition(n, "key")
     found = sent.mapInArrow(decide, FOUND)
 
@@ -293,7 +294,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
                 data = [None if x is None else squeeze(x.encode()) for x in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(int64s(part.column("key"))), part.column("row"), pa.array(data, pa.binary())], ["doc", "row", "packed"])
 
-    own = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.struct(*(docs[c] for c in kept)).alias("row"))
+    own = docs.select(F.col("_id").alias("key"), F.col(text).alias("text"), F.struct(*(docs[c] for c in kept)).alias("row"))
     row = own.schema["row"].dataType.simpleString()
     texts = own.mapInArrow(zipped, f"doc long not null, row {row}, packed binary").repartition(n, "doc")
 

@@ -1,6 +1,10 @@
 """Short lines, and rows that share a key or have none."""
 
-from helixmill.llm import line_dedup
+import random
+
+import pytest
+
+from helixmill.llm import line_dedup, ngram_jaccard, substring_dedup
 
 
 def docs(spark, rows):
@@ -14,3 +18,21 @@ def test_short_lines(spark, tmp_path):
     docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.n_lines, r.n_exact, r.n_near) for r in line_dedup.op5_line_dedup(spark, str(tmp_path)).collect()}
     assert got == {1: (4, 0, 0), 2: (5, 1, 0), 3: (2, 2, 0)}
+
+
+def sentence(seed):
+    return " ".join("".join(random.Random(seed * 100 + i).choices("abcdefgh", k=6)) for i in range(25))
+
+
+@pytest.mark.parametrize("key", [None, 7])
+def test_texts_of_one_key_are_documents(spark, key):
+    a, b, c, d = map(sentence, range(4))
+    mixed = [(1, a), (key, f"{b}\n{a}"), (key, f"{c}\n{d}"), (9, f"{a}\n{c}")]
+    got = sorted(r.text for r in line_dedup.drop_repeated_lines(docs(spark, mixed)).collect())
+    # a null key comes before 1, so the null document keeps a and document 1 loses it
+    assert got == sorted([a, b, f"{c}\n{d}", ""] if key else ["", f"{b}\n{a}", f"{c}\n{d}", ""])
+    kept = [r.text for r in ngram_jaccard.keep_one_of_each(docs(spark, [(1, a), (key, a), (key, b), (key, c), (key, c), (key, d), (9, d)])).collect()]
+    assert sorted(kept) == sorted([a, b, c, d])
+    rows = [(key, b), (key, c + d), (key, c + d), (9, "x" + b)]
+    got = sorted((str(r.doc_id), r.n_removed, r.kept.decode()) for r in substring_dedup.remove_repeats(docs(spark, rows)).collect())
+    assert got == sorted([(str(key), 0, b), (str(key), 0, c + d), (str(key), 0, c + d), ("9", len(b), "x")])
