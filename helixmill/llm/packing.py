@@ -22,36 +22,70 @@ from helixmill.llm.common import table, text_slices, texts_of
 from helixmill.llm.words import head_and_chunks
 
 CAPACITY = 2048
+#: How a byte-level vocabulary writes a blank (fixed value).
+BLANK_BYTE = "\u0120"
+#: Bytes of a remembered chunk beside its text and its ids, about.
+ENTRY = 160
 
 
 class Encoder:
-    """Token ids by a `tokenizers` file, with a memory of chunks that always encode alike; new ones are encoded together.
+    """Token ids by a `tokenizers` file of a byte-level BPE, with a memory of chunks that always encode alike.
 
-    A text is a head and chunks that follow a blank each, see spaced_chunks. Chunks are kept without their blank.
+    A text is a head and chunks that follow a blank each, see spaced_chunks; chunks are kept without their blank. New chunks
+    without a blank inside are encoded many in one string: each begins with the only token there that begins with a blank.
+    The memory has two generations of at most `most` bytes each (as estimated); what is asked for again moves to the younger.
+    A text that holds an added token, such as the end of text, is encoded as a whole, so that no cut falls into it.
     """
 
-    def __init__(self, path: str, most: int = 700_000):
+    JOINED = 512
+
+    def __init__(self, path: str, most: int = 48 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.tokenizer.encode_special_tokens = True
-        self.heads: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.opens[[i for t, i in vocabulary.items() if t.startswith(BLANK_BYTE)]] = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
-
-    def _learn(self, memory: dict[str, bytes], chunks: list[str], blank: str) -> None:
-        for c, e in zip(chunks, self.tokenizer.encode_batch_fast([blank + c for c in chunks], add_special_tokens=False)):
-            memory[c] = np.array(e.ids, "<u4").tobytes()
+        self.older: dict[str, bytes] = {}
+        self.held = 0
+
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, chunks: list[str]) -> None:
+        plain = [c for c in chunks if " " not in c]
+        runs = [plain[i : i + self.JOINED] for i in range(0, len(plain), self.JOINED)]
+        odd = [c for c in chunks if " " in c]
+        for run, ids in zip(runs, self._encoded([" " + " ".join(run) for run in runs])):
+            at = np.flatnonzero(self.opens[ids]) * 4
+            if len(at) != len(run):
+                odd += run
+                continue
+            data, ends = ids.tobytes(), [*at[1:].tolist(), 4 * len(ids)]
+            self.known.update(zip(run, [data[i:j] for i, j in zip(at.tolist(), ends)]))
+            self.held += len(data) + sum(map(len, run)) + ENTRY * len(run)
+        for c, ids in zip(odd, self._encoded([" " + c for c in odd])):
+            self.known[c] = ids.tobytes()
+            self.held += 4 * len(ids) + len(c) + ENTRY
 
     def many(self, texts: list[str]) -> Iterator[np.ndarray]:
-        if len(self.known) > self.most:
-            self.known.clear()
-        self.heads.clear()
-        parts = [head_and_chunks(t) for t in texts]
-        self._learn(self.heads, list({x[0] for x in parts}), "")
-        self._learn(self.known, list(set().union(*(x[1] for x in parts)).difference(self.known)), " ")
-        for head, rest in parts:
-            yield np.frombuffer(self.heads[head] + b"".join(map(self.known.__getitem__, rest)), "<u4")
+        if self.held > self.most:
+            self.older, self.known, self.held = self.known, {}, 0
+        whole = {i for i, t in enumerate(texts) if any(x in t for x in self.added)}
+        parts = [("", []) if i in whole else head_and_chunks(t) for i, t in enumerate(texts)]
+        asked = set().union(*(x[1] for x in parts)).difference(self.known)
+        again = asked.intersection(self.older)
+        for c in again:
+            own = self.known[c] = self.older[c]
+            self.held += len(own) + len(c) + ENTRY
+        self._learn(list(asked.difference(again)))
+        first = list({x[0] for x in parts})
+        heads = {c: ids.tobytes() for c, ids in zip(first, self._encoded(first))}
+        for i, (head, rest) in enumerate(parts):
+            yield self._encoded([texts[i]])[0] if i in whole else np.frombuffer(heads[head] + b"".join(map(self.known.__getitem__, rest)), "<u4")
 
     def ids(self, text: str) -> np.ndarray:
         return next(self.many([text]))
@@ -152,7 +186,7 @@ def tokenised_pieces(docs: DataFrame, path: str, end: int = 0, capacity: int = C
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_encoder = encoder(path)
         for batch in batches:
-            for part in text_slices(batch, "text"):
+            for part in text_slices(batch, "text", 1 << 22):
                 rows, ids_out = [], []
                 for k, ids in zip(part.column("key").to_pylist(), own_encoder.many(texts_of(part.column("text")))):
                     ids = np.append(ids, np.uint32(end)).astype("<u4")

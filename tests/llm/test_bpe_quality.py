@@ -35,12 +35,16 @@ def test_bpe_is_tiktoken():
 
 
 def test_chunked_encoding_is_the_tokenizers():
-    own = Encoder(P.path("byte_bpe_50k.json"), most=50)
-    for t in texts():
+    from tokenizers import Tokenizer
+
+    own, plain = Encoder(P.path("byte_bpe_50k.json"), most=50), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    many = [*texts(), "a b<|endoftext|> c d", "<|endoftext|><|endoftext|>x  y <|endoftext|>", "x <|endof text|> y"]
+    assert [x.tolist() for x in own.many(many)] == [plain.encode(t, add_special_tokens=False).ids for t in many]
+    for t in many:
         assert "".join(spaced_chunks(t)) == t
         head, rest = head_and_chunks(t)
         assert [*([head] if head else []), *(" " + x for x in rest)] == spaced_chunks(t)
-        assert own.ids(t).tolist() == own.tokenizer.encode(t, add_special_tokens=False).ids, t
+        assert own.ids(t).tolist() == plain.encode(t, add_special_tokens=False).ids, t
 
 
 def test_pack_fits_and_fills():
