@@ -114,19 +114,38 @@ def distance(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize("t", [1, 2, 3])
+@pytest.mark.parametrize("t", [1, 3, 6])
+def test_edit_distance_of_stripped_lines(spark, t):
+    rng = random.Random(t)
+    pairs = []
+    for _ in range(150):
+        x = "".join(rng.choices("abé", k=rng.randrange(1, 90)))
+        y = list(x)
+        for _ in range(rng.randrange(t + 3)):
+            at = rng.randrange(len(y) + 1)
+            y[at : at + rng.randrange(2)] = rng.choice(["", "a", "z"])
+        pairs.append((x, "".join(y)))
+    pairs += [("", ""), ("a" * 64, "a" * 63), ("a" * 16, ""), ("", "ab")]
+    rows = spark.createDataFrame(pairs, "a string, b string")
+    got = rows.select("a", "b", LD.within(F.col("a"), F.col("b"), t).alias("near"), LD.fingerprint(F.col("a")).alias("p"), LD.fingerprint(F.col("b")).alias("q"))
+    for r in got.collect():
+        assert r.near == (distance(r.a, r.b) <= t), (r.a, r.b)
+        assert not r.near or ((r.p ^ r.q) & (1 << 64) - 1).bit_count() <= 2 * t - abs(len(r.a) - len(r.b))
+
+
+@pytest.mark.parametrize("t", [1, 2])
 def test_lines(spark, t):
     docs = made()
     first = {}
     for k in sorted(docs):
         for j, x in enumerate((docs[k] or "").split("\n") if docs[k] is not None else []):
-            if len(x) >= 20:
+            if any(c.isalnum() for c in x) or len(x) >= 20:
                 first.setdefault(x, (k, j))
-    near = {x for x in first for y in first if first[y] < first[x] and abs(len(x) - len(y)) <= t and distance(x, y) <= t}
+    near = {x for x in first for y in first if min(len(x), len(y)) >= 20 and first[y] < first[x] and abs(len(x) - len(y)) <= t and distance(x, y) <= t}
     got = {r.doc_id: r for r in LD.dedup_lines(frame(spark, docs), t).collect()}
     for k, text in docs.items():
         lines = text.split("\n") if text is not None else []
-        exact = [j for j, x in enumerate(lines) if len(x) >= 20 and first[x] != (k, j)]
+        exact = [j for j, x in enumerate(lines) if x in first and first[x] != (k, j)]
         close = [j for j, x in enumerate(lines) if j not in exact and x in near]
         want = None if text is None else "\n".join(x for j, x in enumerate(lines) if j not in exact and j not in close)
         r = got[k]
