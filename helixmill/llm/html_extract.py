@@ -21,9 +21,13 @@ from pyspark.sql import functions as F
 from helixmill.llm.common import table, text_slices, texts_of
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|textarea|select|button|math|canvas|audio|video)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
+    r"<!--.*?(?:-->|\Z)|<(script|style|textarea)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>",
     re.S | re.I,
 )
+#: Elements whose content is no text of the page. Unlike scripts, styles and text areas they end with the page only if they are closed.
+DROPPED = frozenset("noscript template svg iframe object select button canvas audio video".split())
+NESTED = frozenset("svg object template noscript".split())
+EDGE = re.compile(rf"<(/?)({'|'.join(sorted(DROPPED))})(?=[\s/>])", re.I)
 MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PARTS = re.compile(r"[A-Za-z][a-z]+|[A-Z]+(?![a-z])")
 #: Fixed values of HTML.
@@ -44,6 +48,25 @@ class Node:
         self.linked, self.chars, self.label = 0, 0, None
 
 
+def dropped_parts(page: str) -> dict[int, int]:
+    """Where each dropped element starts and where it ends. One that is not closed, or that a second one of its kind cuts short, is a mere tag; so is <svg/>."""
+    out: dict[int, int] = {}
+    open_: dict[str, list[int]] = {}
+    for m in EDGE.finditer(page):
+        name, end = m[2].lower(), page.find(">", m.end()) + 1
+        if not end:
+            break
+        mine = open_.setdefault(name, [])
+        if m[1]:
+            if mine:
+                out[mine.pop()] = end
+        elif page[end - 2] != "/":
+            if name not in NESTED:
+                mine.clear()
+            mine.append(m.start())
+    return out
+
+
 def parse(page: str) -> list[Node]:
     """Nodes in page order, each after its parent; the first is the root. Scripts, styles, controls and comments are left out.
 
@@ -73,9 +96,12 @@ def parse(page: str) -> list[Node]:
         del open_[to:]
         run, linked = -1, 0
 
-    for m in TOKEN.finditer(page):
+    dropped = dropped_parts(page)
+    for m in TOKEN.finditer(page, 0, page.rfind(">") + 1):  # without a ">" to come nothing is a tag
+        if m.start() < at:  # inside a dropped element
+            continue
         add(page[at : m.start()])
-        at = m.end()
+        at = max(m.end(), dropped.get(m.start(), 0))
         tag = m[3]
         if tag is None:
             continue
@@ -307,8 +333,9 @@ def extract_text(pages: DataFrame, page: str = "html", keep: tuple[str, ...] = (
     """The columns of `keep`, text (blocks joined by a line feed; empty if none) and n_chars (its code points).
 
     Null or empty pages have an empty text. Pages of any length are read whole. Repeated rows stay, an empty table gives
-    an empty result, other columns are dropped. `fit`: a model trained elsewhere.
+    an empty result, other columns are dropped, and so are columns of `keep` named text or n_chars. `fit`: a model trained elsewhere.
     """
+    keep = tuple(c for c in keep if c not in ("text", "n_chars"))
     frame = pages.select(F.struct(*keep).alias("row"), F.col(page).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,6 +11,7 @@ from helixmill.llm.url_rules import apply_url_rules
         ("plain text only, without any tags.", ["plain text only, without any tags."]),
         ("<body><nav><a>Home</a></nav><div class='x'><p>A fairly long first paragraph of the story, with words.</p><p>Second one.</p></div><div class='comments'><p>I think this is great and I liked it.</p></div></body>", ["A fairly long first paragraph of the story, with words.", "Second one."]),
         ("<article><h1>T</h1><p><b>One &amp; two<br>three.<p>Four &lt;x&gt;.<script>var t='</p>'</script></article><footer>c</footer>", ["T", "One & two three.", "Four <x>."]),
+        ("<article><p>One is here.<svg width='1'/> Two.</p><button>x<p>Three here.</p><video-player></video-player><p>Four <math><mi>y</mi></math> ends.</p><svg><text>no</text></svg></article>", ["One is here. Two.", "x", "Three here.", "Four y ends."]),
         ("<div id=main><p>Hello world this is one.<form><p>Your name</form></div>", ["Hello world this is one."]),
     ],
 )
@@ -18,6 +19,15 @@ def test_blocks(page, want):
     assert H.blocks(page, H.model()) == want
 
 
+def test_unclosed_elements_swallow_nothing():
+    for odd in ("<iframe src='x'/>", "<button>", "<svg/>", "<select>", "<video>", "<svg><g>", "<button-group>"):
+        page = f"<article><p>The first paragraph stands here.</p>{odd}<p>The second paragraph stands here.</p></article>"
+        assert "The second paragraph stands here." in " ".join(H.blocks(page, H.model())), odd
+    assert H.dropped_parts("<svg><svg></svg>x</svg>") == {0: 23, 5: 16}
+    H.parse("<a '" * 20_001)
+    H.parse("<a '" * 20_001 + ">")
+
+
 def test_marginals_are_exact():
     nodes = H.parse("<div><p>abc.</p><ul><li><a>x</a></li></ul></div><p>d</p>")
     m = H.model()
