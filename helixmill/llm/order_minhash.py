@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from helixmill.llm.common import table
 
-#: Bits of a packed number that hold a word's place. A text of more words than 2^24 reuses places.
-PLACE = 24
+#: Bits of a packed number that hold a word's place. More words than 2^28 do not fit into one array of numbers in any case.
+PLACE = 28
 SLOTS = 64
 #: Steps by which the start of a run of equal k-mers is found.
 STEPS = [1 << i for i in range(PLACE - 1, -1, -1)]
