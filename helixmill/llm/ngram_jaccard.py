@@ -6,9 +6,9 @@ shingle is, a sketch of fixed size estimates from all documents; any order that
 prefixes are inverted; sets that meet in a short list are pairs, in a long list each is paired with the list's smallest
 one first, and only members that are then still in different components are paired with each other.
 
-A set's candidates are settled together: for each of its shingles there is the list of candidates that have it. The
-longest lists are put aside, the short ones merged by a heap, and candidates that come often enough to reach T are looked
-up in the long ones by bisection (DivideSkip).
+A set's candidates are searched together, through an inverted index of their whole sets: for each shingle of the query there
+is the list of candidates that have it. The longest lists are put aside, the short ones merged by a heap, and candidates that
+come often enough to reach T are looked up in the long ones by bisection (DivideSkip). Only this search counts common shingles.
 """
 
 from __future__ import annotations
@@ -140,20 +140,20 @@ def divide_skip(lists: list[list[int]], least: int, weight: float = 0.01) -> dic
 
 
 def summaries(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    """A row per document (key, set, size), and at the end the partition's counts of shingles by sketch cell."""
+    """A row per document (key, own, set, size), and at the end the partition's counts of shingles by sketch cell."""
     counts = np.zeros(SKETCH, np.int64)
-    names = ["key", "set", "size", "cells"]
+    names = ["key", "own", "set", "size", "cells"]
     for batch in batches:
         for part in text_slices(batch, "text"):
             data, offsets = text_bytes(part.column("text"))
             h, d = shingles(data, offsets, words)
             counts += np.bincount((h >> U(44)).astype(np.int64), minlength=SKETCH)
             name, size = set_names(h, d, part.num_rows)
-            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(name), pa.array(size), pa.nulls(part.num_rows, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("own"), pa.array(name), pa.array(size), pa.nulls(part.num_rows, pa.binary())], names)
     if counts.any():
         data = [counts[i : i + CHUNK].astype("<i8").tobytes() for i in range(0, SKETCH, CHUNK)]
         n = len(data)
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(np.arange(n)), pa.array(np.full(n, -1)), pa.array(data, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.arange(n)), pa.array(np.full(n, -1)), pa.array(data, pa.binary())], names)
 
 
 def add_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,19 +298,18 @@ def settle(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Itera
         return shingles(raw, np.array([0, len(raw)]), words)[0]
 
     def close() -> None:
+        """Searches the block's inverted index: of the query's shingles, the lists of candidates that hold them."""
         nonlocal block, names
         if block:
-            lists: list[list[int]] = [[] for _ in own]
-            sizes = []
-            for i, data in enumerate(block):
-                t = tokens(data)
-                sizes.append(len(t))
-                j = np.searchsorted(own, t)
-                hit = j[(j < len(own)) & (own[np.minimum(j, len(own) - 1)] == t)]
-                for x in hit.tolist():
-                    lists[x].append(i)
+            held = [tokens(x) for x in block]
+            every = np.concatenate(held)
+            member = np.repeat(np.arange(len(held)), [len(x) for x in held])
+            order = np.argsort(every, kind="stable")  # by shingle, then by candidate
+            every, member = every[order], member[order].tolist()
+            starts, stops = np.searchsorted(every, own, "left").tolist(), np.searchsorted(every, own, "right").tolist()
+            lists = [member[i:j] for i, j in zip(starts, stops) if i < j]
             for i, n in divide_skip(lists, max(1, int(least_overlap(len(own), percent)))).items():
-                if 100 * n >= percent * (len(own) + sizes[i] - n):
+                if 100 * n >= percent * (len(own) + len(held[i]) - n):
                     out.append((at, names[i]))
         block, names = [], []
 
@@ -362,11 +361,11 @@ def bitmap_of(ids: DataFrame, column: str, bits: int = 24) -> np.ndarray:
     return out
 
 
-def components(links: DataFrame, most: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(set, comp): the smallest name that each linked set reaches. Labels move to neighbours and along themselves."""
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = both.groupBy(F.col("a").alias("set")).agg(F.min("b").alias("m")).select("set", F.least("set", "m").alias("comp")).checkpoint()
-    for _ in range(most):
+    while True:  # each round shortens the longest way to the smallest name
         near = both.join(labels, F.col("b") == F.col("set")).groupBy("a").agg(F.min("comp").alias("m"))
         new = labels.join(near, F.col("set") == F.col("a")).select("set", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
         far = labels.select(F.col("set").alias("at"), F.col("comp").alias("further"))
@@ -375,7 +374,6 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
         labels = new.select("set", "comp")
         if not moved:
             return labels
-    raise RuntimeError("the components did not settle")
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -383,21 +381,23 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 
     Texts are lower-cased in A-Z and divided at ASCII white space; a set is the distinct runs of `words` words, or all words
     if they are fewer; null, empty and blank texts have an empty set and no link. Rows link if 100 * common shingles are at
-    least percent * all shingles of the two. Rows with equal texts link, so do rows that repeat a key. A null key counts as
-    the smallest number, -2^63, in component_id. Other columns are dropped; an empty table gives an empty result. Sets are compared by 64-bit hashes.
+    least percent * all shingles of the two. Rows with equal texts that have a word link. Rows that share a key but not the text are documents
+    of their own, so they may be in different components. A null key counts as the smallest number, -2^63, in component_id. Other columns are dropped; an empty table gives an empty result. Sets are compared by 64-bit hashes.
     """
     import zstandard
 
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    frame = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("key"), F.col(text).alias("text"))
-    whole = frame.mapInArrow(lambda b: summaries(b, words), "key long, set long, size long, cells binary").checkpoint()
+    named = with_row_ids(docs.select(F.col(key).cast("long").alias("own"), F.col(text).alias("text")), "own")
+    frame = named.select(F.col("_id").alias("key"), "own", "text")
+    whole = frame.mapInArrow(lambda b: summaries(b, words), "key long, own long, set long, size long, cells binary").checkpoint()
+    frame = frame.select("key", "text")
     cells = np.zeros(SKETCH, np.int64)
     for r in whole.where("size = -1").select("set", "cells").repartition(16, "set").mapInArrow(add_cells, "set long, cells binary").collect():
         cells[r.set * CHUNK : (r.set + 1) * CHUNK] = np.frombuffer(r.cells, "<i8")
     held = spark.sparkContext.broadcast(cells)
-    rows = whole.where("size >= 0").select("key", "set", "size")
+    rows = whole.where("size >= 0").select("key", "own", "set", "size")
     reps = rows.where("size > 0").groupBy("set").agg(F.min("key").alias("key"))
     sent = frame.mapInArrow(lambda b: prefixes(b, held.value, words, percent), "shingle long, set long, size long")
     met = sent.repartition(n, "shingle").mapInArrow(lambda b: first_pairs(b, percent), "kind byte, a long, b long, size long").checkpoint()
@@ -432,16 +432,19 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         if not open_.isEmpty():
             links = links.unionByName(verified(open_))
             comps = components(links)
-    labelled = rows.join(comps, "set", "left").select("key", "size", F.when(F.col("size") > 0, F.coalesce("comp", "set")).alias("comp"))
-    smallest = labelled.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("key").alias("component_id"))
+    labelled = rows.join(comps, "set", "left").select("key", "own", "size", F.when(F.col("size") > 0, F.coalesce("comp", "set")).alias("comp"))
+    smallest = labelled.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min(F.coalesce("own", F.lit(-(2**63)))).alias("component_id"))
     out = labelled.join(smallest, "comp", "left")
-    return out.select(F.nullif("key", F.lit(-(2**63))).alias(key), F.col("size").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
+    return out.select(F.col("own").alias(key), F.col("size").alias("n_shingles"), F.coalesce("component_id", "own", F.lit(-(2**63))).alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of `docs` that come first in their component, by key and then by the text's hash; rows that repeat key and text are one row."""
+    """The rows of `docs` that come first in their component, by key and then by the text's hash; rows that repeat key and text are one row.
+
+    Texts without a word have no component, so each of them stays (rows that repeat key and text are still one).
+    """
     named = with_row_ids(docs, key)
-    found = jaccard_components(named, key="_id").select(F.coalesce("_id", F.lit(-(2**63))).alias("_id"), "component_id").where("_id = component_id").select("_id").distinct()
+    found = jaccard_components(named, key="_id").where("_id = component_id").select("_id").distinct()
     return named.join(found, "_id", "left_semi").dropDuplicates(["_id"]).select(*docs.columns)
 
 
