@@ -24,7 +24,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="helixmill-checkpoint-"))
 
 
-def text_slices(batch: pa.RecordBatch, column: str, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def text_slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about `most` bytes of text; a longer text is a slice of its own."""
     if batch.num_rows == 0:
         return

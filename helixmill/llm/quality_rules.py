@@ -24,6 +24,7 @@ MIN_WORDS = 20
 MAX_COVERED = 0.30
 MAX_LONGEST = 0.20
 LONGEST_FLOOR = 64
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "longest_repeat")
 
 
 def suffix_ranks(words: np.ndarray) -> list[np.ndarray]:
@@ -33,11 +34,12 @@ def suffix_ranks(words: np.ndarray) -> list[np.ndarray]:
     after the first round only suffixes that still tie are sorted again. The last number must occur nowhere else.
     """
     n = len(words)
-    order = np.argsort(words, kind="stable")
+    kind = np.int32 if n < 1 << 31 else np.int64
+    order = np.argsort(words, kind="stable").astype(kind)
     own = words[order]
     new = np.ones(n, bool)
     new[1:] = own[1:] != own[:-1]
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, kind)
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     levels, step = [rank], 1
     open_ = _tied(order, new)
@@ -133,27 +135,34 @@ def score_quality(docs: DataFrame, text: str = "text", key: str = "doc_id", min_
     base_failed. Rows stay as many as they are. `keep_columns` returns all columns of `docs` beside; of clashing names the
     new column stays. An empty table gives an empty result.
     """
-    new = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "longest_repeat": "long"}
-    held = [c for c in docs.columns if c not in {*new, "base_failed", "kept"}] if keep_columns else [key]
-    frame = docs.select(F.struct(*(docs[c] for c in held)).alias("row"), docs[text].alias("text"))
+    held = [c for c in docs.columns if c not in {*COUNTS, "base_failed", "kept"}] if keep_columns else [key]
+    got = _measured(docs.select(F.struct(*(docs[c] for c in held)).alias("row"), docs[text].alias("text")), None, min_repeat)
+    return _judged(got, min_words, max_covered, max_longest, longest_floor).select("row.*", *COUNTS, "base_failed", "kept")
+
+
+def _measured(frame: DataFrame, text: str | None, least: int) -> DataFrame:
+    """The column `row` of `frame` with the counts of its field `text`, or else of the column `text`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            row = batch.column("row")
+            batch = pa.RecordBatch.from_arrays([row, row.field(text) if text else batch.column("text")], ["row", "text"])
             for part in text_slices(batch, "text"):
-                cols = zip(*measures(texts_of(part.column("text")), min_repeat))
-                yield pa.RecordBatch.from_arrays([part.column("row"), *(pa.array(c, pa.int64()) for c in cols)], ["row", *new])
+                cols = zip(*measures(texts_of(part.column("text")), least))
+                yield pa.RecordBatch.from_arrays([part.column("row"), *(pa.array(c, pa.int64()) for c in cols)], ["row", *COUNTS])
+
+    return frame.mapInArrow(run, ", ".join(["row " + frame.schema["row"].dataType.simpleString(), *(f"{c} long" for c in COUNTS)]))
+
 
-    got = frame.mapInArrow(run, ", ".join(["row " + frame.schema["row"].dataType.simpleString(), *(f"{k} {v}" for k, v in new.items())]))
+def _judged(got: DataFrame, min_words: int = MIN_WORDS, max_covered: float = MAX_COVERED, max_longest: float = MAX_LONGEST, longest_floor: int = LONGEST_FLOOR) -> DataFrame:
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 100 * max_covered * F.col("n_words"))
     much = (F.col("longest_repeat") > longest_floor) & (F.col("longest_repeat") > max_longest * F.col("n_words"))
-    return got.select("row.*", *new, failed.alias("base_failed")).withColumn("kept", ~F.col("base_failed") & ~much)
+    return got.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~much)
 
 
 def keep_quality(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that score_quality keeps, with the same columns."""
-    names = docs.columns
-    marked = docs.select(F.struct(*names).alias("doc"), F.col("text").alias("text"))
-    return score_quality(marked, key="doc").where("kept").select("doc.*")
+    """The rows of `docs` that score_quality keeps, with the same columns, whatever their names. Repeated rows stay repeated; null and empty texts go."""
+    return _judged(_measured(docs.select(F.struct(*docs.columns).alias("row")), "text", MIN_REPEAT)).where("kept").select("row.*")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
