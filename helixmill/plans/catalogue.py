@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixmill.plans import q_intervals, q_kmers, q_labels, q_loci, q_resample, q_scores, q_streams  # noqa: F401
+from helixmill.plans import q_intervals, q_kmers, q_labels, q_loci, q_resample, q_scores, q_sources, q_streams  # noqa: F401
 from helixmill.plans.registry import QUERIES, SQL
 
 
