@@ -28,7 +28,7 @@ def entropy_summary(counts: DataFrame, by: list[str], k: Column | int, count: st
     base = base.withColumn("coverage", 1 - F.col("singletons") / n)
     size = base.select(*(F.col(b).alias(f"_{b}") for b in by), n.alias("_n"), F.col("coverage").alias("_cov"))
     on = [counts[b].eqNullSafe(F.col(f"_{b}")) for b in by]
-    joined = counts.join(F.broadcast(size), on) if on else counts.crossJoin(F.broadcast(size))
+    joined = counts.join(size, on) if on else counts.crossJoin(F.broadcast(size))
     pa = c / F.col("_n") * F.col("_cov")
     seen = 1 - F.pow(1 - pa, F.col("_n"))
     adjusted = joined.where(F.col("_cov") > 0).groupBy(*by).agg((-F.sum(pa * F.log2(pa) / F.when(seen > 0, seen).otherwise(1.0))).alias("_cs"))
@@ -65,7 +65,7 @@ def exact_rank(df: DataFrame, by: list[str], u: str, tie: str, ranges: int = 409
     w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(w.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_total", F.sum("_size").over(w)).drop("_size")
     ranked = df.withColumn("_in", F.row_number().over(Window.partitionBy(*by, "_range").orderBy(u, tie)))
-    return ranked.join(F.broadcast(sizes), [*by, "_range"]).withColumn("_rank", F.col("_before") + F.col("_in")).drop("_range", "_in", "_before")
+    return ranked.join(sizes, [*by, "_range"]).withColumn("_rank", F.col("_before") + F.col("_in")).drop("_range", "_in", "_before")
 
 
 def spectrum(reads: DataFrame, key: str, corpus: str, ks: list[int], fractions: list[float], replicates: int = 1, seed: str = "0", canonical: bool = True) -> DataFrame:

@@ -178,7 +178,7 @@ def s19_manifest(spark, d):
     return spark.read.json(path).select(F.explode(entry).alias("name", "v")).select("name", "v.rows")
 
 
-@query("SELECT o_orderkey % 5 AS label, (o_custkey % 8 / 8)::DOUBLE AS first, count(*) AS n FROM orders GROUP BY ALL")
+@query("SELECT (o_orderkey % 5)::INT AS label, (o_custkey % 8 / 8)::DOUBLE AS first, count(*) AS n FROM orders GROUP BY ALL")
 def s20_logits(spark, d):
     path = shared_folder(spark)
     T.write_logits(table(spark, d, "orders").select(F.array(F.col("o_custkey") % 8 / 8, F.lit(0.5)).alias("logits"), (F.col("o_orderkey") % 5).alias("label")), path)

@@ -15,7 +15,11 @@ from helixmill.streaming import scoring as ST
 
 def shared_folder(spark) -> str:
     """A new folder that all executors see: in the cluster's checkpoint folder, a local one only where none is set."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="helixmill-")
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
+        top = tempfile.mkdtemp(prefix="helixmill-")
     return f"{top}/stream-{uuid.uuid4().hex}"
 
 
@@ -46,7 +50,7 @@ def st4_class_totals(spark, d):
     return spark.table(name).withColumn("soft", F.round("soft", 4))
 
 
-@query(f"""WITH {READS}, {km(6)}, c AS (SELECT doc_id, off, {CODE.format(k=6)} AS code FROM km WHERE off < 40), ix AS (SELECT code, row_number() OVER (ORDER BY code) - 1 AS rank FROM (SELECT DISTINCT code FROM c WHERE doc_id % 10 = 0)), m AS (SELECT max(rank) + 1 AS m FROM ix)
+@query(f"""WITH {READS}, {km(6)}, c AS (SELECT doc_id, off, {CODE.format(k=6)} AS code FROM km), ix AS (SELECT code, row_number() OVER (ORDER BY code) - 1 AS rank FROM (SELECT DISTINCT code FROM c WHERE doc_id % 10 = 0)), m AS (SELECT max(rank) + 1 AS m FROM ix)
 SELECT doc_id, off::BIGINT AS off, coalesce(5 + rank, 5 + m + code % 32)::BIGINT AS token FROM c LEFT JOIN ix USING (code), m""")
 def p07_token_ids(spark, d):
     """Codes of an index get their rank, others one of 32 shared ids; every k-mer of a read has one. Ranks come from counts per range of codes.

@@ -164,7 +164,7 @@ def numbered(reads: DataFrame) -> DataFrame:
     sizes = r.groupBy("file", "_b").agg(F.count("*").alias("_c"))
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_c").over(Window.partitionBy("file").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
     inside = F.row_number().over(Window.partitionBy("file", "_b").orderBy("record_index"))
-    return r.withColumn("n", inside).join(F.broadcast(sizes), ["file", "_b"]).withColumn("n", F.col("n") + F.col("_before") - 1).drop("_b", "_before")
+    return r.withColumn("n", inside).join(sizes, ["file", "_b"]).withColumn("n", F.col("n") + F.col("_before") - 1).drop("_b", "_before")
 
 
 def read_pairs(first: DataFrame, second: DataFrame) -> DataFrame:
