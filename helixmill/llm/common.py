@@ -18,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Sets a checkpoint folder only where the session names none (tests, one machine)."""
+    """Sets a checkpoint folder: the one that the session names, or on one machine (tests) a new one."""
     if spark.sparkContext.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="helixmill-checkpoint-"))
 
 
