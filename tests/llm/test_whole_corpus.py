@@ -36,3 +36,15 @@ def test_texts_of_one_key_are_documents(spark, key):
     rows = [(key, b), (key, c + d), (key, c + d), (9, "x" + b)]
     got = sorted((str(r.doc_id), r.n_removed, r.kept.decode()) for r in substring_dedup.remove_repeats(docs(spark, rows)).collect())
     assert got == sorted([(str(key), 0, b), (str(key), 0, c + d), (str(key), 0, c + d), ("9", len(b), "x")])
+
+
+def test_components_of_shared_keys(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    near = a + " more"
+    rows = [(2, a), (4, near), (4, b), (5, b), (8, near), (None, "one lone text"), (None, b + " x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.component_id) for r in ngram_jaccard.jaccard_components(frame).collect())
+    least = -(2**63)
+    assert got == [(False, 2, 2), (False, 4, least), (False, 4, 2), (False, 5, least), (False, 8, 2), (True, 0, least), (True, 0, least)]
+    kept = sorted(r.text for r in ngram_jaccard.keep_one_of_each(frame).collect())
+    assert kept == sorted([a, "one lone text", b + " x"])
