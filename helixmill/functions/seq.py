@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TILE = 512
+TILE = 128
+OUTER = 1 << 16
 
 
 def standardize(seq: Column) -> Column:
@@ -21,15 +22,51 @@ def reverse_complement(seq: Column) -> Column:
     return F.reverse(F.translate(seq, "ACGTacgt", "TGCATGCA"))
 
 
+def tiles(df: DataFrame, seq: str, overlap: int, size: int = TILE, outer: int = OUTER) -> DataFrame:
+    """seq in pieces of `size` characters and the `overlap` that follows, as _part with its place _at. Cut twice, so that the work stays linear in a sequence's length."""
+    cut = lambda s, n: F.posexplode(F.regexp_extract_all(s, F.lit(rf"(?=([\s\S]{{1,{n + overlap}}}))[\s\S]{{1,{n}}}"), 1))
+    keep = [c for c in df.columns if c != seq]
+    wide = df.select(*keep, cut(F.col(seq), outer).alias("_o", "_wide"))
+    # the last characters of a wide piece are its overlap: they start no tile, but for those of the sequence's end, which are too short for one anyway
+    inner = wide.select(*keep, "_o", cut(F.col("_wide"), size).alias("_i", "_part")).where(F.col("_i") * size < outer)
+    return inner.select(*keep, (F.col("_o") * outer + F.col("_i") * size).alias("_at"), "_part")
+
+
+def _places(n: int, k: Column) -> Column:
+    """1 to the last start of a k-mer in a tile; whole tiles give no more than their own n starts."""
+    return F.explode(F.sequence(F.lit(1), F.least(F.length("_part") - k + 1, F.lit(n))))
+
+
 def explode_kmers(df: DataFrame, k: int, seq: str = "seq", canonical: bool = False, out: str = "kmer") -> DataFrame:
-    """A row per overlapping k-mer with its offset; none for shorter sequences. Long ones are cut into tiles first, so that a substring never walks a whole sequence."""
-    n = F.length(seq) - (k - 1)
-    tiled = df.where(F.length(seq) >= k).select("*", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / TILE).cast("int"))).alias("_tile"))
-    tiled = tiled.withColumn("_part", F.expr(f"substring(`{seq}`, _tile * {TILE} + 1, {TILE + k - 1})")).drop(seq)
-    rows = tiled.select("*", F.explode(F.sequence(F.lit(1), F.length("_part") - (k - 1))).alias("_i"))
+    """A row per overlapping k-mer with its offset; none for shorter sequences. Sequences are cut into tiles first, so that a substring never walks a whole one."""
+    part = tiles(df.where(F.length(seq) >= k), seq, k - 1).where(F.length("_part") >= k)
+    keep = [c for c in part.columns if c not in ("_at", "_part")]
+    back = [reverse_complement(F.col("_part")).alias("_back")] if canonical else []
+    rows = part.select("*", *back).select("*", _places(TILE, F.lit(k)).alias("_i"))
     kmer = F.expr(f"substring(_part, _i, {k})")
-    rows = rows.withColumn("offset", F.col("_tile") * TILE + F.col("_i") - 1).withColumn(out, kmer).drop("_part", "_tile", "_i")
-    return rows.withColumn(out, canonical_kmer(F.col(out))) if canonical else rows
+    if canonical:
+        kmer = F.least(kmer, F.expr(f"substring(_back, length(_part) - _i - {k - 2}, {k})"))
+    return rows.select(*keep, (F.col("_at") + F.col("_i") - 1).alias("offset"), kmer.alias(out))
+
+
+def explode_codes(df: DataFrame, ks: list[int], seq: str = "seq", canonical: bool = True) -> DataFrame:
+    """df without seq, k and the code of each overlapping k-mer, for all k at once. A tile is put into digits once for each strand; only numbers leave it."""
+    part = tiles(df, seq, max(ks) - 1)
+    keep = [c for c in part.columns if c not in ("_at", "_part")]
+    digits = part.withColumn("_part", F.translate("_part", "ACGT", "0123"))
+    digits = digits.withColumn("_back", F.reverse(F.translate("_part", "0123", "3210"))) if canonical else digits
+    digits = digits.select("*", F.explode(F.array(*map(F.lit, ks))).alias("k")).where(F.length("_part") >= F.col("k"))
+    rows = digits.select("*", _places(TILE, F.col("k")).alias("_i"))
+    one = F.expr("substring(_part, _i, k)")
+    if canonical:
+        one = F.least(one, F.expr("substring(_back, length(_part) - _i - k + 2, k)"))
+    # up to 18 digits are read as a decimal number here and put right by code_of_digits once counts are combined
+    return rows.select(*keep, "k", (one.cast("bigint") if max(ks) <= 18 else F.conv(one, 4, 10).cast("bigint")).alias("code"))
+
+
+def code_of_digits(code: Column, ks: list[int]) -> Column:
+    """The code of what explode_codes gives for these ks."""
+    return F.conv(code.cast("string"), 4, 10).cast("bigint") if max(ks) <= 18 else code
 
 
 def kmers(seq: Column, k: int) -> Column:

@@ -5,36 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixmill.functions.seq import base_code, explode_kmers, keyed_uniform
+from helixmill.functions.seq import base_code, code_of_digits, explode_codes, explode_kmers, keyed_uniform
 
 
 def count_kmers(reads: DataFrame, k: int, by: list[str] = [], canonical: bool = True, seq: str = "seq") -> DataFrame:
-    """(by, code, count) of distinct k-mers. Codes are numbers before the shuffle, and counts are combined before it."""
-    rows = explode_kmers(reads.select(*by, seq), k, seq, canonical)
-    return rows.groupBy(*by, base_code(F.col("kmer")).alias("code")).agg(F.count("*").alias("count"))
+    """(by, code, count) of distinct k-mers. K-mers are numbers before the shuffle, and counts are combined before it."""
+    rows = explode_codes(reads.select(*by, seq), [k], seq, canonical).groupBy(*by, "code").agg(F.count("*").alias("count"))
+    return rows.withColumn("code", code_of_digits(F.col("code"), [k]))
 
 
 def entropy_summary(counts: DataFrame, by: list[str], k: Column | int, count: str = "count") -> DataFrame:
-    """Entropies, redundancies and coverage of a table of counts, in one pass and one small join for the coverage-adjusted one.
+    """Entropies, redundancies and coverage of a table of counts, from how many types have each count: that table has at most about sqrt(2 n) rows a group, and counts are read once.
 
     An empty group or a single type has entropy 0. Where all types are singletons the coverage-adjusted entropy is the plain one.
     """
-    c = F.col(count).cast("double")
     k = F.lit(k) if isinstance(k, int) else k
-    counts = counts.where(c > 0)
-    n, types = F.col("n_kmers"), F.col("n_types")
-    base = counts.groupBy(*by).agg(F.sum(count).cast("bigint").alias("n_kmers"), F.count("*").alias("n_types"), F.count_if(F.col(count) == 1).alias("singletons"), F.sum(c * F.log2(c)).alias("_clogc"))
-    base = base.withColumn("entropy", F.when(types <= 1, 0.0).otherwise(F.log2(n) - F.col("_clogc") / n)).drop("_clogc")
-    base = base.withColumn("coverage", 1 - F.col("singletons") / n)
-    size = base.select(*(F.col(b).alias(f"_{b}") for b in by), n.alias("_n"), F.col("coverage").alias("_cov"))
-    on = [counts[b].eqNullSafe(F.col(f"_{b}")) for b in by]
-    joined = counts.join(size, on) if on else counts.crossJoin(F.broadcast(size))
+    steps = counts.where(F.col(count) > 0).groupBy(*by, F.col(count).cast("bigint").alias("_c")).agg(F.count("*").alias("_m"))
+    c, m, n, types = F.col("_c").cast("double"), F.col("_m"), F.col("n_kmers"), F.col("n_types")
+    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    steps = steps.withColumn("_n", F.sum(F.col("_c") * m).over(whole)).withColumn("_cov", 1 - F.sum(F.when(F.col("_c") == 1, m).otherwise(0)).over(whole) / F.col("_n"))
     pa = c / F.col("_n") * F.col("_cov")
     seen = 1 - F.pow(1 - pa, F.col("_n"))
-    adjusted = joined.where(F.col("_cov") > 0).groupBy(*by).agg((-F.sum(pa * F.log2(pa) / F.when(seen > 0, seen).otherwise(1.0))).alias("_cs"))
-    same = [base[b].eqNullSafe(adjusted[b]) for b in by]
-    out = base.join(adjusted, same, "left").select(*(base[b] for b in by), *(base[c] for c in base.columns if c not in by), "_cs") if by else base.join(adjusted, how="left")
+    adjusted = F.when(F.col("_cov") > 0, -m * pa * F.log2(pa) / F.when(seen > 0, seen).otherwise(1.0))
+    out = steps.groupBy(*by).agg(
+        F.sum(F.col("_c") * m).alias("n_kmers"), F.sum("_m").alias("n_types"), F.coalesce(F.sum(F.when(F.col("_c") == 1, m)), F.lit(0)).alias("singletons"),
+        F.sum(m * c * F.log2(c)).alias("_clogc"), F.first("_cov").alias("coverage"), F.sum(adjusted).alias("_cs"),
+    )
     h = F.col("entropy")
+    out = out.withColumn("entropy", F.when(types <= 1, 0.0).otherwise(F.log2(n) - F.col("_clogc") / n)).drop("_clogc")
     return out.withColumns({
         "miller_madow": F.when(types <= 1, 0.0).otherwise(h + (types - 1) / (2 * n * F.log(F.lit(2.0)))),
         "chao_shen": F.when(types <= 1, 0.0).otherwise(F.coalesce("_cs", h)),
@@ -69,14 +67,22 @@ def exact_rank(df: DataFrame, by: list[str], u: str, tie: str, ranges: int = 409
 
 
 def spectrum(reads: DataFrame, key: str, corpus: str, ks: list[int], fractions: list[float], replicates: int = 1, seed: str = "0", canonical: bool = True) -> DataFrame:
-    """Entropy summary for each corpus, k, fraction and replicate, over nested subsamples of reads."""
-    sampled = nested_sample(reads.select(key, corpus, "seq"), key, fractions, replicates, seed).drop(key)
-    by = [corpus, "fraction", "replicate"]
-    parts = [count_kmers(sampled, k, by, canonical).withColumn("k", F.lit(k)) for k in ks]
-    counts = parts[0]
-    for p in parts[1:]:
-        counts = counts.unionByName(p)
-    return entropy_summary(counts, [*by, "k"], F.col("k"))
+    """Entropy summary for each corpus, k, fraction and replicate, over nested subsamples of reads. The key must be unique.
+
+    A read is cut into k-mers once, whatever the number of samples, and is not shuffled: it carries a 0 or 1 for each sample, from the
+    sample's last keyed number (one row for all samples), and a k-mer's counts are the sums of these.
+    """
+    samples = [(r, f) for r in range(replicates) for f in fractions]
+    drawn = lambda r: F.struct(keyed_uniform(F.col(key).cast("string"), F.lit(str(r)), F.lit(seed)).alias("u"), F.col(key).alias("key"))
+    grid = reads.select(key, F.explode(F.array(*(F.struct(F.lit(r).alias("replicate"), drawn(r).alias("d")) for r in range(replicates)))).alias("g")).select(key, "g.replicate", "g.d", "g.d.u")
+    ranked = exact_rank(grid, ["replicate"], "u", key)
+    last = [F.max(F.when((F.col("replicate") == r) & (F.col("_rank") <= F.bround(F.lit(f) * F.col("_total"))), F.col("d"))).alias(f"_s{i}") for i, (r, f) in enumerate(samples)]
+    taken = reads.select(key, corpus, "seq", *(drawn(r).alias(f"_d{r}") for r in range(replicates))).crossJoin(F.broadcast(ranked.agg(*last)))
+    taken = taken.select(corpus, "seq", *(F.coalesce(F.col(f"_d{r}") <= F.col(f"_s{i}"), F.lit(False)).cast("int").alias(f"_s{i}") for i, (r, f) in enumerate(samples)))
+    codes = explode_codes(taken, ks, "seq", canonical)
+    counts = codes.groupBy(corpus, "k", "code").agg(*(F.sum(f"_s{i}").alias(f"_s{i}") for i in range(len(samples))))
+    each = F.array(*(F.struct(F.lit(r).alias("replicate"), F.lit(f).alias("fraction"), F.col(f"_s{i}").alias("count")) for i, (r, f) in enumerate(samples)))
+    return entropy_summary(counts.select(corpus, "k", F.inline(each)), [corpus, "fraction", "replicate", "k"], F.col("k"))
 
 
 def mean_spectrum(table: DataFrame, corpus: str = "corpus") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from helixmill.functions import seq as S
 from helixmill.operators import kmers as K
 from helixmill.plans.registry import query, table
+from helixmill.sources.tables import spread
 
 READS = "reads AS (SELECT doc_id, lang AS corpus, regexp_replace(upper(text), '[^ACTG]', '', 'g') AS seq FROM documents)"
 RC = "reverse(translate({0}, 'ACGT', 'TGCA'))"
@@ -36,7 +37,8 @@ def rounded(df, *names):
 
 
 def reads(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.col("lang").alias("corpus"), S.standardize(F.col("text")).alias("seq"))
+    raw = spread(table(spark, d, "documents").select("doc_id", F.col("lang").alias("corpus"), "text"))
+    return raw.select("doc_id", "corpus", S.standardize(F.col("text")).alias("seq"))
 
 
 @query(f"WITH {READS} SELECT doc_id, seq, {RC.format('seq')} AS rc, length(seq)::BIGINT AS bases FROM reads")

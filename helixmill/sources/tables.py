@@ -215,3 +215,12 @@ def manifest(tables: dict[str, DataFrame], params: dict, path: str, spark: Spark
         r = df.agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64(*df.columns)).alias("fingerprint")).first()
         entries[name] = {"rows": r["rows"], "fingerprint": r["fingerprint"] or 0}
     spark.createDataFrame([(json.dumps(params, sort_keys=True), json.dumps(entries, sort_keys=True))], "params string, tables string").coalesce(1).write.mode("overwrite").json(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of fewer splits than the cluster has cores, such as one file of one row group, dealt to all cores; any other as it is. Rows stay the same.
+
+    For plain scans and projections of them: it asks for the number of partitions, which a plan with a shuffle only knows once it runs.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
