@@ -16,19 +16,46 @@ def _log_choose(n: int, k: int) -> float:
     return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
 
 
+def _hypergeometric(k: int, inside: int, top: int, n: int) -> float:
+    """P(k of the `inside` drawn are among the `top` of n)."""
+    return math.exp(_log_choose(top, k) + _log_choose(n - top, inside - k) - _log_choose(n, inside))
+
+
+def _sum_from(k: int, step: int, inside: int, top: int, n: int) -> float:
+    """The sum of the probabilities from k on, away from the mode: each from the one before, until they no longer count."""
+    lo, hi = max(0, inside + top - n), min(inside, top)
+    p = total = _hypergeometric(k, inside, top, n) if lo <= k <= hi else 0.0
+    while lo <= k + step <= hi and p > total * 1e-17:
+        up, down = (top - k) * (inside - k), k * (n - top - inside + k)
+        p *= up / ((k + 1) * (n - top - inside + k + 1)) if step > 0 else down / ((top - k + 1) * (inside - k + 1))
+        total, k = total + p, k + step
+    return total
+
+
 def hypergeometric_tail(a: int, inside: int, top: int, n: int) -> float:
-    """P(at least a of the `inside` drawn are among the `top` of n)."""
+    """P(at least a of the `inside` drawn are among the `top` of n), in constant memory."""
     lo, hi = max(0, inside + top - n), min(inside, top)
-    logs = [_log_choose(top, k) + _log_choose(n - top, inside - k) - _log_choose(n, inside) for k in range(max(a, lo), hi + 1)]
-    return min(1.0, sum(map(math.exp, logs))) if logs else 0.0
+    if a <= lo or a > hi:
+        return float(a <= lo)
+    mode = (inside + 1) * (top + 1) // (n + 2)
+    return min(1.0, _sum_from(a, 1, inside, top, n)) if a > mode else max(0.0, 1.0 - _sum_from(a - 1, -1, inside, top, n))
 
 
 def fisher_two_sided(a: int, inside: int, top: int, n: int) -> float:
-    """Sum of the probabilities of all tables that are no likelier than this one."""
+    """Sum of the probabilities of all tables that are no likelier than this one: those from a on, and those beyond the place on the other side of the mode, found by halving."""
     lo, hi = max(0, inside + top - n), min(inside, top)
-    p = [math.exp(_log_choose(top, k) + _log_choose(n - top, inside - k) - _log_choose(n, inside)) for k in range(lo, hi + 1)]
-    own = p[a - lo]
-    return min(1.0, sum(x for x in p if x <= own * (1 + 1e-7)))
+    mode = min(hi, max(lo, (inside + 1) * (top + 1) // (n + 2)))
+    most = _hypergeometric(a, inside, top, n) * (1 + 1e-7)
+    if _hypergeometric(mode, inside, top, n) <= most:
+        return 1.0
+    step = 1 if a > mode else -1
+    near, far = mode, (lo if step > 0 else hi)  # at near a table is likelier than this one
+    if _hypergeometric(far, inside, top, n) > most:
+        return min(1.0, _sum_from(a, step, inside, top, n))
+    while abs(far - near) > 1:
+        mid = (near + far) // 2
+        near, far = (mid, far) if _hypergeometric(mid, inside, top, n) > most else (near, mid)
+    return min(1.0, _sum_from(a, step, inside, top, n) + _sum_from(far, -step, inside, top, n))
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:

@@ -31,12 +31,29 @@ def without_overlap(left: DataFrame, right: DataFrame, key: list[str], **kw) ->
     return left.join(overlap_join(left, right, **kw).select(*key), key, "left_anti")
 
 
-def merged(intervals: DataFrame, by: list[str] = ["contig"], start: str = "start", end: str = "end") -> DataFrame:
-    """Overlapping or touching intervals joined, per group."""
-    w = Window.partitionBy(*by).orderBy(start, end)
+def merged(intervals: DataFrame, by: list[str] = ["contig"], start: str = "start", end: str = "end", width: int = 1 << 16) -> DataFrame:
+    """Overlapping or touching intervals joined, per group.
+
+    First inside bins of starts, then across: a bin's islands need only the furthest end and the last island's start of the bins before it,
+    and only these two numbers a bin meet in one task of a group.
+    """
+    w = Window.partitionBy(*by, "_bin").orderBy(start, end)
     far = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = intervals.select(*by, start, end, far.alias("_far")).withColumn("_new", F.when(F.col("_far").isNull() | (F.col(start) > F.col("_far")), 1).otherwise(0))
-    return marked.withColumn("_island", F.sum("_new").over(w)).groupBy(*by, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
+    marked = intervals.select(*by, start, end, F.floor(F.col(start) / width).alias("_bin")).withColumn("_far", far).withColumn("_new", F.when(F.col("_far").isNull() | (F.col(start) > F.col("_far")), 1).otherwise(0))
+    small = marked.withColumn("_island", F.sum("_new").over(w)).groupBy(*by, "_bin", "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
+    far_before = _of_bins_before(small, by, F.max(end), "_far")
+    first = far_before.withColumn("_first", F.when(F.col("_far").isNull() | (F.col(start) > F.col("_far")), F.col(start)))
+    known = _of_bins_before(first, by, F.max("_first"), "_last")
+    own = F.max("_first").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return known.withColumn("_at", F.coalesce(own, "_last")).groupBy(*by, "_at").agg(F.max(end).alias(end)).select(*by, F.col("_at").alias(start), end)
+
+
+def _of_bins_before(rows: DataFrame, by: list[str], most: Column, out: str) -> DataFrame:
+    """Adds the largest of an aggregate over the bins before a row's; null in the first."""
+    keys = [f"_k{i}" for i in range(len(by))]
+    bins = rows.groupBy(*(F.col(b).alias(k) for b, k in zip(by, keys)), F.col("_bin").alias("_b")).agg(most.alias(out))
+    bins = bins.withColumn(out, F.max(out).over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)))
+    return rows.join(bins, [F.col("_bin") == F.col("_b"), *(F.col(b).eqNullSafe(F.col(k)) for b, k in zip(by, keys))]).drop("_b", *keys)
 
 
 def restrict_loci(loci: DataFrame, spans: DataFrame, least: int, key: list[str]) -> DataFrame:

@@ -109,6 +109,21 @@ def pinned_kmers(counts: DataFrame, min_count: int, most: int, kmer: str = "kmer
     return top.select(base_code(canonical_kmer(F.col(kmer))).alias("code")).distinct()
 
 
+def common_codes(counts: DataFrame, code: str = "code", count: str = "count") -> DataFrame:
+    """Codes that come more often than the average code."""
+    whole = counts.agg(F.sum(count).alias("_sum"), F.count("*").alias("_types"))
+    return counts.crossJoin(F.broadcast(whole)).where(F.col(count) * F.col("_types") > F.col("_sum")).select(code)
+
+
+def token_ids(rows: DataFrame, index: DataFrame, k: int, code: str = "code", first: int = 5, shared: int = 32, out: str = "token") -> DataFrame:
+    """Adds the token id of each code: its rank in the index from `first` on, or one of the `shared` ids after these. Ranks come from counts per range of codes."""
+    ranked = exact_rank(index.select(code).distinct().withColumn("_u", F.col(code) / F.lit(4.0**k)), [], "_u", code).select(code, "_rank")
+    size = index.agg(F.count_distinct(code).alias("_size"))
+    met = rows.join(ranked, code, "left").crossJoin(F.broadcast(size))  # one row
+    token = F.coalesce(first - 1 + F.col("_rank"), first + F.col("_size") + F.col(code) % shared)
+    return met.withColumn(out, token.cast("bigint")).drop("_rank", "_size")
+
+
 def read_index_overlap(reads: DataFrame, index: DataFrame, key: str, group: str, k: int, threshold: int) -> DataFrame:
     """For each group: reads, and the mean share of a read's k-mers whose index count is at least 1 and at least threshold."""
     rows = explode_kmers(reads.select(key, group, "seq"), k, canonical=True).withColumn("code", base_code(F.col("kmer")))

@@ -7,25 +7,20 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixmill.operators.ranks import running_sums, with_mid_ranks, with_totals
 from helixmill.operators.scores import pearson
 
 
-def mid_rank(x: str, by: list[str]) -> Column:
-    """Rank with ties at their mean."""
-    w = Window.partitionBy(*by)
-    return F.rank().over(w.orderBy(x)) + (F.count("*").over(Window.partitionBy(*by, x)) - 1) / 2
-
-
 def correlations(rows: DataFrame, by: list[str], x: str, y: str, extra: list[Column] = []) -> DataFrame:
     """by, n, pearson_r2, spearman_rho over rows where both are there; null for fewer than 3 rows or a constant side."""
-    good = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns({"_rx": mid_rank(x, by), "_ry": mid_rank(y, by)})
+    good = with_mid_ranks(rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()), by, {"_rx": x, "_ry": y})
     out = good.groupBy(*by).agg(F.count("*").alias("n"), pearson(x, y).alias("_r"), pearson("_rx", "_ry").alias("_s"), *extra)
     enough = F.col("n") >= 3
     return out.withColumns({"pearson_r2": F.when(enough, F.col("_r") ** 2), "spearman_rho": F.when(enough, F.col("_s"))}).drop("_r", "_s")
 
 
 def percent_of_total(rows: DataFrame, by: list[str], value: str, out: str = "pct") -> DataFrame:
-    return rows.withColumn(out, 100 * F.col(value) / F.nullif(F.sum(value).over(Window.partitionBy(*by)), F.lit(0)))
+    return with_totals(rows, by, _sum=F.sum(value)).withColumn(out, 100 * F.col(value) / F.nullif("_sum", F.lit(0))).drop("_sum")
 
 
 def joined_methods(reference: DataFrame, methods: dict[str, DataFrame], key: str) -> DataFrame:
@@ -62,11 +57,16 @@ def long(rows: DataFrame, keys: list[str], columns: list[str], name: str, value:
 
 def profile(rows: DataFrame, by: list[str], count: str, flags: dict[str, Column] = {}) -> DataFrame:
     """Total, loci detected, over 1 % and with ten or more, shares of the top 1, 3 and 10, quantiles of the percentages, shares of flagged loci."""
-    p = percent_of_total(rows, by, count, "_pct").withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(count))))
+    p = percent_of_total(rows, by, count, "_pct")
     c = F.col(count)
     share = lambda ok: F.coalesce(F.sum(F.when(ok, F.col("_pct"))), F.lit(0.0))
     q = F.percentile(F.when(c > 0, F.col("_pct")), F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
-    out = p.groupBy(*by).agg(F.sum(count).alias("total"), F.count_if(c > 0).alias("detected"), F.count_if(F.col("_pct") > 1).alias("over_1pct"), F.count_if(c >= 10).alias("tens"), *(share(F.col("_i") <= k).alias(f"top{k}") for k in (1, 3, 10)), q.alias("_q"), *(share(ok).alias(name) for name, ok in flags.items()))
+    out = p.groupBy(*by).agg(F.sum(count).alias("total"), F.count_if(c > 0).alias("detected"), F.count_if(F.col("_pct") > 1).alias("over_1pct"), F.count_if(c >= 10).alias("tens"), q.alias("_q"), *(share(ok).alias(name) for name, ok in flags.items()))
+    # the limit on row_number lets each task keep ten rows a group before the shuffle
+    keys = [f"_k{i}" for i in range(len(by))]
+    top = p.select(*(F.col(b).alias(k) for b, k in zip(by, keys)), count, "_pct").withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(count)))).where("_i <= 10")
+    top = top.groupBy(*keys).agg(*(share(F.col("_i") <= k).alias(f"top{k}") for k in (1, 3, 10)))
+    out = out.join(top, [F.col(b).eqNullSafe(F.col(k)) for b, k in zip(by, keys)]).drop(*keys)
     return out.select("*", *(F.col("_q")[i].alias(n) for i, n in enumerate(("median_pct", "p90_pct", "p99_pct")))).drop("_q")
 
 
@@ -83,8 +83,7 @@ def assignment_rate(summary: DataFrame, by: str, status: str, count: str) -> Dat
 
 def rescaled(rows: DataFrame, method: str, truth: str, value: str) -> DataFrame:
     """Values times sum(truth) / sum(value) of their method."""
-    w = Window.partitionBy(method)
-    return rows.withColumn(value, F.col(value) * F.sum(truth).over(w) / F.nullif(F.sum(value).over(w), F.lit(0)))
+    return with_totals(rows, [method], _truth=F.sum(truth), _sum=F.sum(value)).withColumn(value, F.col(value) * F.col("_truth") / F.nullif("_sum", F.lit(0))).drop("_truth", "_sum")
 
 
 def stability(runs: DataFrame, run: str, metrics: list[str]) -> DataFrame:
@@ -107,9 +106,12 @@ def dynamic_range(rows: DataFrame, method: str, value: str, benchmark: int, keep
 
 def concentration(rows: DataFrame, by: list[str], value: str, shares: list[float] = [0.5, 0.9, 0.99]) -> DataFrame:
     """Loci that it takes, largest first, to reach each share of a group's sum."""
-    w = Window.partitionBy(*by)
-    r = rows.withColumn("_i", F.row_number().over(w.orderBy(F.desc(value)))).withColumn("_c", F.sum(value).over(w.orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, 0)) / F.sum(value).over(w))
-    return r.groupBy(*by).agg(*(F.min(F.when(F.col("_c") >= s, F.col("_i"))).alias(f"n_{round(100 * s)}") for s in shares))
+    steps = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"), F.sum(value).alias("_s"))
+    c = running_sums(steps, by, "_v", {"_i": "_n", "_c": "_s"}, descending=True)
+    # inside a step all values are the same: of its _n loci, the first ones that reach the share
+    need = lambda s: F.col("_i") - F.col("_n") + F.greatest(F.ceil((s * F.col("total__c") - (F.col("_c") - F.col("_s"))) / F.nullif("_v", F.lit(0)) - 1e-9), F.lit(1))
+    reached = lambda s: F.col("_c") / F.col("total__c") >= s
+    return c.groupBy(*by).agg(*(F.min(F.when(reached(s), need(s))).alias(f"n_{round(100 * s)}") for s in shares))
 
 
 def dominant(rows: DataFrame, by: list[str], name: str, value: str) -> DataFrame:
@@ -129,9 +131,7 @@ def winners(rows: DataFrame, stratum: list[str], method: str, value: str) -> Dat
 
 def min_max(rows: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
     """To 0..1 in each group; 0.5 if constant."""
-    w = Window.partitionBy(*by)
-    lo, hi = F.min(value).over(w), F.max(value).over(w)
-    return rows.withColumns({"_lo": lo, "_hi": hi}).withColumn(out, F.coalesce((F.col(value) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0)), F.lit(0.5))).drop("_lo", "_hi")
+    return with_totals(rows, by, _lo=F.min(value), _hi=F.max(value)).withColumn(out, F.coalesce((F.col(value) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0)), F.lit(0.5))).drop("_lo", "_hi")
 
 
 #: Named sets of loci; each is a predicate on value, unit, pct (of the method's own total), reference and common.
@@ -197,7 +197,7 @@ def partial_correlation(rows: DataFrame, by: list[str], x: str, y: str, z: str)
 
 def agreement(rows: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     """Jaccard of detection, Spearman of values and Pearson of log10(1 + x)."""
-    rows = rows.withColumns({"_la": F.log10(1 + F.col(a)), "_lb": F.log10(1 + F.col(b)), "_ra": mid_rank(a, by), "_rb": mid_rank(b, by)})
+    rows = with_mid_ranks(rows, by, {"_ra": a, "_rb": b}).withColumns({"_la": F.log10(1 + F.col(a)), "_lb": F.log10(1 + F.col(b))})
     on, off = F.col(a) > 0, F.col(b) > 0
     return rows.groupBy(*by).agg((F.count_if(on & off) / F.nullif(F.count_if(on | off), F.lit(0))).alias("jaccard"), pearson("_ra", "_rb").alias("spearman"), pearson("_la", "_lb").alias("pearson_log"))
 
@@ -238,7 +238,7 @@ def verified(got: DataFrame, published: DataFrame, key: list[str], value: str, r
 def parameter_importance(rows: DataFrame, parameters: list[str], score: str) -> DataFrame:
     """abs(Spearman) of each parameter with the score."""
     m = rows.unpivot([score], parameters, "parameter", "x")
-    m = m.withColumns({"_rx": mid_rank("x", ["parameter"]), "_ry": mid_rank(score, ["parameter"])})
+    m = with_mid_ranks(m, ["parameter"], {"_rx": "x", "_ry": score})
     return m.groupBy("parameter").agg(F.abs(pearson("_rx", "_ry")).alias("importance")).orderBy(F.desc("importance"))
 
 

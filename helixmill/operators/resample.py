@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixmill.functions.stats import fisher_greater, fisher_two, normal_p, poisson_count, poisson_weight, wilcoxon_p
-from helixmill.operators.loci import mid_rank
+from helixmill.operators.ranks import with_mid_ranks
 from helixmill.operators.scores import pearson
 
 
@@ -109,8 +109,8 @@ def clustered_enrichment(rows: DataFrame, read: str, inside: Column, top: Column
     s = lambda c: 1 / F.nullif(F.sum(c), F.lit(0))
     own = per.agg(log_or(F.lit(1)).alias("l"), (s("a") + s("b") + s("c") + s("d")).alias("naive"), F.count("*").alias("n_reads"))
     means = rows.groupBy(read).agg(F.avg(F.when(inside, F.col(value))).alias("i"), F.avg(F.when(~inside, F.col(value))).alias("o"))
-    long = means.select(F.lit(1).alias("in"), F.col("i").alias("x")).unionByName(means.select(F.lit(0).alias("in"), F.col("o").alias("x"))).where("x is not null").withColumn("one", F.lit(0))
-    ranks = long.withColumn("r", mid_rank("x", ["one"])).agg(F.sum(F.when(F.col("in") == 1, F.col("r"))).alias("rs"), F.sum("in").alias("n1"), F.count("*").alias("m"))
+    long = means.select(F.lit(1).alias("in"), F.col("i").alias("x")).unionByName(means.select(F.lit(0).alias("in"), F.col("o").alias("x"))).where("x is not null")
+    ranks = with_mid_ranks(long, [], {"r": "x"}).agg(F.sum(F.when(F.col("in") == 1, F.col("r"))).alias("rs"), F.sum("in").alias("n1"), F.count("*").alias("m"))
     n1, m = F.col("n1"), F.col("m")
     u = F.col("rs") - n1 * (n1 + 1) / 2
     z = (u - n1 * (m - n1) / 2) / F.nullif(F.sqrt(n1 * (m - n1) * (m + 1) / 12), F.lit(0.0))
@@ -140,7 +140,7 @@ def stratum_contrasts(rows: DataFrame, stratum: str, method: str, value: str, re
 def noise_ceiling(rows: DataFrame, key: str, a: str, b: str, floors: list[int], n: int = 20, seed: str = "0") -> DataFrame:
     """For each floor of the pooled count: loci, observed agreement (rank, log10 and concordance with sample covariance), and the rank correlation that two draws from the pooled profile reach."""
     marked = rows.fillna(0, [a, b]).withColumn("_p", F.col(a) + F.col(b)).select("*", F.explode(F.array(*map(F.lit, floors))).alias("floor")).where(F.col("_p") >= F.greatest("floor", F.when(F.col("floor") > 0, 1).otherwise(0)))
-    x = marked.withColumns({"_la": F.log10(1 + F.col(a)), "_lb": F.log10(1 + F.col(b)), "_ra": mid_rank(a, ["floor"]), "_rb": mid_rank(b, ["floor"])})
+    x = with_mid_ranks(marked, ["floor"], {"_ra": a, "_rb": b}).withColumns({"_la": F.log10(1 + F.col(a)), "_lb": F.log10(1 + F.col(b))})
     down = F.var_pop("_la") + F.var_pop("_lb") + F.pow(F.avg("_la") - F.avg("_lb"), 2)
     own = x.groupBy("floor").agg(F.count("*").alias("n_loci"), F.count_if((F.col(a) > 0) & (F.col(b) > 0)).alias("detected_both"), pearson("_ra", "_rb").alias("rho"), (pearson("_la", "_lb") ** 2).alias("r2_log10"), (2 * F.covar_samp("_la", "_lb") / F.nullif(down, F.lit(0.0))).alias("ccc_log10"))
     totals = rows.agg(F.sum(a).alias("_na"), F.sum(b).alias("_nb"))
@@ -149,7 +149,7 @@ def noise_ceiling(rows: DataFrame, key: str, a: str, b: str, floors: list[int],
     draw = lambda total, side: poisson_count(share * F.col(total), F.col(key).cast("string"), F.col("replicate").cast("string"), F.lit(seed + side))
     sim = sim.withColumns({"sa": draw("_na", "a"), "sb": draw("_nb", "b")})
     by = ["floor", "replicate"]
-    sim = sim.withColumns({"_ra": mid_rank("sa", by), "_rb": mid_rank("sb", by)}).groupBy(*by).agg(pearson("_ra", "_rb").alias("r"))
+    sim = with_mid_ranks(sim, by, {"_ra": "sa", "_rb": "sb"}).groupBy(*by).agg(pearson("_ra", "_rb").alias("r"))
     top = sim.groupBy("floor").agg(F.avg("r").alias("ceiling"), percentiles("r", 0.05, 0.95).alias("q"))
     return own.join(top, "floor", "left").select("floor", "n_loci", "detected_both", "rho", "r2_log10", "ccc_log10", "ceiling", F.col("q")[0].alias("ceiling_p05"), F.col("q")[1].alias("ceiling_p95"), (100 * F.col("rho") / F.nullif("ceiling", F.lit(0.0))).alias("pct_of_ceiling"))
 

@@ -8,6 +8,8 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixmill.operators.ranks import running_sums
+
 
 def softmax(logits: Column, temperature: float | Column = 1.0) -> Column:
     z = F.transform(logits, lambda x: x / temperature)
@@ -113,12 +115,11 @@ def metrics(grid: DataFrame, label: str, pred: str) -> DataFrame:
 
 
 def one_vs_rest(rows: DataFrame, label: str, p: str) -> DataFrame:
-    """class, auc, average_precision; null for a class without rows of either kind. Works on counts per distinct score, so ties are one step."""
+    """class, auc, average_precision; null for a class without rows of either kind. Works on counts per distinct score, so ties are one step, and adds them in ranges of scores."""
     long = rows.select(label, F.posexplode(p).alias("class", "s"))
     steps = long.groupBy("class", "s").agg(F.count_if(F.col(label) == F.col("class")).alias("tp"), F.count("*").alias("n"))
-    down = Window.partitionBy("class").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("class")
-    c = steps.withColumns({"c_tp": F.sum("tp").over(down), "c_n": F.sum("n").over(down), "all_pos": F.sum("tp").over(whole), "all_neg": F.sum(F.col("n") - F.col("tp")).over(whole)})
+    c = running_sums(steps, ["class"], "s", {"c_tp": "tp", "c_n": "n"}, descending=True)
+    c = c.withColumns({"all_pos": F.col("total_c_tp"), "all_neg": F.col("total_c_n") - F.col("total_c_tp")})
     fp = F.col("n") - F.col("tp")
     above = F.col("c_n") - F.col("n") - (F.col("c_tp") - F.col("tp"))  # negatives with a larger score
     wins = F.sum(F.col("tp") * (F.col("all_neg") - above - 0.5 * fp))

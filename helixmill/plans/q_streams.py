@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from helixmill.functions import seq as S
+from helixmill.operators import kmers as K
 from helixmill.plans.q_kmers import CODE, READS, km, reads, rounded
 from helixmill.plans.registry import query, table
 from helixmill.streaming import scoring as ST
@@ -50,21 +51,12 @@ def st4_class_totals(spark, d):
     return spark.table(name).withColumn("soft", F.round("soft", 4))
 
 
-@query(f"""WITH {READS}, {km(6)}, c AS (SELECT doc_id, off, {CODE.format(k=6)} AS code FROM km), ix AS (SELECT code, row_number() OVER (ORDER BY code) - 1 AS rank FROM (SELECT DISTINCT code FROM c WHERE doc_id % 10 = 0)), m AS (SELECT max(rank) + 1 AS m FROM ix)
+@query(f"""WITH {READS}, {km(6)}, c AS (SELECT doc_id, off, {CODE.format(k=6)} AS code FROM km), ix AS (SELECT code, row_number() OVER (ORDER BY code) - 1 AS rank FROM (SELECT code FROM c GROUP BY code HAVING count(*) * (SELECT count(DISTINCT code) FROM c) > (SELECT count(*) FROM c))), m AS (SELECT max(rank) + 1 AS m FROM ix)
 SELECT doc_id, off::BIGINT AS off, coalesce(5 + rank, 5 + m + code % 32)::BIGINT AS token FROM c LEFT JOIN ix USING (code), m""")
 def p07_token_ids(spark, d):
-    """Codes of an index get their rank, others one of 32 shared ids; every k-mer of a read has one. Ranks come from counts per range of codes.
-
-    The reads whose id is a multiple of 10 stand for the target references. The SQL stops at the first 40 k-mers of a read.
-    """
-    from helixmill.operators.kmers import exact_rank
-
-    rows = S.explode_kmers(reads(spark, d).select("doc_id", "seq"), 6, canonical=True).select("doc_id", "offset", S.base_code(F.col("kmer")).alias("code"))
-    index = rows.where("doc_id % 10 = 0").select("code").distinct()
-    ranked = exact_rank(index.withColumn("_u", F.col("code") / F.lit(4.0**6)), [], "_u", "code").select("code", (F.col("_rank") - 1).alias("rank"), F.col("_total").alias("_m"))
-    size = index.agg(F.count("*").alias("m"))
-    out = rows.join(F.broadcast(ranked.drop("_m")), "code", "left").crossJoin(F.broadcast(size))  # at most 4^6 codes
-    return out.select("doc_id", F.col("offset").cast("bigint").alias("off"), F.coalesce(5 + F.col("rank"), 5 + F.col("m") + F.col("code") % 32).cast("bigint").alias("token"))
+    """Codes of an index get their rank, others one of 32 shared ids; every k-mer of a read has one. The index is the codes that come more often than the average code in all reads."""
+    rows = S.explode_kmers(reads(spark, d).select("doc_id", "seq"), 6, canonical=True).select("doc_id", F.col("offset").cast("bigint").alias("off"), S.base_code(F.col("kmer")).alias("code"))
+    return K.token_ids(rows, K.common_codes(K.count_kmers(reads(spark, d), 6)), 6).select("doc_id", "off", "token")
 
 
 @query("""WITH c AS (SELECT conv_id, max(text) FILTER (WHERE turn = 0) AS a, max(text) FILTER (WHERE turn = 1) AS b FROM conversations GROUP BY 1), x AS (SELECT conv_id, len(string_split(a, ' ')) AS la, len(string_split(b, ' ')) AS lb FROM c WHERE a IS NOT NULL AND b IS NOT NULL), t AS (SELECT *, CASE WHEN la + lb <= 29 THEN la ELSE least(la, greatest(14, 29 - lb)) END AS na FROM x)
