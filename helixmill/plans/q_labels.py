@@ -175,10 +175,10 @@ def u01_union(spark, d):
     return x.where("toxic = 0").select(F.lit("pos").alias("kind"), "doc_id").unionByName(x.where("toxic = 1").select(F.lit("neg").alias("kind"), "doc_id"))
 
 
-@query("SELECT DISTINCT source FROM documents WHERE doc_id % 2 = 1 EXCEPT SELECT source FROM documents WHERE doc_id % 7 = 0")
+@query("SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '2-HIGH'")
 def u02_unseen_labels(spark, d):
-    x = table(spark, d, "documents").select("doc_id", "source")
-    return x.where("doc_id % 2 = 1").select("source").distinct().join(x.where("doc_id % 7 = 0"), "source", "left_anti")
+    x = table(spark, d, "orders").select("o_custkey", "o_orderpriority")
+    return x.where("o_orderpriority = '1-URGENT'").select("o_custkey").distinct().join(x.where("o_orderpriority = '2-HIGH'"), "o_custkey", "left_anti")
 
 
 @query("SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' INTERSECT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'N'")
