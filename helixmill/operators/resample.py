@@ -39,7 +39,7 @@ def delta_r2(rows: DataFrame, key: str, reference: str, a: str, b: str, n: int =
 
 
 def entropy_interval(counts: DataFrame, key: str, count: str, n: int = 100, alpha: float = 0.05, seed: str = "0", most_types: int = 500_000) -> DataFrame:
-    """Entropy with an interval: replicates of Poisson counts, shifted so that their mean is the estimate; over `most_types` types the normal interval of the plug-in variance."""
+    """Entropy with an interval: replicates of Poisson counts, shifted so that their mean is the estimate; over `most_types` types (a parameter; one row is read for it) the normal interval of the plug-in variance. Poisson counts are exact up to a mean of 30 and normal beyond."""
     c = F.col(count).cast("double")
     base = counts.agg(F.count("*").alias("types"), F.sum(c).alias("N"), F.sum(c * F.log2(c)).alias("s1"), F.sum(c * F.log2(c) ** 2).alias("s2"))
     base = base.withColumn("h", F.log2("N") - F.col("s1") / F.col("N"))

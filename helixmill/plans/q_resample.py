@@ -11,7 +11,7 @@ from helixmill.operators import loci as O
 from helixmill.operators import resample as R
 from helixmill.plans.q_kmers import rounded, unif
 from helixmill.plans.q_loci import BASE, STRATA, by_nation, loci, strata
-from helixmill.plans.q_scores import probs
+from helixmill.plans.q_scores import P, probs
 from helixmill.plans.registry import query, table
 
 CDF = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(12)]
@@ -22,6 +22,16 @@ def weight(key: str, seed: str) -> str:
     return "(" + " + ".join(f"({unif(key, 'b::VARCHAR', repr(seed))} >= {c!r}::DOUBLE)::INT" for c in CDF) + ")"
 
 
+def drawn(keys: str) -> str:
+    """Keyed Poisson counts k of the rows of d (the keys, mean, uniform numbers u and v), as the CTE k."""
+    return f"""cdf AS (SELECT mean, j, sum(exp(-mean) * pow(mean, j) / gamma(j + 1)) OVER (PARTITION BY mean ORDER BY j) AS f FROM (SELECT DISTINCT mean FROM d WHERE mean <= 30), unnest(range(90)) t(j)),
+k AS (SELECT {keys}, count(f)::DOUBLE AS k FROM d LEFT JOIN cdf ON cdf.mean = d.mean AND f <= u WHERE d.mean <= 30 GROUP BY ALL UNION ALL SELECT {keys}, greatest(0, round(mean + sqrt(mean) * sqrt(-2 * ln(1 - u)) * cos(2 * pi() * v))) FROM d WHERE mean > 30)"""
+
+
+def uv(*key: str) -> str:
+    return f"{unif(*key)} AS u, {unif(*key, repr('n'))} AS v"
+
+
 WIDE = f"{BASE}, w AS (SELECT locus, p_size, reference, max(value) FILTER (WHERE method = 'A') AS a, max(value) FILTER (WHERE method = 'R') AS r FROM g GROUP BY ALL)"
 
 
@@ -39,7 +49,9 @@ def r09_delta_r2(spark, d):
     return rounded(R.delta_r2(wide(spark, d), "locus", "reference", "A", "R", 50, "1"), "delta_r2", "ci_lo", "ci_hi", "p_le_zero")
 
 
-@query()
+@query(f"""WITH c AS (SELECT l_partkey AS key, count(*)::DOUBLE AS mean FROM lineitem GROUP BY 1), d AS (SELECT key, b, mean, {uv('key::VARCHAR', 'b::VARCHAR', "'0'")} FROM c, unnest(range(40)) t(b)), {drawn('key, b')},
+h AS (SELECT b, log2(sum(k)) - sum(k * log2(k)) / sum(k) AS h FROM k WHERE k > 0 GROUP BY b), e AS (SELECT log2(sum(mean)) - sum(mean * log2(mean)) / sum(mean) AS e FROM c)
+SELECT round(e, 6) AS h, round(quantile_cont(h, 0.025) + e - avg(h), 6) AS low, round(quantile_cont(h, 0.975) + e - avg(h), 6) AS high FROM h, e GROUP BY e""")
 def r11_entropy_interval(spark, d):
     x = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("c"))
     return rounded(R.entropy_interval(x, "l_partkey", "c", 40), "h", "low", "high")
@@ -51,7 +63,10 @@ def r11_entropy_interval_normal(spark, d):
     return rounded(R.entropy_interval(x, "l_partkey", "c", most_types=1), "h", "low", "high")
 
 
-@query()
+@query(f"""WITH {P}, n AS (SELECT label, count(*) AS n FROM t GROUP BY label), x AS (SELECT r, label, n, -ln(1 - {unif('r::VARCHAR', 'label::VARCHAR', "'0m'")}) AS e FROM n, unnest(range(10)) u(r)), m AS (SELECT r, label, e / sum(e) OVER (PARTITION BY r) * 500 / n AS mean FROM x),
+d AS (SELECT vec_id, label, p, r, mean, {uv('vec_id::VARCHAR', 'r::VARCHAR', "'0'")} FROM t JOIN m USING (label)), {drawn('vec_id, label, p, r')}, est AS (SELECT r, class, sum(k * p[class + 1]) AS s, sum(CASE WHEN label = class THEN k ELSE 0 END) AS w FROM k, unnest(range(10)) u(class) WHERE k > 0 GROUP BY ALL),
+y AS (SELECT class, w / sum(w) OVER (PARTITION BY r) AS truth, s / sum(s) OVER (PARTITION BY r) AS estimate FROM est)
+SELECT class::INT AS class, round(corr(truth, estimate), 6) AS pearson, round(2 * covar_pop(truth, estimate) / nullif(var_pop(truth) + var_pop(estimate) + pow(avg(truth) - avg(estimate), 2), 0), 6) AS ccc, round(avg(abs(estimate - truth)), 6) AS mae, round(avg(estimate - truth), 6) AS bias FROM y GROUP BY class""")
 def r12_composition_bootstrap(spark, d):
     from helixmill.operators.scores import recovery
 
@@ -66,7 +81,11 @@ def r13_domain_counts(spark, d):
     return rounded(x.select("domain", "a", "inside", "top", "n", "enrichment", "odds_ratio"), "enrichment", "odds_ratio")
 
 
-@query()
+@query("""WITH t AS (SELECT o_orderpriority AS domain, count(*) FILTER (WHERE o_totalprice > 300000) AS a, count(*) AS inside FROM orders GROUP BY 1), x AS (SELECT *, (sum(a) OVER ())::BIGINT AS top, (sum(inside) OVER ())::BIGINT AS n FROM t),
+h AS (SELECT domain, a, j, exp(lgamma(top + 1) - lgamma(j + 1) - lgamma(top - j + 1) + lgamma(n - top + 1) - lgamma(inside - j + 1) - lgamma(n - top - inside + j + 1) - lgamma(n + 1) + lgamma(inside + 1) + lgamma(n - inside + 1)) AS p FROM x, unnest(range(greatest(0, inside + top - n), least(inside, top) + 1)) u(j)),
+own AS (SELECT domain, p AS own FROM h WHERE j = a), q AS (SELECT domain, sum(p) FILTER (WHERE j >= a) AS p1, sum(p) FILTER (WHERE p <= own * (1 + 1e-7)) AS p2 FROM h JOIN own USING (domain) GROUP BY domain),
+o AS (SELECT *, a * (n - inside - top + a) / nullif((inside - a) * (top - a), 0) AS r, 1.96 * sqrt(1 / nullif(a, 0) + 1 / nullif(inside - a, 0) + 1 / nullif(top - a, 0) + 1 / nullif(n - inside - top + a, 0)) AS w FROM x JOIN q USING (domain))
+SELECT domain, a, inside, top, n, round((a / top) / (inside / n), 6) AS enrichment, round(r, 6) AS odds_ratio, round(exp(ln(nullif(r, 0)) - w), 6) AS or_lo, round(exp(ln(nullif(r, 0)) + w), 6) AS or_hi, round(p1, 6) AS p_enriched, round(least(p2, 1), 6) AS p_two_sided, CASE WHEN p1 < 1e-4 THEN '***' WHEN p1 < 1e-2 THEN '**' WHEN p1 < 0.05 THEN '*' ELSE 'ns' END AS sig FROM o""")
 def r13_p26_enrichment(spark, d):
     x = R.enrichment(R.domain_counts(table(spark, d, "orders"), "o_orderpriority", F.col("o_totalprice") > 300_000))
     return rounded(x, "enrichment", "odds_ratio", "or_lo", "or_hi", "p_enriched", "p_two_sided")
@@ -103,7 +122,13 @@ def r15_wilcoxon(spark, d):
     return rounded(R.stratum_contrasts(strata(spark, d), "stratum", "method", "v", "1-URGENT", 20, "3").select("contrast", "wilcoxon_p"), "wilcoxon_p")
 
 
-@query()
+@query(f"""WITH {BASE}, w AS (SELECT locus, coalesce(max(n) FILTER (WHERE method = 'A'), 0) AS a, coalesce(max(n) FILTER (WHERE method = 'R'), 0) AS r FROM g GROUP BY locus), m AS (SELECT floor, locus, a, r FROM w, unnest([0, 5, 20]) t(floor) WHERE a + r >= floor), s AS (SELECT sum(a) AS na, sum(r) AS nr FROM w),
+x AS (SELECT *, rank() OVER (PARTITION BY floor ORDER BY a) + (count(*) OVER (PARTITION BY floor, a) - 1) / 2 AS ra, rank() OVER (PARTITION BY floor ORDER BY r) + (count(*) OVER (PARTITION BY floor, r) - 1) / 2 AS rr, log10(1 + a) AS la, log10(1 + r) AS lr FROM m),
+own AS (SELECT floor, count(*) AS n_loci, count(*) FILTER (WHERE a > 0 AND r > 0) AS detected_both, corr(ra, rr) AS rho, pow(corr(la, lr), 2) AS r2, 2 * covar_samp(la, lr) / nullif(var_pop(la) + var_pop(lr) + pow(avg(la) - avg(lr), 2), 0) AS ccc FROM x GROUP BY floor),
+d AS (SELECT floor, b, locus, 'a' AS side, (a + r) / (na + nr) * na AS mean, {uv('locus::VARCHAR', 'b::VARCHAR', "'0a'")} FROM m, s, unnest(range(5)) t(b) UNION ALL SELECT floor, b, locus, 'b', (a + r) / (na + nr) * nr, {uv('locus::VARCHAR', 'b::VARCHAR', "'0b'")} FROM m, s, unnest(range(5)) t(b)), {drawn('floor, b, locus, side')},
+y AS (SELECT floor, b, locus, max(k) FILTER (WHERE side = 'a') AS a, max(k) FILTER (WHERE side = 'b') AS r FROM k GROUP BY ALL), z AS (SELECT floor, b, rank() OVER (PARTITION BY floor, b ORDER BY a) + (count(*) OVER (PARTITION BY floor, b, a) - 1) / 2 AS ra, rank() OVER (PARTITION BY floor, b ORDER BY r) + (count(*) OVER (PARTITION BY floor, b, r) - 1) / 2 AS rr FROM y),
+c AS (SELECT floor, b, corr(ra, rr) AS c FROM z GROUP BY ALL), q AS (SELECT floor, avg(c) AS c, quantile_cont(c, 0.05) AS lo, quantile_cont(c, 0.95) AS hi FROM c GROUP BY floor)
+SELECT floor, n_loci, detected_both, round(rho, 6) AS rho, round(r2, 6) AS r2_log10, round(ccc, 6) AS ccc_log10, round(c, 6) AS ceiling, round(lo, 6) AS ceiling_p05, round(hi, 6) AS ceiling_p95, round(100 * rho / nullif(c, 0), 6) AS pct_of_ceiling FROM own LEFT JOIN q USING (floor)""")
 def r16_noise_ceiling(spark, d):
     w = O.wide(loci(spark, d), ["locus"], "method", "n", ["A", "R"])
     x = R.noise_ceiling(w, "locus", "A", "R", [0, 5, 20], 5)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from helixmill.functions import seq as S
 from helixmill.operators import kmers as K
-from helixmill.plans.q_kmers import CODE, READS, km, reads, rounded
+from helixmill.plans.q_kmers import CODE, READS, km, reads, rounded, unif
 from helixmill.plans.registry import query, table
 from helixmill.streaming import scoring as ST
 
@@ -76,14 +76,35 @@ def a15_token_lengths(spark, d):
     return rounded(q.select("mean", "sd", *(F.col("q")[i].alias(n) for i, n in enumerate(("p10", "p50", "p90", "p95", "p99"))), "low", "high", "unk"), "mean", "sd", "unk")
 
 
-@query()
+@query(f"WITH w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents) SELECT doc_id, len(w) AS n, len(list_filter(range(len(w)), lambda i: {unif('doc_id::VARCHAR', 'i::VARCHAR')} < 0.2)) AS masked FROM w")
 def p24_masked_tokens(spark, d):
     x = table(spark, d, "documents").select("doc_id", F.transform(F.split("text", " "), lambda w: F.length(w).cast("bigint")).alias("ids"))
     m = x.select("doc_id", F.size("ids").alias("n"), S.masked_ids(F.col("ids"), F.col("doc_id").cast("string")).alias("m"))
     return m.select("doc_id", "n", F.size(F.filter("m.labels", lambda x: x != -100)).alias("masked"))
 
 
-@query()
+U = lambda name: unif("doc_id::VARCHAR", "i::VARCHAR", repr(f"0{name}"))
+
+
+@query(f"""WITH {READS}, r AS (SELECT doc_id, seq, length(seq) AS n FROM reads WHERE length(seq) > 0), m AS (SELECT *, (trunc(150 + 10 * (sqrt(-2 * ln(1 - {U('a')})) * cos(2 * pi() * {U('b')}))))::BIGINT AS size FROM r, unnest(range(1, n * 3 // 150 + 1)) t(i) WHERE n >= 160),
+s AS (SELECT *, floor({U('c')} * greatest(1, n - size + 1))::BIGINT AS start FROM m), e AS (SELECT *, CASE WHEN start + size > n THEN 50 + floor({U('d')} * (n - 50))::BIGINT ELSE start + size END AS stop FROM s),
+f AS (SELECT doc_id, substring(seq, 1, 50) AS f, reverse(substring(seq, 1, 51)) AS b FROM r WHERE n < 160 UNION ALL SELECT doc_id, substring(seq, start + 1, 50), substring(seq, stop - 50 + 1, 50) FROM e)
+SELECT doc_id, count(*) AS pairs, max(length(f)) AS longest, sum(length(f) - length(replace(f, 'A', '')))::BIGINT AS forward_a, sum(length(b) - length(replace(b, 'A', '')))::BIGINT AS reverse_a FROM f GROUP BY doc_id""")
 def p16_long_read_fragments(spark, d):
+    """Pairs of each read, and how many A their two ends hold."""
     f = S.long_read_fragments(reads(spark, d).where(F.length("seq") > 0), "doc_id", "seq", 50, 150, 10, 3)
-    return f.groupBy("doc_id").agg(F.count("*").alias("pairs"), F.max(F.length("forward")).alias("longest"))
+    held = lambda c: F.sum(F.length(c) - F.length(F.replace(F.col(c), F.lit("A"), F.lit(""))))
+    return f.groupBy("doc_id").agg(F.count("*").alias("pairs"), F.max(F.length("forward")).alias("longest"), held("forward").alias("forward_a"), held("reverse").alias("reverse_a"))
+
+
+@query("WITH x AS (SELECT o_orderpriority AS cell, date_trunc('month', o_orderdate) AS month, count(*) AS n FROM orders GROUP BY ALL), c AS (SELECT cell, count(*) FILTER (WHERE month < '1997-01-01') AS n_months, max(month) FILTER (WHERE month < '1997-01-01') AS have, max(month) AS want FROM x GROUP BY cell) SELECT cell, n_months, have IS NULL OR have < want AS stale FROM c WHERE n_months > 0")
+def st3_cached_cells(spark, d):
+    """Monthly counts up to 1996 cached by priority, one cell written twice; a cell is stale if an order is newer than its cache."""
+    top = shared_folder(spark)
+    months = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("cell"), F.date_trunc("month", "o_orderdate").alias("month")).agg(F.count("*").alias("n"))
+    old = months.where("month < '1997-01-01'")
+    ST.cached_cells(old, top, ["cell"])
+    ST.cached_cells(old.where("cell = '1-URGENT'"), top, ["cell"])
+    cached = spark.read.schema(old.schema).parquet(top)
+    stale = ST.stale_cells(months, cached, ["cell"], "month").withColumn("stale", F.lit(True))
+    return cached.groupBy("cell").agg(F.count("*").alias("n_months")).join(stale, "cell", "left").withColumn("stale", F.coalesce("stale", F.lit(False)))
