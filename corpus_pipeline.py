@@ -2,6 +2,9 @@
 
 A function takes (spark, docs, sf_dir) and returns a DataFrame; docs is what the stage before it kept, written as Parquet
 and read again. All but the last return the columns of documents.
+
+Rows of a null or shared doc_id are documents of their own; a null one counts as the smallest. Other columns pass through
+whatever their names and nulls (packing drops them), and an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -21,33 +24,33 @@ def counted(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go, null and empty texts among them. Repeated rows are judged alike."""
     return quality_rules.keep_quality(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier one, or nearly do, go; each document stays."""
+    """Lines that repeat an earlier one, or nearly do, go; each document stays, also with an empty text. Null stays null."""
     return counted(line_dedup.drop_repeated_lines(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one of the smallest doc_id."""
+    """One document of each group of near duplicates stays, the one of the smallest doc_id (ties: of the text's hash). Repeated rows are one; texts without a word stay."""
     return ngram_jaccard.keep_one_of_each(docs)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 100 bytes that occur earlier go; each document stays."""
+    """Strings of 100 bytes that occur earlier go; each document stays, also with an empty text. Repeated rows are judged alike."""
     return counted(substring_dedup.drop_repeated_strings(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The places of all pieces of documents in sequences."""
+    """The places of all pieces of documents in sequences; a null text is an empty one."""
     return packing.pack_documents(docs)
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("substrings", substrings), ("packed", packed)]
 
-#: Token ids are out of SQL's reach; tests compare each stage with a plain version.
+#: Token ids are out of SQL's reach; tests compare each stage's operator with a plain version, and the stages' counts.
 ORACLE_SQL = None
 
 
