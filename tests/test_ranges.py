@@ -117,3 +117,12 @@ def test_long_sequences_are_tiled_without_loss(spark):
     got = S.explode_kmers(df, 9).select("id", "offset", "kmer", F.col("offset").alias("o")).toPandas()
     assert len(got) == sum(max(0, len(t) - 8) for t in texts) == len(got.drop_duplicates(["id", "offset"]))
     assert all(texts[i][o : o + 9] == m for i, o, m in zip(got.id, got.offset, got.kmer))
+
+
+def test_thinning_of_a_count_over_one_block(spark):
+    from helixmill.operators import labels as L
+
+    rows = spark.createDataFrame([("a", 150_000), ("b", 65_536), ("c", 1), ("d", 0)], "locus string, n long")
+    got = {r.locus: r.n for r in L.thinned(rows, "locus", "n", 100_000).collect()}
+    assert sum(got.values()) == 100_000 and got["d"] == 0 and abs(got["a"] - 69_600) < 1500
+    assert {r.locus: r.n for r in L.thinned(rows, "locus", "n", 10**6).collect()} == {"a": 150_000, "b": 65_536, "c": 1, "d": 0}
