@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from helixmill.llm import bpe, html_extract, license_scan, line_dedup, ngram_jaccard, order_minhash, packing, quality_rules, substring_dedup, url_rules
+from helixmill.llm import bpe, conversation_repair, html_extract, license_scan, line_dedup, ngram_jaccard, order_minhash, packing, quality_rules, substring_dedup, url_rules
 
 
 def queries():
     return {
         "op10_ngram_jaccard": ngram_jaccard.op10_ngram_jaccard,
+        "op13_conversation_repair": conversation_repair.op13_conversation_repair,
         "op1_substring_dedup": substring_dedup.op1_substring_dedup,
         "op2_license_scan": license_scan.op2_license_scan,
         "op3_order_minhash": order_minhash.op3_order_minhash,
