@@ -361,6 +361,34 @@ def bitmap_of(ids: DataFrame, column: str, bits: int = 24) -> np.ndarray:
     return out
 
 
+def verified(pairs: DataFrame, reps: DataFrame, frame: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of sets that link; each text travels to its pairs, a set with many candidates in several shares.
+
+    reps (set, key): the row of `frame` (key, text) that stands for the set.
+    """
+    import zstandard
+
+    spark, n = frame.sparkSession, int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(reps, "set").checkpoint()
+    bits = spark.sparkContext.broadcast(bitmap_of(asked, "key"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for b in batches:
+            x = (mix(int64s(b.column("key")).view(U)) >> U(40)).astype(np.int64)
+            b = b.filter(pa.array((bits.value[x >> 3] >> (7 - (x & 7)).astype(np.uint8) & 1).astype(bool)))
+            for part in text_slices(b, "text"):
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([squeeze((t or "").encode()) for t in part.column("text").to_pylist()], pa.binary())], ["key", "packed"])
+
+    texts = frame.mapInArrow(packed, "key long, packed binary").join(asked, "key").groupBy("set").agg(F.min("packed").alias("packed"))
+    degree = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    salted = pairs.join(degree, "a").select("a", "b", F.when(F.col("n") <= 2 * BLOCK, 0).otherwise(F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / BLOCK))).alias("salt"))
+    firsts = salted.select("a", "salt").distinct().join(texts, F.col("a") == F.col("set")).select("a", "salt", F.lit(None).cast("long").alias("other"), "packed")
+    others = salted.join(texts, F.col("b") == F.col("set")).select("a", "salt", F.col("b").alias("other"), "packed")
+    dealt = firsts.unionByName(others).repartition(n, "a", "salt").sortWithinPartitions("a", "salt", F.col("other").asc_nulls_first())
+    return dealt.select("a", "other", "packed").mapInArrow(lambda b: settle(b, words, percent), "a long, b long").checkpoint()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(set, comp): the smallest name that each linked set reaches. Labels move to neighbours and along themselves."""
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -376,6 +404,14 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def with_components(rows: DataFrame, comps: DataFrame, key: str) -> DataFrame:
+    """(key, n_shingles, component_id) of rows (key, own, set, size) by their sets' components."""
+    labelled = rows.join(comps, "set", "left").select("key", "own", "size", F.when(F.col("size") > 0, F.coalesce("comp", "set")).alias("comp"))
+    smallest = labelled.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min(F.coalesce("own", F.lit(-(2**63)))).alias("component_id"))
+    out = labelled.join(smallest, "comp", "left")
+    return out.select(F.col("own").alias(key), F.col("size").alias("n_shingles"), F.coalesce("component_id", "own", F.lit(-(2**63))).alias("component_id"))
+
+
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per row of `docs`: key, n_shingles, component_id (the smallest key reachable by links, its own included).
 
@@ -384,8 +420,6 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     least percent * all shingles of the two. Rows with equal texts that have a word link. Rows that share a key but not the text are documents
     of their own, so they may be in different components. A null key counts as the smallest number, -2^63, in component_id. Other columns are dropped; an empty table gives an empty result. Sets are compared by 64-bit hashes.
     """
-    import zstandard
-
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -402,40 +436,16 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     sent = frame.mapInArrow(lambda b: prefixes(b, held.value, words, percent), "shingle long, set long, size long")
     met = sent.repartition(n, "shingle").mapInArrow(lambda b: first_pairs(b, percent), "kind byte, a long, b long, size long").checkpoint()
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that link; each text travels to its pairs, a set with many candidates in several shares."""
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(reps, "set").checkpoint()
-        bits = spark.sparkContext.broadcast(bitmap_of(asked, "key"))
-
-        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            squeeze = zstandard.ZstdCompressor(level=1).compress
-            for b in batches:
-                x = (mix(int64s(b.column("key")).view(U)) >> U(40)).astype(np.int64)
-                b = b.filter(pa.array((bits.value[x >> 3] >> (7 - (x & 7)).astype(np.uint8) & 1).astype(bool)))
-                for part in text_slices(b, "text"):
-                    yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([squeeze((t or "").encode()) for t in part.column("text").to_pylist()], pa.binary())], ["key", "packed"])
-
-        texts = frame.mapInArrow(packed, "key long, packed binary").join(asked, "key").groupBy("set").agg(F.min("packed").alias("packed"))
-        degree = pairs.groupBy("a").agg(F.count("*").alias("n"))
-        salted = pairs.join(degree, "a").select("a", "b", F.when(F.col("n") <= 2 * BLOCK, 0).otherwise(F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / BLOCK))).alias("salt"))
-        firsts = salted.select("a", "salt").distinct().join(texts, F.col("a") == F.col("set")).select("a", "salt", F.lit(None).cast("long").alias("other"), "packed")
-        others = salted.join(texts, F.col("b") == F.col("set")).select("a", "salt", F.col("b").alias("other"), "packed")
-        dealt = firsts.unionByName(others).repartition(n, "a", "salt").sortWithinPartitions("a", "salt", F.col("other").asc_nulls_first())
-        return dealt.select("a", "other", "packed").mapInArrow(lambda b: settle(b, words, percent), "a long, b long").checkpoint()
-
-    links = verified(met.where("kind = 0").select("a", "b").distinct().checkpoint())
+    links = verified(met.where("kind = 0").select("a", "b").distinct().checkpoint(), reps, frame, words, percent)
     comps = components(links)
     long = met.where("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("set"), "size")
     if not long.isEmpty():
         labelled = long.join(comps, "set", "left").select("shingle", "set", "size", F.coalesce("comp", "set").alias("comp"))
         open_ = labelled.repartition(n, "shingle").mapInArrow(lambda b: cross_pairs(b, percent), "a long, b long").distinct().checkpoint()
         if not open_.isEmpty():
-            links = links.unionByName(verified(open_))
+            links = links.unionByName(verified(open_, reps, frame, words, percent))
             comps = components(links)
-    labelled = rows.join(comps, "set", "left").select("key", "own", "size", F.when(F.col("size") > 0, F.coalesce("comp", "set")).alias("comp"))
-    smallest = labelled.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min(F.coalesce("own", F.lit(-(2**63)))).alias("component_id"))
-    out = labelled.join(smallest, "comp", "left")
-    return out.select(F.col("own").alias(key), F.col("size").alias("n_shingles"), F.coalesce("component_id", "own", F.lit(-(2**63))).alias("component_id"))
+    return with_components(rows, comps, key)
 
 
 def keep_one_of_each(docs: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from helixmill.llm import bpe, centroids, conversation_repair, html_extract, license_scan, line_dedup, ngram_jaccard, order_minhash, packing, quality_rules, substring_dedup, url_rules
+from helixmill.llm import bpe, centroids, conversation_repair, html_extract, license_scan, line_dedup, ngram_jaccard, order_minhash, packing, quality_rules, substring_dedup, super_minhash, url_rules
 
 
 def queries():
     return {
         "op10_ngram_jaccard": ngram_jaccard.op10_ngram_jaccard,
         "op11_centroids": centroids.op11_centroids,
+        "op12_near_duplicates": super_minhash.op12_near_duplicates,
         "op13_conversation_repair": conversation_repair.op13_conversation_repair,
         "op1_substring_dedup": substring_dedup.op1_substring_dedup,
         "op2_license_scan": license_scan.op2_license_scan,
