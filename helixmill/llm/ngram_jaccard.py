@@ -361,16 +361,12 @@ def bitmap_of(ids: DataFrame, column: str, bits: int = 24) -> np.ndarray:
     return out
 
 
-def verified(pairs: DataFrame, reps: DataFrame, frame: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of sets that link; each text travels to its pairs, a set with many candidates in several shares.
-
-    reps (set, key): the row of `frame` (key, text) that stands for the set.
-    """
+def packed_texts(sets: DataFrame, reps: DataFrame, frame: DataFrame) -> DataFrame:
+    """(set, packed): a compressed text of each of the distinct `sets`; reps (set, key) names the row of `frame` (key, text) that stands for it."""
     import zstandard
 
-    spark, n = frame.sparkSession, int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(reps, "set").checkpoint()
-    bits = spark.sparkContext.broadcast(bitmap_of(asked, "key"))
+    asked = sets.join(reps, "set").checkpoint()
+    bits = frame.sparkSession.sparkContext.broadcast(bitmap_of(asked, "key"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
@@ -380,7 +376,13 @@ def verified(pairs: DataFrame, reps: DataFrame, frame: DataFrame, words: int, pe
             for part in text_slices(b, "text"):
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([squeeze((t or "").encode()) for t in part.column("text").to_pylist()], pa.binary())], ["key", "packed"])
 
-    texts = frame.mapInArrow(packed, "key long, packed binary").join(asked, "key").groupBy("set").agg(F.min("packed").alias("packed"))
+    return frame.mapInArrow(packed, "key long, packed binary").join(asked, "key").groupBy("set").agg(F.min("packed").alias("packed"))
+
+
+def verified(pairs: DataFrame, reps: DataFrame, frame: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of sets that link; each text travels to its pairs, a set with many candidates in several shares."""
+    n = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = packed_texts(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct(), reps, frame)
     degree = pairs.groupBy("a").agg(F.count("*").alias("n"))
     salted = pairs.join(degree, "a").select("a", "b", F.when(F.col("n") <= 2 * BLOCK, 0).otherwise(F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / BLOCK))).alias("salt"))
     firsts = salted.select("a", "salt").distinct().join(texts, F.col("a") == F.col("set")).select("a", "salt", F.lit(None).cast("long").alias("other"), "packed")

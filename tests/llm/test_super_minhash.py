@@ -96,8 +96,16 @@ def test_all_pairs(spark):
     assert found(spark, rows) == plain(rows)
 
 
-def test_large_and_hot_groups(spark):
-    """One text in hundreds of copies, and sets that share bands with it but link only among themselves."""
+def test_common_counts():
+    rng = np.random.default_rng(5)
+    a, b = ([np.unique(rng.integers(0, 90, rng.integers(0, 60))).astype(U) for _ in range(n)] for n in (7, 9))
+    assert sm.common_counts(a, b, 8).tolist() == [[len(set(x.tolist()) & set(y.tolist())) for y in b] for x in a]
+
+
+@pytest.mark.parametrize("share", [512, 20])
+def test_large_and_hot_groups(spark, monkeypatch, share):
+    """One text in hundreds of copies, and sets that share bands with it but link only among themselves; one block a list, and many."""
+    monkeypatch.setattr(sm, "SHARE", share)
     rng = random.Random(2)
     words = [f"w{i}" for i in range(200)]
     base = [rng.choice(words) for _ in range(200)]
