@@ -6,16 +6,57 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def overlap_join(left: DataFrame, right: DataFrame, width: int = 128, contig: str = "contig", l: tuple[str, str] = ("start", "end"), r: tuple[str, str] = ("f_start", "f_end")) -> DataFrame:  # noqa: E741
-    """Pairs of rows of the same contig that share a base. Both sides are cut into bins of `width`; a pair meets in its first common bin only.
+#: Bins of level i are 128 * 8^i bases wide: 128, 1024, ... 2^34. An interval's own level is the lowest whose bins are as wide as it is long, so it touches two bins at most.
+FIRST_SHIFT, SHIFT, LEVELS = 7, 3, 10
 
-    An equi join on (contig, bin), so it shuffles by key, and a contig's rows spread over its bins; empty intervals meet nothing.
+
+def level_of(start: str, end: str) -> Column:
+    """The lowest level with bins no narrower than the interval; the last for all that are wider still."""
+    size, out = F.col(end) - F.col(start), F.lit(LEVELS - 1)
+    for i in range(LEVELS - 2, -1, -1):
+        out = F.when(size <= 1 << (FIRST_SHIFT + SHIFT * i), i).otherwise(out)
+    return out
+
+
+def bin_of(position: Column, level: Column) -> Column:
+    return F.call_function("shiftright", position.cast("bigint"), (FIRST_SHIFT + SHIFT * level).cast("int"))
+
+
+def levels_in(rows: DataFrame, start: str, end: str) -> DataFrame:
+    """The levels that occur, as the column `there` of at most ten rows."""
+    return rows.select(level_of(start, end).alias("there")).distinct()
+
+
+def overlap_join(left: DataFrame, right: DataFrame, contig: str = "contig", l: tuple[str, str] = ("start", "end"), r: tuple[str, str] = ("f_start", "f_end"), levels: tuple[list[int] | None, list[int] | None] = (None, None)) -> DataFrame:  # noqa: E741
+    """Pairs of rows of the same contig that share a base, for intervals of any length.
+
+    Two intervals meet at the level of the longer one, where each touches two bins at most. The longer one is sent to its own
+    level only; the other to those levels above its own that the other side has at all. So an interval has at most two rows a
+    level of the other side, and one of a chromosome's length no more than one of a read's. Which levels occur is read from
+    both sides first (at most ten numbers each, broadcast with what is sent where); give `levels` where they are known
+    (points: [0]).
+
+    A pair meets in its first common bin only, so nothing repeats. It is an equi join on (contig, level, bin): a contig's rows
+    spread over its bins, and Spark splits the partitions of deep bins (spark.sql.adaptive.skewJoin) on both sides. Empty
+    intervals and null places meet nothing. The columns _own, _level and _bin are in the way.
     """
-    bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor((F.col(b) - 1) / width)))
-    a = left.where(F.col(l[0]) < F.col(l[1])).select("*", bins(*l).alias("_bin"))
-    b = right.where(F.col(r[0]) < F.col(r[1])).select("*", bins(*r).alias("_bin"))
-    met = a.join(b, [contig, "_bin"]).where((F.col(l[0]) < F.col(r[1])) & (F.col(l[1]) > F.col(r[0])))
-    return met.where(F.col("_bin") == F.floor(F.greatest(l[0], r[0]) / width)).drop("_bin")
+    spark = left.sparkSession
+    sides = [(x.where(F.col(c[0]) < F.col(c[1])), c) for x, c in ((left, l), (right, r))]
+    there = [levels_in(x, *c) if own is None else spark.createDataFrame([(i,) for i in own], "there int") for (x, c), own in zip(sides, levels)]
+
+    def keyed(mine: int) -> DataFrame:
+        """A row a (level and whose level it is, bin); equal levels meet on the right side's."""
+        rows, (start, end) = sides[mine]
+        own, theirs = F.col("_own"), F.col("there")
+        above = theirs >= own if mine == 0 else theirs > own
+        code = F.when(above, theirs * 2 + 1 - mine).otherwise(own * 2 + mine)
+        sent = spark.range(LEVELS).select(F.col("id").cast("int").alias("_own")).crossJoin(F.broadcast(there[1 - mine])).select("_own", code.alias("_level")).distinct()
+        rows = rows.withColumn("_own", level_of(start, end)).join(F.broadcast(sent), "_own").drop("_own")
+        level = F.call_function("shiftright", F.col("_level"), F.lit(1))
+        return rows.withColumn("_bin", F.explode(F.sequence(bin_of(F.col(start), level), bin_of(F.col(end) - 1, level))))
+
+    met = keyed(0).join(keyed(1), [contig, "_level", "_bin"]).where((F.col(l[0]) < F.col(r[1])) & (F.col(l[1]) > F.col(r[0])))
+    return met.where(F.col("_bin") == bin_of(F.greatest(l[0], r[0]), F.call_function("shiftright", F.col("_level"), F.lit(1)))).drop("_level", "_bin")
 
 
 def shared_bases(a0: str = "start", a1: str = "end", b0: str = "f_start", b1: str = "f_end") -> Column:
@@ -81,7 +122,7 @@ def five_prime_hits(reads: DataFrame, windows: DataFrame) -> DataFrame:
     """
     ends = reads.select("read", "contig", "strand", F.explode(F.array(F.struct(F.col("start").alias("start"), F.lit("+").alias("side")), F.struct((F.col("end") - 1).alias("start"), F.lit("-").alias("side")))).alias("e"))
     ends = ends.select("read", "contig", "strand", "e.start", (F.col("e.start") + 1).alias("end"), "e.side")
-    met = overlap_join(ends, windows)
+    met = overlap_join(ends, windows, levels=([0], None))
     own = (F.col("side") == F.col("strand")) & (F.col("f_strand") == F.col("strand"))
     return met.groupBy("gene").agg(F.count_if(own).alias("strand_matched"), F.count_if(F.col("side") == F.col("f_strand")).alias("position_matched"), F.count_distinct("read").alias("either_end"))
 
@@ -112,7 +153,7 @@ def start_profile(reads: DataFrame, elements: DataFrame, bins: int = 20) -> Data
     """Where reads of an element's strand start along it: bin, n, and n over what even starts would give."""
     five = F.when(F.col("strand") == "-", F.col("end") - 1).otherwise(F.col("start"))
     points = reads.withColumn("start", five).withColumn("end", F.col("start") + 1)
-    met = overlap_join(points, elements).where(F.col("strand") == F.col("f_strand"))
+    met = overlap_join(points, elements, levels=([0], None)).where(F.col("strand") == F.col("f_strand"))
     along = F.when(F.col("f_strand") == "+", F.col("start") - F.col("f_start")).otherwise(F.col("f_end") - 1 - F.col("start")) / (F.col("f_end") - F.col("f_start"))
     out = met.groupBy(F.least(F.floor(along * bins), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
     total = out.agg(F.sum("n").alias("_all"))
@@ -127,14 +168,35 @@ def track_flags(loci: DataFrame, elements: DataFrame, key: str, tracks: list[str
     return out.withColumns({name: any_of(ts) for name, ts in composites.items()})
 
 
-def coverage(features: DataFrame, reads: DataFrame, key: str) -> DataFrame:
-    """Reads, covered bases and mean depth of each feature, 0 without reads."""
-    met = overlap_join(reads, features).withColumns({"a": F.greatest("start", "f_start"), "b": F.least("end", "f_end")})
-    deep = met.groupBy(key).agg(F.count("*").alias("n_reads"), F.sum(F.col("b") - F.col("a")).alias("bases"))
-    wide = merged(met.select(key, "a", "b"), [key], "a", "b").groupBy(key).agg(F.sum(F.col("b") - F.col("a")).alias("covered"))
-    out = features.join(deep, key, "left").join(wide, key, "left")
+def coverage(features: DataFrame, reads: DataFrame, key: str, tile: int = 1 << 20) -> DataFrame:
+    """Reads, covered bases and mean depth of each feature (key, contig, f_start, f_end), 0 without reads; a row a row of features.
+
+    Where the depth changes is counted before it is summed up: a feature has at most two such places a base, however many reads
+    it has. Pairs that share more than `tile` bases are cut there, so that a feature's places are summed tile by tile.
+    """
+    own = [key, "contig", "f_start", "f_end"]
+    met = overlap_join(reads, features.select(*own).distinct()).select(*own, F.greatest("start", "f_start").alias("a"), F.least("end", "f_end").alias("b"))
+    cut = met.select("*", F.posexplode(F.sequence(F.floor(F.col("a") / tile), F.floor((F.col("b") - 1) / tile))).alias("_nth", "_tile"))
+    a, b = F.greatest(F.col("a"), F.col("_tile") * tile), F.least(F.col("b"), (F.col("_tile") + 1) * tile)
+    ends = F.array(F.struct(a.alias("at"), F.lit(1).alias("step"), (F.col("_nth") == 0).cast("int").alias("read")), F.struct(b.alias("at"), F.lit(-1).alias("step"), F.lit(0).alias("read")))
+    steps = cut.select(*own, "_tile", F.explode(ends).alias("e")).groupBy(*own, "_tile", "e.at").agg(F.sum("e.step").alias("step"), F.sum("e.read").alias("reads"))
+    along = Window.partitionBy(*own, "_tile").orderBy("at")
+    deep = steps.select(*own, "reads", F.sum("step").over(along).alias("depth"), (F.lead("at").over(along) - F.col("at")).alias("bases"))
+    per = deep.groupBy(*own).agg(F.sum("reads").alias("n_reads"), F.sum(F.when(F.col("depth") > 0, F.col("bases"))).alias("covered"), F.sum(F.col("depth") * F.col("bases")).alias("_bases"))
+    out = features.select(*own).join(per, own, "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return out.select(key, zero("n_reads").alias("n_reads"), zero("covered").alias("covered"), (zero("bases") / (F.col("f_end") - F.col("f_start"))).alias("mean_depth"))
+    return out.select(*own, zero("n_reads").alias("n_reads"), zero("covered").alias("covered"), (zero("_bases") / (F.col("f_end") - F.col("f_start"))).alias("mean_depth"))
+
+
+def element_coverage(features: DataFrame, reads: DataFrame, key: str) -> DataFrame:
+    """A row a key, which several features may share: all their reads, their mean number of covered bases (effective length) and mean depth."""
+    return coverage(features, reads, key).groupBy(key).agg(F.sum("n_reads").alias("count"), F.avg("covered").alias("effective_length"), F.avg("mean_depth").alias("coverage"))
+
+
+def mean_insert(alignments: DataFrame, default: float = 500.0) -> DataFrame:
+    """One row `insert`: the mean distance |tlen| of properly paired first mates (primary, not supplementary); the default if there are none or it is 0."""
+    good = alignments.where(has("flag", 2) & has("flag", 64) & ~has("flag", 256) & ~has("flag", 2048) & (F.col("tlen") != 0))
+    return good.agg(F.coalesce(F.avg(F.abs(F.col("tlen").cast("double"))), F.lit(default)).alias("insert"))
 
 
 def fractional_counts(reads: DataFrame, features: DataFrame, key: str, qname: str = "qname") -> DataFrame:
@@ -152,13 +214,29 @@ def annotation_density(loci: DataFrame, family: str, families: list[str]) -> Dat
     return loci.groupBy("contig").pivot(family, families).count().na.fill(0)
 
 
-def strandedness(alignments: DataFrame, bin_size: int = 10_000, least: int = 50) -> DataFrame:
-    """Forward share of first mates in bins of at least `least`: number of bins, mean, sd, share of central and of extreme bins, verdict."""
+def forward_shares(alignments: DataFrame, bin_size: int, least: int) -> DataFrame:
+    """(contig, bin, n, forward): the share of first mates on the forward strand, in bins that hold `least` of them."""
     kept = alignments.where(has("flag", 64) & ~has("flag", 256) & ~has("flag", 2048) & ~has("flag", 4))
-    bins = kept.groupBy("contig", F.floor(F.col("start") / bin_size).alias("bin")).agg(F.count("*").alias("n"), F.avg((~has("flag", 16)).cast("double")).alias("forward")).where(F.col("n") >= least)
+    return kept.groupBy("contig", F.floor(F.col("start") / bin_size).alias("bin")).agg(F.count("*").alias("n"), F.avg((~has("flag", 16)).cast("double")).alias("forward")).where(F.col("n") >= least)
+
+
+def strandedness(alignments: DataFrame, bin_size: int = 10_000, least: int = 50) -> DataFrame:
+    """Forward share of first mates in bins of at least `least`: number of bins, mean, sd, share of central and of extreme bins, verdict.
+
+    Central: 0.4 to 0.6; extreme: at most 0.15 or at least 0.85. Unstranded if over 0.80 are central and under 0.05 extreme,
+    stranded if over 0.30 are extreme, else ambiguous, also without bins.
+    """
     f = F.col("forward")
-    out = bins.agg(F.count("*").alias("n_bins"), F.avg(f).alias("mean"), F.stddev_pop(f).alias("sd"), F.avg(f.between(0.4, 0.6).cast("double")).alias("central"), F.avg(((f <= 0.1) | (f >= 0.9)).cast("double")).alias("extreme"))
-    return out.withColumn("verdict", F.when(F.col("extreme") > 0.5, "stranded").when(F.col("central") > 0.5, "unstranded").otherwise("mixed"))
+    out = forward_shares(alignments, bin_size, least).agg(F.count("*").alias("n_bins"), F.avg(f).alias("mean"), F.stddev_pop(f).alias("sd"), F.avg(f.between(0.4, 0.6).cast("double")).alias("central"), F.avg(((f <= 0.15) | (f >= 0.85)).cast("double")).alias("extreme"))
+    unstranded = (F.col("central") > 0.80) & (F.col("extreme") < 0.05)
+    return out.withColumn("verdict", F.when(unstranded, "unstranded").when(F.col("extreme") > 0.30, "stranded").otherwise("ambiguous"))
+
+
+def strand_histogram(alignments: DataFrame, bin_size: int = 10_000, least: int = 50) -> DataFrame:
+    """(bucket, n): bins by tenths of their forward share, all ten buckets; a share of 1 is in the last."""
+    own = forward_shares(alignments, bin_size, least).groupBy(F.least(F.floor(F.col("forward") * 10), F.lit(9)).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
+    every = alignments.sparkSession.range(10).select(F.col("id").cast("int").alias("bucket"))
+    return every.join(own, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def subsequences(tiles: DataFrame, intervals: DataFrame, key: str, tile: int) -> DataFrame:

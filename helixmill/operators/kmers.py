@@ -92,13 +92,41 @@ def mean_spectrum(table: DataFrame, corpus: str = "corpus") -> DataFrame:
     return out.withColumns({"gap_mm": F.col("miller_madow") - F.col("entropy"), "gap_cs": F.col("chao_shen") - F.col("entropy"), "gain": F.coalesce(F.col("miller_madow") - F.lag("miller_madow").over(w), F.lit(0.0))})
 
 
-def choose_k(mean: DataFrame, corpus: str = "corpus", epsilon: float = 0.05, tau: float = 0.02) -> DataFrame:
-    """For each corpus: the largest k whose half and full samples agree within epsilon (saturated), the first k whose next gain is under tau (plateau), and the smaller of them."""
-    full = mean.where("fraction = 1.0").select(corpus, "k", F.col("miller_madow").alias("h"), "gain")
-    half = mean.where("fraction = 0.5").select(corpus, "k", F.col("miller_madow").alias("h_half"))
-    rows = full.join(half, [corpus, "k"]).withColumn("drift", F.when(F.col("h") > 0, F.abs(F.col("h") - F.col("h_half")) / F.col("h")).otherwise(0.0))
-    out = rows.groupBy(corpus).agg(F.max(F.when(F.col("drift") <= epsilon, F.col("k"))).alias("saturated_k"), F.min(F.when((F.col("gain") < tau) & (F.col("k") > 2), F.col("k"))).alias("plateau_k"), F.max("k").alias("k_max"))
-    return out.withColumn("recommended_k", F.coalesce(F.least("saturated_k", "plateau_k"), "k_max"))
+def k_gates(mean: DataFrame, corpus: str = "corpus", epsilon: float = 0.01, tau: float = 0.05) -> DataFrame:
+    """Per corpus and k of the full sample: entropy h, gain over the k before, relative drift against the smaller sample, saturated, below_tau.
+
+    The smaller sample is the one whose fraction is nearest to 0.5 (the smaller of two as near). Saturated: drift under epsilon; not
+    where the entropy is 0 or the smaller sample lacks the k; always where a corpus has no smaller sample. below_tau: a gain under
+    tau, not at the smallest k.
+    """
+    h = F.col("miller_madow")
+    full = mean.where("fraction = 1.0").select(corpus, "k", h.alias("h"), "gain")
+    less = mean.where("fraction < 1.0")
+    nearest = less.groupBy(corpus).agg(F.min_by("fraction", F.struct(F.abs(F.col("fraction") - 0.5), "fraction")).alias("fraction"))
+    half = less.join(nearest, [corpus, "fraction"]).select(corpus, "k", h.alias("h_half"))
+    least = full.groupBy(corpus).agg(F.min("k").alias("_least"))
+    rows = full.join(least, corpus).join(nearest, corpus, "left").join(half, [corpus, "k"], "left")
+    rows = rows.withColumn("drift", F.abs(F.col("h") - F.col("h_half")) / F.nullif("h", F.lit(0.0)))
+    saturated = F.col("fraction").isNull() | F.coalesce(F.col("drift") < epsilon, F.lit(False))
+    return rows.select(corpus, "k", "h", "gain", "drift", saturated.alias("saturated"), ((F.col("gain") < tau) & (F.col("k") > F.col("_least"))).alias("below_tau"))
+
+
+def task_plateau(ablation: DataFrame, score: str = "macro_f1_mean", sd: str = "macro_f1_std") -> DataFrame:
+    """One row task_k: the smallest k whose score is within one standard deviation (the best one's) of the best; null for an empty table."""
+    best = ablation.agg(F.max_by(F.struct(F.col(score).alias("m"), F.col(sd).alias("s")), F.struct(F.col(score), -F.col("k"))).alias("_b"))
+    return ablation.crossJoin(F.broadcast(best)).agg(F.min(F.when(F.col(score) >= F.col("_b.m") - F.col("_b.s"), F.col("k"))).alias("task_k"))
+
+
+def choose_k(mean: DataFrame, ablation: DataFrame | None = None, corpus: str = "corpus", epsilon: float = 0.01, tau: float = 0.05) -> DataFrame:
+    """For each corpus: saturated_k (the largest saturated k), plateau_k (the smallest k below tau), task_k (from the ablation, the same for all), within_reliable, recommended_k.
+
+    A plateau no larger than the saturated k is real (within_reliable) and recommended; else the larger of saturated and task k, or
+    the plateau if there is neither.
+    """
+    out = k_gates(mean, corpus, epsilon, tau).groupBy(corpus).agg(F.max(F.when(F.col("saturated"), F.col("k"))).alias("saturated_k"), F.min(F.when(F.col("below_tau"), F.col("k"))).alias("plateau_k"))
+    out = out.withColumn("task_k", F.lit(None).cast("int")) if ablation is None else out.crossJoin(F.broadcast(task_plateau(ablation)))
+    within = F.coalesce(F.col("plateau_k") <= F.col("saturated_k"), F.lit(False))
+    return out.withColumn("within_reliable", within).withColumn("recommended_k", F.when(F.col("within_reliable"), F.col("plateau_k")).otherwise(F.coalesce(F.greatest("saturated_k", "task_k"), "plateau_k")))
 
 
 def pinned_kmers(counts: DataFrame, min_count: int, most: int, kmer: str = "kmer", count: str = "count") -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixmill.functions.stats import r_p_value
 from helixmill.operators.ranks import running_sums, with_mid_ranks, with_totals
 from helixmill.operators.scores import pearson
 
@@ -70,11 +71,16 @@ def profile(rows: DataFrame, by: list[str], count: str, flags: dict[str, Column]
     return out.select("*", *(F.col("_q")[i].alias(n) for i, n in enumerate(("median_pct", "p90_pct", "p99_pct")))).drop("_q")
 
 
-def depth_gate(rows: DataFrame, by: list[str], count: str, least: int = 1000, each: int = 10) -> DataFrame:
-    """Whether the total reaches `least` and every locus over 1 % has `each` reads."""
-    p = percent_of_total(rows, by, count, "_pct")
-    out = p.groupBy(*by).agg(F.sum(count).alias("total"), F.coalesce(F.every(F.when(F.col("_pct") > 1, F.col(count) >= each)), F.lit(True)).alias("deep"))
-    return out.withColumn("passes", (F.col("total") >= least) & F.col("deep"))
+def depth_gate(rows: DataFrame, by: list[str], count: str, least: int = 1000, each: int = 10, share: float = 1.0) -> DataFrame:
+    """Per group the total, the loci over `share` % of it, those of them with `each` reads, the fewest reads of one, and whether the group is deep enough.
+
+    It passes if the total reaches `least`, some locus is over `share` %, and every such locus has `each` reads.
+    """
+    over = F.col("_pct") > share
+    out = percent_of_total(rows, by, count, "_pct").groupBy(*by).agg(
+        F.sum(count).alias("total"), F.count_if(over).alias("loci_over"), F.count_if(over & (F.col(count) >= each)).alias("loci_deep"), F.min(F.when(over, F.col(count))).alias("fewest_reads"),
+    )
+    return out.withColumn("passes", (F.col("total") >= least) & (F.col("loci_over") > 0) & (F.col("loci_over") == F.col("loci_deep")))
 
 
 def assignment_rate(summary: DataFrame, by: str, status: str, count: str) -> DataFrame:
@@ -188,13 +194,39 @@ def jackknife(rows: DataFrame, by: list[str], group: str, x: str, y: str) -> Dat
     return m.groupBy(*by).agg(F.first("full").alias("pearson_r"), F.min("part").alias("low"), F.max("part").alias("high"), (F.max("part") - F.min("part")).alias("range"), F.max_by(group, F.struct(F.round(F.abs(F.col("part") - F.col("full")), 9), group)).alias("most_influential"), (F.min("part") * F.max("part") < 0).alias("swings_sign"))
 
 
-def partial_correlation(rows: DataFrame, by: list[str], x: str, y: str, z: str) -> DataFrame:
-    """r of x and y less what z explains, from three correlations; null on a constant side. Two-sided p from t with n - 3 degrees of freedom."""
+def partial_correlation(rows: DataFrame, by: list[str], x: str, y: str, z: str, ranked: bool = False) -> DataFrame:
+    """n and r of x and y less what z explains (the correlation of the two residuals), from three correlations; null on a constant side. ranked: of average ranks."""
+    if ranked:
+        rows = with_mid_ranks(rows, by, {"_rx": x, "_ry": y, "_rz": z})
+        x, y, z = "_rx", "_ry", "_rz"
     out = rows.groupBy(*by).agg(F.count("*").alias("n"), pearson(x, y).alias("xy"), pearson(x, z).alias("xz"), pearson(y, z).alias("yz"))
     r = (F.col("xy") - F.col("xz") * F.col("yz")) / F.nullif(F.sqrt((1 - F.col("xz") ** 2) * (1 - F.col("yz") ** 2)), F.lit(0.0))
     return out.withColumn("r", r).drop("xy", "xz", "yz")
 
 
+def with_p(correlations: DataFrame, r: str = "r", n: str = "n", out: str = "p") -> DataFrame:
+    """Adds the two-sided p of a correlation of n rows, or of n residuals, from t with n - 2 degrees of freedom."""
+    return correlations.withColumn(out, r_p_value(r, F.col(n) - 2))
+
+
+def adjusted_correlations(rows: DataFrame, own: list[str], other: list[str], covariates: dict[str, str], explained: str | None = None, share: float = 0.3) -> DataFrame:
+    """A row a pair of an `own` and an `other` column: Pearson and Spearman with p, and for each covariate (name: column) the partial r with p and its difference from Pearson's r.
+
+    explained: a covariate's name; `explains` is true where its partial r is under `share` of Pearson's r. The pairs are cells of
+    one pass over the rows, each row once a pair.
+    """
+    z = [F.col(c).cast("double").alias(f"z_{n}") for n, c in covariates.items()]
+    cells = F.array(*(F.struct(F.lit(a).alias("own"), F.lit(b).alias("other"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a in own for b in other))
+    long = rows.select(F.explode(cells).alias("_c"), *z).select("_c.*", *(f"z_{n}" for n in covariates))
+    by = ["own", "other"]
+    ranks = with_mid_ranks(long, by, {"_rx": "x", "_ry": "y"})
+    out = with_p(with_p(ranks.groupBy(*by).agg(F.count("*").alias("n"), pearson("x", "y").alias("pearson_r"), pearson("_rx", "_ry").alias("spearman_rho")), "pearson_r", "n", "pearson_p"), "spearman_rho", "n", "spearman_p")
+    for n in covariates:
+        part = with_p(partial_correlation(long, by, "x", "y", f"z_{n}")).select(*by, F.col("r").alias(f"partial_r_{n}"), F.col("p").alias(f"partial_p_{n}"))
+        out = out.join(part, by).withColumn(f"delta_r_{n}", F.col(f"partial_r_{n}") - F.col("pearson_r"))
+    return out.withColumn("explains", F.abs(f"partial_r_{explained}") < share * F.abs("pearson_r")) if explained else out
+
+
 def agreement(rows: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     """Jaccard of detection, Spearman of values and Pearson of log10(1 + x)."""
     rows = with_mid_ranks(rows, by, {"_ra": a, "_rb": b}).withColumns({"_la": F.log10(1 + F.col(a)), "_lb": F.log10(1 + F.col(b))})

@@ -123,7 +123,18 @@ def j15_track_flags(spark, d):
 @query(f"""WITH {BASE}, c AS (SELECT gene, count(*) AS n, sum(least("end", f_end) - greatest(start, f_start)) AS b FROM m GROUP BY gene), days AS (SELECT gene, count(DISTINCT g) AS w FROM m, unnest(range(greatest(start, f_start), least("end", f_end))) t(g) GROUP BY gene)
 SELECT gene, coalesce(n, 0) AS n_reads, coalesce(w, 0)::BIGINT AS covered, round(coalesce(b, 0) / (f_end - f_start), 6) AS mean_depth FROM f LEFT JOIN c USING (gene) LEFT JOIN days USING (gene)""")
 def j16_coverage(spark, d):
-    return rounded(I.coverage(features(spark, d), alignments(spark, d), "gene"), "mean_depth")
+    return rounded(I.coverage(features(spark, d), alignments(spark, d), "gene").drop("contig", "f_start", "f_end"), "mean_depth")
+
+
+@query(f"""WITH {BASE}, c AS (SELECT gene, count(*) AS n, sum(least("end", f_end) - greatest(start, f_start)) AS b FROM m GROUP BY gene), days AS (SELECT gene, count(DISTINCT g) AS w FROM m, unnest(range(greatest(start, f_start), least("end", f_end))) t(g) GROUP BY gene),
+i AS (SELECT coalesce(avg("end" - start), 500) AS insert FROM r WHERE flag & 2 <> 0 AND flag & 64 <> 0 AND flag & 256 = 0)
+SELECT contig, coalesce(sum(n), 0)::BIGINT AS count, round(avg(coalesce(w, 0)), 6) AS effective_length, round(avg(coalesce(b, 0) / (f_end - f_start)), 6) AS coverage, round(any_value(insert), 6) AS insert FROM f LEFT JOIN c USING (gene) LEFT JOIN days USING (gene), i GROUP BY contig""")
+def j16_element_coverage(spark, d):
+    """Per contig, which many features share as their key."""
+    r = alignments(spark, d).withColumn("tlen", F.when(F.col("strand") == "-", F.col("start") - F.col("end")).otherwise(F.col("end") - F.col("start")))
+    f = features(spark, d).withColumn("element", F.col("contig"))
+    out = I.element_coverage(f, r, "element").crossJoin(I.mean_insert(r)).withColumnRenamed("element", "contig")
+    return rounded(out, "effective_length", "coverage", "insert")
 
 
 @query(f"WITH {BASE}, q AS (SELECT qname, count(*) AS n FROM r GROUP BY qname) SELECT gene, round(sum(1.0 / n), 6) AS count FROM m JOIN q USING (qname) GROUP BY gene")
@@ -141,13 +152,22 @@ def a32_annotation_density(spark, d):
     return I.annotation_density(features(spark, d), "family", TRACKS)
 
 
-@query(f"""WITH {BASE}, b AS (SELECT contig, start // 100 AS bin, count(*) AS n, avg((flag & 16 = 0)::INT) AS fw FROM r WHERE flag & 64 <> 0 AND flag & 256 = 0 GROUP BY ALL HAVING count(*) >= 2),
-s AS (SELECT count(*) AS n_bins, avg(fw) AS mean, stddev_pop(fw) AS sd, avg((fw BETWEEN 0.4 AND 0.6)::INT) AS central, avg((fw <= 0.1 OR fw >= 0.9)::INT) AS extreme FROM b)
-SELECT n_bins, round(mean, 6) AS mean, round(sd, 6) AS sd, round(central, 6) AS central, round(extreme, 6) AS extreme, CASE WHEN extreme > 0.5 THEN 'stranded' WHEN central > 0.5 THEN 'unstranded' ELSE 'mixed' END AS verdict FROM s""")
+STRANDED = """b AS (SELECT contig, start // 100 AS bin, count(*) AS n, avg((flag & 16 = 0)::INT) AS fw FROM r WHERE flag & 64 <> 0 AND flag & 256 = 0 GROUP BY ALL HAVING count(*) >= 2)"""
+
+
+@query(f"""WITH {BASE}, {STRANDED},
+s AS (SELECT count(*) AS n_bins, avg(fw) AS mean, stddev_pop(fw) AS sd, avg((fw BETWEEN 0.4 AND 0.6)::INT) AS central, avg((fw <= 0.15 OR fw >= 0.85)::INT) AS extreme FROM b)
+SELECT n_bins, round(mean, 6) AS mean, round(sd, 6) AS sd, round(central, 6) AS central, round(extreme, 6) AS extreme, CASE WHEN central > 0.80 AND extreme < 0.05 THEN 'unstranded' WHEN extreme > 0.30 THEN 'stranded' ELSE 'ambiguous' END AS verdict FROM s""")
 def a43_strandedness(spark, d):
     return rounded(I.strandedness(alignments(spark, d), 100, 2), "mean", "sd", "central", "extreme")
 
 
+@query(f"""WITH {BASE}, {STRANDED}, t AS (SELECT range AS bucket FROM range(10))
+SELECT bucket::INT AS bucket, count(fw) AS n FROM t LEFT JOIN b ON bucket = least(floor(fw * 10), 9) GROUP BY bucket""")
+def a43_strand_histogram(spark, d):
+    return I.strand_histogram(alignments(spark, d), 100, 2)
+
+
 @query(f"""WITH {BASE}, k AS (SELECT read, CASE WHEN family = '1-URGENT' THEN 'L1HS' WHEN family = '2-HIGH' THEN 'L1PA2' WHEN family = '3-MEDIUM' THEN 'L1PA' WHEN family = '5-LOW' THEN 'NEGATIVE' ELSE 'LINE/L1' END AS c FROM m)
 SELECT read, round(count(*) FILTER (WHERE c = 'L1HS') / count(*), 6) AS L1HS, (count(*) FILTER (WHERE c = 'L1PA'))::DOUBLE AS L1PA, round(count(*) FILTER (WHERE c = 'NEGATIVE') / count(*), 6) AS NEGATIVE FROM k GROUP BY read""")
 def a18_membership_fractions(spark, d):

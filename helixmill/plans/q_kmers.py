@@ -122,9 +122,17 @@ def a44_w03_mean_spectrum(spark, d):
     return rounded(K.mean_spectrum(spectrum(spark, d)), *MEANS)
 
 
-@query(f"""{MEAN}, j AS (SELECT f.corpus, f.k, f.gain, CASE WHEN f.miller_madow > 0 THEN abs(f.miller_madow - h.miller_madow) / f.miller_madow ELSE 0 END AS drift FROM me f JOIN me h ON f.corpus = h.corpus AND f.k = h.k AND f.fraction = 1 AND h.fraction = 0.5),
-o AS (SELECT corpus, max(k) FILTER (WHERE drift <= 0.05) AS saturated_k, min(k) FILTER (WHERE gain < 0.02 AND k > 2) AS plateau_k, max(k) AS k_max FROM j GROUP BY corpus)
-SELECT *, coalesce(least(saturated_k, plateau_k), k_max) AS recommended_k FROM o""")
+GATES = f"""{MEAN}, gt AS (SELECT f.corpus, f.k, f.miller_madow AS h, f.gain, abs(f.miller_madow - h.miller_madow) / nullif(f.miller_madow, 0) AS drift, min(f.k) OVER (PARTITION BY f.corpus) AS least FROM me f LEFT JOIN me h ON f.corpus = h.corpus AND f.k = h.k AND h.fraction = 0.5 WHERE f.fraction = 1),
+j AS (SELECT corpus, k, h, gain, drift, coalesce(drift < 0.01, false) AS saturated, gain < 0.05 AND k > least AS below_tau FROM gt)"""
+
+
+@query(f"{GATES} SELECT corpus, k, round(h, 6) AS h, round(gain, 6) AS gain, round(drift, 6) AS drift, saturated, below_tau FROM j")
+def m10_k_gates(spark, d):
+    return rounded(K.k_gates(K.mean_spectrum(spectrum(spark, d))), "h", "gain", "drift")
+
+
+@query(f"""{GATES}, o AS (SELECT corpus, max(k) FILTER (WHERE saturated) AS saturated_k, min(k) FILTER (WHERE below_tau) AS plateau_k, NULL::INT AS task_k FROM j GROUP BY corpus)
+SELECT *, coalesce(plateau_k <= saturated_k, false) AS within_reliable, CASE WHEN plateau_k <= saturated_k THEN plateau_k ELSE coalesce(saturated_k, plateau_k) END AS recommended_k FROM o""")
 def m10_choose_k(spark, d):
     return K.choose_k(K.mean_spectrum(spectrum(spark, d)))
 

@@ -73,7 +73,7 @@ def a29_profile(spark, d):
     return rounded(p, "top1", "top3", "top10", "young", "median_pct", "p90_pct", "p99_pct")
 
 
-@query(f"WITH {BASE} SELECT method, sum(value) AS total, coalesce(bool_and(value >= 10) FILTER (WHERE pct > 1), true) AS deep, sum(value) >= 1000 AND coalesce(bool_and(value >= 10) FILTER (WHERE pct > 1), true) AS passes FROM g WHERE value IS NOT NULL GROUP BY method")
+@query(f"WITH {BASE} SELECT method, sum(value) AS total, count(*) FILTER (WHERE pct > 1) AS loci_over, count(*) FILTER (WHERE pct > 1 AND value >= 10) AS loci_deep, min(value) FILTER (WHERE pct > 1) AS fewest_reads, sum(value) >= 1000 AND count(*) FILTER (WHERE pct > 1) > 0 AND coalesce(bool_and(value >= 10) FILTER (WHERE pct > 1), false) AS passes FROM g WHERE value IS NOT NULL GROUP BY method")
 def a30_depth_gate(spark, d):
     return O.depth_gate(loci(spark, d).where("value is not null"), ["method"], "value")
 
@@ -170,6 +170,20 @@ def r03_partial_correlation(spark, d):
     return rounded(O.partial_correlation(by_nation(spark, d), [], "x", "y", "n"), "r")
 
 
+RANKS = "k AS (SELECT (rank() OVER (ORDER BY x) + rank() OVER (ORDER BY x) + count(*) OVER (PARTITION BY x) - 1) / 2.0 AS x, (2 * rank() OVER (ORDER BY y) + count(*) OVER (PARTITION BY y) - 1) / 2.0 AS y, (2 * rank() OVER (ORDER BY n) + count(*) OVER (PARTITION BY n) - 1) / 2.0 AS n FROM x)"
+
+
+@query(f"WITH {NAT}, {RANKS}, c AS (SELECT corr(x, y) AS a, corr(x, n) AS b, corr(y, n) AS c, count(*) AS n FROM k) SELECT n, round((a - b * c) / sqrt((1 - b * b) * (1 - c * c)), 6) AS r FROM c")
+def r03_partial_spearman(spark, d):
+    return rounded(O.partial_correlation(by_nation(spark, d), [], "x", "y", "n", ranked=True), "r")
+
+
+@query(f"WITH {NAT}, {RANKS}, c AS (SELECT corr(x, y) AS a, corr(x, n) AS b, corr(y, n) AS c, count(*) AS n FROM x) SELECT 'x' AS own, 'y' AS other, n, round(a, 6) AS pearson_r, round((SELECT corr(x, y) FROM k), 6) AS spearman_rho, round((a - b * c) / sqrt((1 - b * b) * (1 - c * c)), 6) AS partial_r_size, round((a - b * c) / sqrt((1 - b * b) * (1 - c * c)) - a, 6) AS delta_r_size, abs((a - b * c) / sqrt((1 - b * b) * (1 - c * c))) < 0.3 * abs(a) AS explains FROM c")
+def r03_adjusted_correlations(spark, d):
+    out = O.adjusted_correlations(by_nation(spark, d), ["x"], ["y"], {"size": "n"}, "size")
+    return rounded(out.drop("pearson_p", "spearman_p", "partial_p_size"), "pearson_r", "spearman_rho", "partial_r_size", "delta_r_size")
+
+
 @query(f"WITH {NAT} SELECT round(corr(x / (x + n), y / (x + n)), 6) AS r FROM x")
 def r05_composition(spark, d):
     x = by_nation(spark, d).select((F.col("x") / (F.col("x") + F.col("n"))).alias("a"), (F.col("y") / (F.col("x") + F.col("n"))).alias("b"))

@@ -145,7 +145,7 @@ def r17_share_reliability(spark, d):
 @query()
 def r03_partial_p(spark, d):
     x = O.partial_correlation(by_nation(spark, d), [], "x", "y", "n")
-    return rounded(x.withColumn("p", r_p_value("r", F.col("n") - 3)), "r", "p")
+    return rounded(O.with_p(x), "r", "p")
 
 
 @query("SELECT l_partkey AS kmer, round(avg(l_extendedprice), 8) AS mean, count(*) AS n, arg_max(l_returnflag, l_extendedprice) AS domain FROM lineitem GROUP BY 1 HAVING count(*) >= 2")
