@@ -2,27 +2,27 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixmill.functions.stats import fisher_greater, fisher_two, normal_p, poisson_count, poisson_weight, wilcoxon_p
+from helixmill.functions.stats import fisher_greater, fisher_two, normal_p, poisson_count, wilcoxon_p
+from helixmill.operators.moments import poisson_counts, replicate_sums
 from helixmill.operators.ranks import with_mid_ranks
 from helixmill.operators.scores import pearson
 
 
-def replicates(rows: DataFrame, key: str, n: int, seed: str) -> DataFrame:
-    """Each row in each replicate that draws it, with its weight w."""
-    r = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("replicate"))
-    return r.withColumn("w", poisson_weight(F.col(key).cast("string"), F.col("replicate").cast("string"), F.lit(seed))).where("w > 0")
+def r2_terms(x: str, y: str, name: str) -> dict[str, Column]:
+    """Terms of replicate_sums from which r2_of has the squared correlation of x and y."""
+    a, b = F.col(x).cast("double"), F.col(y).cast("double")
+    return {f"{name}_x": a, f"{name}_y": b, f"{name}_xx": a * a, f"{name}_yy": b * b, f"{name}_xy": a * b}
 
 
-def weighted_r2(x: str, y: str) -> Column:
-    """Squared correlation under the weights w, from sums; null on a constant side."""
-    w, a, b = F.col("w"), F.col(x), F.col(y)
-    n = F.sum(w)
-    top = n * F.sum(w * a * b) - F.sum(w * a) * F.sum(w * b)
-    down = (n * F.sum(w * a * a) - F.sum(w * a) ** 2) * (n * F.sum(w * b * b) - F.sum(w * b) ** 2)
-    return top * top / F.nullif(down, F.lit(0.0))
+def r2_of(name: str) -> Column:
+    """Squared correlation under the weights, from their sums; null on a constant side."""
+    n, x, y, xx, yy, xy = (F.col(c) for c in ("w", *(f"{name}_{k}" for k in ("x", "y", "xx", "yy", "xy"))))
+    top = n * xy - x * y
+    return top * top / F.nullif((n * xx - x**2) * (n * yy - y**2), F.lit(0.0))
 
 
 def percentiles(column: str, *shares: float) -> Column:
@@ -32,12 +32,17 @@ def percentiles(column: str, *shares: float) -> Column:
 def delta_r2(rows: DataFrame, key: str, reference: str, a: str, b: str, n: int = 200, seed: str = "0") -> DataFrame:
     """Observed difference of the two methods' r2 on the same loci, 95 % interval of the paired bootstrap and the share of replicates at or below 0."""
     rows = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    draws = replicates(rows.select(key, reference, a, b), key, n, seed).groupBy("replicate").agg((weighted_r2(reference, a) - weighted_r2(reference, b)).alias("d"))
+    sums = replicate_sums(rows, key, r2_terms(reference, a, "a") | r2_terms(reference, b, "b"), n, seed)
+    draws = sums.select((r2_of("a") - r2_of("b")).alias("d"))
     ci = draws.agg(percentiles("d", 0.025, 0.975).alias("q"), F.avg((F.col("d") <= 0).cast("double")).alias("p_le_zero"), F.count("d").alias("n_boot"))
     own = rows.agg(F.count("*").alias("n"), (pearson(reference, a) ** 2 - pearson(reference, b) ** 2).alias("delta_r2"))
     return own.crossJoin(ci).select("n", "delta_r2", F.col("q")[0].alias("ci_lo"), F.col("q")[1].alias("ci_hi"), "p_le_zero", "n_boot")
 
 
+def _k_log_k(k: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return (k * np.log2(np.maximum(k, 1)))[:, :, None]
+
+
 def entropy_interval(counts: DataFrame, key: str, count: str, n: int = 100, alpha: float = 0.05, seed: str = "0", most_types: int = 500_000) -> DataFrame:
     """Entropy with an interval: replicates of Poisson counts, shifted so that their mean is the estimate; over `most_types` types (a parameter; one row is read for it) the normal interval of the plug-in variance. Poisson counts are exact up to a mean of 30 and normal beyond."""
     c = F.col(count).cast("double")
@@ -52,9 +57,8 @@ def entropy_interval(counts: DataFrame, key: str, count: str, n: int = 100, alph
         se = F.sqrt(F.greatest(F.lit(0.0), (second - F.col("h") ** 2) / F.col("N")))
         z = {0.05: 1.959963984540054, 0.1: 1.6448536269514722, 0.01: 2.5758293035489004}[alpha]
         return base.select("h", F.greatest(F.lit(0.0), F.col("h") - z * se).alias("low"), (F.col("h") + z * se).alias("high"))
-    d = counts.select(key, c.alias("c"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("replicate"))
-    d = d.withColumn("k", poisson_count(F.col("c"), F.col(key).cast("string"), F.col("replicate").cast("string"), F.lit(seed))).where("k > 0")
-    hs = d.groupBy("replicate").agg((F.log2(F.sum("k")) - F.sum(F.col("k") * F.log2("k")) / F.sum("k")).alias("b"))
+    drawn = replicate_sums(counts, key, {"c": c}, n, seed, draw=lambda u, v, x: poisson_counts(x[:, :1], u, v), made=_k_log_k, names=["klogk"])
+    hs = drawn.where("w > 0").select((F.log2("w") - F.col("klogk") / F.col("w")).alias("b"))
     q = hs.agg(percentiles("b", alpha / 2, 1 - alpha / 2).alias("q"), F.avg("b").alias("m"))
     return base.crossJoin(q).select("h", (F.col("q")[0] + F.col("h") - F.col("m")).alias("low"), (F.col("q")[1] + F.col("h") - F.col("m")).alias("high"))
 
@@ -74,11 +78,16 @@ def composition_bootstrap(rows: DataFrame, key: str, label: str, p: str, classes
     mix = mix.withColumn("share", F.col("_e") / F.sum("_e").over(Window.partitionBy("replicate"))).drop("_e")
     sizes = rows.groupBy(label).agg(F.count("*").alias("_n"))
     plan = mix.join(sizes, label).withColumn("_mean", F.col("share") * size / F.col("_n"))
-    drawn = rows.select(key, label, p).join(F.broadcast(plan), label).withColumn("w", poisson_count(F.col("_mean"), F.col(key).cast("string"), F.col("replicate").cast("string"), F.lit(seed))).where("w > 0")
-    one = F.transform(F.col(p), lambda x: x) if soft else F.transform(F.col(p), lambda x, i: F.when(i == argmax(F.col(p)), 1.0).otherwise(0.0))
-    est = drawn.select("replicate", label, "w", F.posexplode(one).alias("class", "_p")).groupBy("replicate", "class").agg(F.sum(F.col("w") * F.col("_p")).alias("_s"), F.sum(F.when(F.col(label) == F.col("class"), F.col("w")).otherwise(0.0)).alias("_t"))
+    means = np.zeros((classes, n))
+    for r in plan.select("replicate", label, "_mean").collect():  # replicates x classes numbers, whatever the rows
+        means[int(r[label]), r.replicate] = r["_mean"]
+    scores = [F.get(p, F.lit(i)) if soft else (argmax(F.col(p)) == i).cast("double") for i in range(classes)]
+    terms = {"label": F.col(label)} | {f"s{i}": x for i, x in enumerate(scores)} | {f"t{i}": (F.col(label) == i).cast("double") for i in range(classes)}
+    sums = replicate_sums(rows, key, terms, n, seed, draw=lambda u, v, x: poisson_counts(means[x[:, 0].astype(int)], u, v))
+    cells = F.array(*(F.struct(F.lit(i).alias("class"), F.col(f"t{i}").alias("_t"), F.col(f"s{i}").alias("_s")) for i in range(classes)))
+    est = sums.select("replicate", F.explode(cells).alias("_c")).select("replicate", "_c.*")
     w = Window.partitionBy("replicate")
-    return est.select("replicate", "class", (F.col("_t") / F.sum("_t").over(w)).alias("truth"), (F.col("_s") / F.sum("_s").over(w)).alias("estimate"))
+    return est.select("replicate", "class", (F.col("_t") / F.nullif(F.sum("_t").over(w), F.lit(0.0))).alias("truth"), (F.col("_s") / F.nullif(F.sum("_s").over(w), F.lit(0.0))).alias("estimate"))
 
 
 def domain_counts(rows: DataFrame, domain: str, top: Column) -> DataFrame:
@@ -104,10 +113,10 @@ def enrichment(counts: DataFrame) -> DataFrame:
 def clustered_enrichment(rows: DataFrame, read: str, inside: Column, top: Column, value: str, n: int = 200, seed: str = "0") -> DataFrame:
     """The odds ratio with reads as the unit: bootstrap interval over reads, design effect against the naive variance, and a rank test of reads' mean value inside against outside."""
     per = rows.groupBy(read).agg(F.count_if(inside & top).alias("a"), F.count_if(inside & ~top).alias("b"), F.count_if(~inside & top).alias("c"), F.count_if(~inside & ~top).alias("d"))
-    log_or = lambda w: F.ln(F.nullif(F.sum(w * F.col("a")) * F.sum(w * F.col("d")), F.lit(0)) / F.nullif(F.sum(w * F.col("b")) * F.sum(w * F.col("c")), F.lit(0)))
-    boots = replicates(per, read, n, seed).groupBy("replicate").agg(log_or(F.col("w")).alias("l")).agg(percentiles("l", 0.025, 0.975).alias("q"), F.var_samp("l").alias("v"))
+    ratio = F.nullif(F.col("a") * F.col("d"), F.lit(0)) / F.nullif(F.col("b") * F.col("c"), F.lit(0))
+    boots = replicate_sums(per, read, {c: F.col(c) for c in "abcd"}, n, seed).select(F.ln(ratio).alias("l")).agg(percentiles("l", 0.025, 0.975).alias("q"), F.var_samp("l").alias("v"))
     s = lambda c: 1 / F.nullif(F.sum(c), F.lit(0))
-    own = per.agg(log_or(F.lit(1)).alias("l"), (s("a") + s("b") + s("c") + s("d")).alias("naive"), F.count("*").alias("n_reads"))
+    own = per.agg(*(F.sum(c).alias(c) for c in "abcd"), (s("a") + s("b") + s("c") + s("d")).alias("naive"), F.count("*").alias("n_reads")).select(F.ln(ratio).alias("l"), "naive", "n_reads")
     means = rows.groupBy(read).agg(F.avg(F.when(inside, F.col(value))).alias("i"), F.avg(F.when(~inside, F.col(value))).alias("o"))
     long = means.select(F.lit(1).alias("in"), F.col("i").alias("x")).unionByName(means.select(F.lit(0).alias("in"), F.col("o").alias("x"))).where("x is not null")
     ranks = with_mid_ranks(long, [], {"r": "x"}).agg(F.sum(F.when(F.col("in") == 1, F.col("r"))).alias("rs"), F.sum("in").alias("n1"), F.count("*").alias("m"))
@@ -132,7 +141,7 @@ def stratum_contrasts(rows: DataFrame, stratum: str, method: str, value: str, re
     ref = rows.where(F.col(method) == reference).select(stratum, F.col(value).alias("_r"))
     d = rows.where(F.col(method) != reference).join(ref, stratum).withColumn("d", F.col("_r") - F.col(value))
     base = d.groupBy(method).agg(F.count("*").alias("n_strata"), F.count_if(F.col("d") > 0).alias("n_won"), F.avg("d").alias("mean_delta"), F.min("d").alias("min_delta"), F.collect_list("d").alias("_ds"))
-    boots = replicates(d.select(stratum, method, "d"), stratum, n, seed).groupBy(method, "replicate").agg((F.sum(F.col("w") * F.col("d")) / F.sum("w")).alias("m")).groupBy(method).agg(percentiles("m", 0.025, 0.975).alias("q"))
+    boots = replicate_sums(d, stratum, {"d": F.col("d")}, n, seed, [method]).where("w > 0").select(method, (F.col("d") / F.col("w")).alias("m")).groupBy(method).agg(percentiles("m", 0.025, 0.975).alias("q"))
     out = base.join(boots, method).select(F.concat(F.lit(f"{reference}-"), method).alias("contrast"), "n_strata", "n_won", "mean_delta", "min_delta", F.col("q")[0].alias("ci_lo"), F.col("q")[1].alias("ci_hi"), wilcoxon_p("_ds").alias("wilcoxon_p"))
     return out.withColumn("p_floor", 2 / F.pow(F.lit(2.0), "n_strata"))
 
@@ -157,9 +166,9 @@ def noise_ceiling(rows: DataFrame, key: str, a: str, b: str, floors: list[int],
 def share_reliability(rows: DataFrame, key: str, count: str, flag: Column, n: int = 200, seed: str = "0") -> DataFrame:
     """A flagged share of all counts: binomial error, and a bootstrap over loci."""
     r = rows.select(key, F.col(count).alias("c"), flag.alias("f"))
-    part = lambda w: 100 * F.sum(F.when(F.col("f"), w * F.col("c")).otherwise(0)) / F.nullif(F.sum(w * F.col("c")), F.lit(0))
-    boots = replicates(r, key, n, seed).groupBy("replicate").agg(part(F.col("w")).alias("s")).agg(percentiles("s", 0.025, 0.975).alias("q"), F.stddev_samp("s").alias("boot_se"))
-    own = r.agg(part(F.lit(1)).alias("point"), F.sum("c").alias("reads"))
+    flagged, share = F.when(F.col("f"), F.col("c")).otherwise(0), 100 * F.col("part") / F.nullif(F.col("c"), F.lit(0))
+    boots = replicate_sums(r, key, {"part": flagged, "c": F.col("c")}, n, seed).select(share.alias("s")).agg(percentiles("s", 0.025, 0.975).alias("q"), F.stddev_samp("s").alias("boot_se"))
+    own = r.agg(F.sum(flagged).alias("part"), F.sum("c").alias("c")).select(share.alias("point"), F.col("c").alias("reads"))
     s = F.col("point") / 100
     return own.crossJoin(boots).select("point", (100 * F.sqrt(s * (1 - s) / F.col("reads"))).alias("binomial_se"), F.col("q")[0].alias("ci_lo"), F.col("q")[1].alias("ci_hi"), "boot_se", "reads")
 
