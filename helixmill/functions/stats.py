@@ -85,26 +85,12 @@ def correlation_p(r: float, df: int) -> float:
     return incomplete_beta(df / 2, 0.5, df / (df + t2))
 
 
-def signed_rank_p(deltas: list[float]) -> float:
-    """Two-sided Wilcoxon p: exact by counting rank sums up to 25 untied differences, else the normal approximation with ties."""
-    d = [x for x in deltas if x != 0]
-    n = len(d)
+def signed_rank_p(n: int, plus: float, ties: float) -> float:
+    """Two-sided Wilcoxon p of n non-zero differences from their positive ranks' sum and sum(t^3 - t) over ties: exact by counting rank sums up to 50 untied ones, else the normal approximation."""
     if n == 0:
         return float("nan")
-    order = sorted(range(n), key=lambda i: abs(d[i]))
-    rank, i = [0.0] * n, 0
-    ties = 0
-    while i < n:
-        j = i
-        while j + 1 < n and abs(d[order[j + 1]]) == abs(d[order[i]]):
-            j += 1
-        for k in range(i, j + 1):
-            rank[order[k]] = (i + j) / 2 + 1
-        ties += (j - i + 1) ** 3 - (j - i + 1)
-        i = j + 1
-    plus = sum(r for r, x in zip(rank, d) if x > 0)
     low = min(plus, n * (n + 1) / 2 - plus)
-    if n <= 25 and ties == 0:
+    if n <= 50 and ties == 0:
         ways = [1]
         for r in range(1, n + 1):
             ways = [(ways[s] if s < len(ways) else 0) + (ways[s - r] if s >= r else 0) for s in range(len(ways) + r)]
@@ -129,8 +115,8 @@ def r_p_value(r: pd.Series, df: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.DoubleType())
-def wilcoxon_p(deltas: pd.Series) -> pd.Series:
-    return pd.Series([signed_rank_p(list(x)) for x in deltas])
+def wilcoxon_p(n: pd.Series, plus: pd.Series, ties: pd.Series) -> pd.Series:
+    return pd.Series([signed_rank_p(int(a), float(b), float(c)) for a, b, c in zip(n, plus, ties)])
 
 
 def normal_p(z: Column) -> Column:

@@ -134,16 +134,6 @@ def within_budget(rows: DataFrame, key: str, cost: str, budget: int, pinned: Col
     return first.unionByName(rest).drop("_pin", "_u", "_sum")
 
 
-def thinned(counts: DataFrame, key: str, count: str, target: int, seed: str = "0") -> DataFrame:
-    """Counts of a sample of `target` of all counted reads, without replacement: each read has a keyed number and the smallest stay."""
-    step, n = 1 << 16, F.col("_n")  # numbers come in blocks, so that no array grows with a count
-    blocks = counts.where(F.col(count) > 0).select(key, F.col(count).cast("bigint").alias("_n")).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((n - 1) / step))).alias("_b"))
-    reads = blocks.select(key, F.explode(F.sequence(F.col("_b") * step + 1, F.least(n, (F.col("_b") + 1) * step))).alias("_i"))
-    reads = reads.withColumn("_id", F.concat_ws("|", key, "_i")).withColumn("_u", keyed_uniform("_id", F.lit(seed)))
-    kept = exact_rank(reads, [], "_u", "_id").where(F.col("_rank") <= target).groupBy(key).agg(F.count("*").alias("_k"))
-    return counts.join(kept, key, "left").withColumn(count, F.coalesce("_k", F.lit(0))).drop("_k")
-
-
 def halves(rows: DataFrame, key: str, seed: str = "0") -> DataFrame:
     """Adds half: fit for the N // 2 smallest keyed numbers, report for the rest."""
     r = exact_rank(rows.withColumn("_u", keyed_uniform(F.col(key).cast("string"), F.lit(seed))), [], "_u", key)

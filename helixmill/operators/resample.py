@@ -110,40 +110,96 @@ def enrichment(counts: DataFrame) -> DataFrame:
     return out.withColumn("sig", significance(F.col("p_enriched")))
 
 
-def clustered_enrichment(rows: DataFrame, read: str, inside: Column, top: Column, value: str, n: int = 200, seed: str = "0") -> DataFrame:
-    """The odds ratio with reads as the unit: bootstrap interval over reads, design effect against the naive variance, and a rank test of reads' mean value inside against outside."""
+def clustered_enrichment(rows: DataFrame, read: str, inside: Column, top: Column, n: int = 2000, seed: str = "0") -> DataFrame:
+    """Enrichment of top rows inside with the read as the unit, in one row.
+
+    odds_ratio and enrichment (share of the top that is inside over the share of all) with 95 % intervals of a bootstrap over
+    reads, null where a cell of the table is 0; se_naive of the log odds ratio from the cells (each 1 at least), se_clustered
+    from the bootstrap, design_effect their ratio, effective_n = n_rows / design_effect^2. Then reads that lie wholly inside
+    against those wholly outside, by their own shares of top rows: numbers, means, ratio, and the one-sided rank test's p
+    (inside greater; normal, with ties and continuity).
+    """
     per = rows.groupBy(read).agg(F.count_if(inside & top).alias("a"), F.count_if(inside & ~top).alias("b"), F.count_if(~inside & top).alias("c"), F.count_if(~inside & ~top).alias("d"))
-    ratio = F.nullif(F.col("a") * F.col("d"), F.lit(0)) / F.nullif(F.col("b") * F.col("c"), F.lit(0))
-    boots = replicate_sums(per, read, {c: F.col(c) for c in "abcd"}, n, seed).select(F.ln(ratio).alias("l")).agg(percentiles("l", 0.025, 0.975).alias("q"), F.var_samp("l").alias("v"))
-    s = lambda c: 1 / F.nullif(F.sum(c), F.lit(0))
-    own = per.agg(*(F.sum(c).alias(c) for c in "abcd"), (s("a") + s("b") + s("c") + s("d")).alias("naive"), F.count("*").alias("n_reads")).select(F.ln(ratio).alias("l"), "naive", "n_reads")
-    means = rows.groupBy(read).agg(F.avg(F.when(inside, F.col(value))).alias("i"), F.avg(F.when(~inside, F.col(value))).alias("o"))
-    long = means.select(F.lit(1).alias("in"), F.col("i").alias("x")).unionByName(means.select(F.lit(0).alias("in"), F.col("o").alias("x"))).where("x is not null")
-    ranks = with_mid_ranks(long, [], {"r": "x"}).agg(F.sum(F.when(F.col("in") == 1, F.col("r"))).alias("rs"), F.sum("in").alias("n1"), F.count("*").alias("m"))
-    n1, m = F.col("n1"), F.col("m")
-    u = F.col("rs") - n1 * (n1 + 1) / 2
-    z = (u - n1 * (m - n1) / 2) / F.nullif(F.sqrt(n1 * (m - n1) * (m + 1) / 12), F.lit(0.0))
-    return own.crossJoin(boots).crossJoin(ranks).select("n_reads", F.exp("l").alias("odds_ratio"), F.exp(F.col("q")[0]).alias("ci_lo"), F.exp(F.col("q")[1]).alias("ci_hi"), (F.col("v") / F.col("naive")).alias("design_effect"), normal_p(z).alias("p_rank"))
-
-
-def within_read_permutation(rows: DataFrame, read: str, inside: Column, top: Column) -> DataFrame:
-    """Top rows inside against what shuffling the marks within each read gives: by the exact mean and variance of the hypergeometric counts, summed over reads."""
-    per = rows.groupBy(read).agg(F.count("*").alias("n"), F.count_if(inside).alias("k"), F.count_if(top).alias("t"), F.count_if(inside & top).alias("x"))
-    n, k, t = F.col("n"), F.col("k"), F.col("t")
-    mean = k * t / n
-    var = F.when(n > 1, mean * (1 - k / n) * (n - t) / F.nullif(n - 1, F.lit(0))).otherwise(0.0)
-    out = per.agg(F.sum("x").alias("observed"), F.sum(mean).alias("expected"), F.sqrt(F.sum(var)).alias("sd"))
-    return out.withColumn("p", normal_p((F.col("observed") - F.col("expected")) / F.nullif("sd", F.lit(0.0))))
-
-
-def stratum_contrasts(rows: DataFrame, stratum: str, method: str, value: str, reference: str, n: int = 200, seed: str = "0") -> DataFrame:
-    """The reference method against each other one over strata: wins, mean and smallest difference, bootstrap interval of the mean, signed-rank p and the smallest p that so many strata can give."""
-    ref = rows.where(F.col(method) == reference).select(stratum, F.col(value).alias("_r"))
-    d = rows.where(F.col(method) != reference).join(ref, stratum).withColumn("d", F.col("_r") - F.col(value))
-    base = d.groupBy(method).agg(F.count("*").alias("n_strata"), F.count_if(F.col("d") > 0).alias("n_won"), F.avg("d").alias("mean_delta"), F.min("d").alias("min_delta"), F.collect_list("d").alias("_ds"))
-    boots = replicate_sums(d, stratum, {"d": F.col("d")}, n, seed, [method]).where("w > 0").select(method, (F.col("d") / F.col("w")).alias("m")).groupBy(method).agg(percentiles("m", 0.025, 0.975).alias("q"))
-    out = base.join(boots, method).select(F.concat(F.lit(f"{reference}-"), method).alias("contrast"), "n_strata", "n_won", "mean_delta", "min_delta", F.col("q")[0].alias("ci_lo"), F.col("q")[1].alias("ci_hi"), wilcoxon_p("_ds").alias("wilcoxon_p"))
-    return out.withColumn("p_floor", 2 / F.pow(F.lit(2.0), "n_strata"))
+    a, b, c, d = (F.col(x) for x in "abcd")
+    some = F.least(a, b, c, d) > 0
+    ratio, share = F.when(some, a * d / (b * c)), F.when(some, (a / (a + c)) / ((a + b) / (a + b + c + d)))
+    boots = replicate_sums(per, read, {x: F.col(x) for x in "abcd"}, n, seed).select(ratio.alias("o"), share.alias("e"))
+    boots = boots.agg(percentiles("o", 0.025, 0.975).alias("qo"), percentiles("e", 0.025, 0.975).alias("qe"), F.stddev_pop(F.ln("o")).alias("se_clustered"))
+    cells = sum((1 / F.greatest(x, F.lit(1)) for x in (b, c, d)), 1 / F.greatest(a, F.lit(1)))
+    own = per.agg(F.count("*").alias("n_reads"), *(F.sum(x).alias(x) for x in "abcd")).select("n_reads", (a + b + c + d).alias("n_rows"), ratio.alias("odds_ratio"), share.alias("enrichment"), F.sqrt(cells).alias("se_naive"))
+    n_in, n_all = a + b, a + b + c + d
+    whole = per.where((n_in == n_all) | (n_in == 0)).select((n_in > 0).cast("int").alias("in"), ((a + c) / n_all).alias("x"))
+    return own.crossJoin(boots).crossJoin(_rank_test(whole)).withColumn("design_effect", F.col("se_clustered") / F.col("se_naive")).select(
+        "n_rows", "n_reads", (F.col("n_rows") / F.col("n_reads")).alias("rows_per_read"), "odds_ratio", F.col("qo")[0].alias("or_lo"), F.col("qo")[1].alias("or_hi"), "enrichment", F.col("qe")[0].alias("enrichment_lo"), F.col("qe")[1].alias("enrichment_hi"),
+        "se_naive", "se_clustered", "design_effect", (F.col("n_rows") / F.nullif(F.col("design_effect") ** 2, F.lit(0.0))).alias("effective_n"), "n_inside", "n_outside", "mean_inside", "mean_outside", (F.col("mean_inside") / F.nullif("mean_outside", F.lit(0.0))).alias("read_ratio"), "p_read",
+    )
+
+
+def _rank_test(marked: DataFrame) -> DataFrame:
+    """Rows (in: 1 or 0, x): numbers and means of both sides, and the one-sided p that x is greater inside. Null p if a side is empty or all x are equal."""
+    ties = marked.groupBy("x").agg(F.count("*").alias("t")).agg(F.sum(F.pow(F.col("t").cast("double"), 3) - F.col("t")).alias("ties"))
+    ranks = with_mid_ranks(marked, [], {"_r": "x"})
+    one = F.col("in") == 1
+    out = ranks.agg(F.sum(F.when(one, F.col("_r"))).alias("rs"), F.count_if(one).alias("n_inside"), F.count_if(~one).alias("n_outside"), F.avg(F.when(one, F.col("x"))).alias("mean_inside"), F.avg(F.when(~one, F.col("x"))).alias("mean_outside")).crossJoin(ties)
+    n1, n2, m = F.col("n_inside"), F.col("n_outside"), F.col("n_inside") + F.col("n_outside")
+    sd = F.sqrt(n1 * n2 / 12 * ((m + 1) - F.col("ties") / F.nullif(m * (m - 1), F.lit(0))))
+    z = (F.col("rs") - n1 * (n1 + 1) / 2 - n1 * n2 / 2 - 0.5) / F.nullif(sd, F.lit(0.0))
+    return out.withColumn("p_read", F.when(z > 0, normal_p(z) / 2).otherwise(1 - normal_p(z) / 2)).drop("rs", "ties")
+
+
+def _hypergeometric_draws(u: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """For rows (n, k, t) how many of t drawn of n are among k, by cumulative probabilities against the uniform numbers."""
+    size = int(x[:, 0].max(initial=0)) + 1
+    log_fact = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, size + 1)))))
+    choose = lambda n, j: log_fact[n] - log_fact[j] - log_fact[n - j]
+    out, known = np.empty(u.shape), {}
+    for i, row in enumerate(map(tuple, x[:, :3].astype(int).tolist())):
+        if row not in known:
+            n, k, t = row
+            j = np.arange(max(0, k + t - n), min(k, t) + 1)
+            known[row] = j[0], np.cumsum(np.exp(choose(k, j) + choose(n - k, t - j) - choose(n, t)))[:-1]
+        low, cdf = known[row]
+        out[i] = low + np.searchsorted(cdf, u[i], side="right")
+    return out
+
+
+def within_read_permutation(rows: DataFrame, read: str, inside: Column, top: Column, n: int = 10_000, seed: str = "0") -> DataFrame:
+    """Top rows inside, of reads that straddle the border, against n shuffles of the marks within each read; in one row.
+
+    A shuffle's count in a read is hypergeometric, so it is drawn as one number a read and replicate and summed over reads. p is
+    one-sided: the share of shuffles, and the observed order itself, with as many or more. expected and sd are exact.
+    """
+    per = rows.groupBy(read).agg(F.count("*").alias("n"), F.count_if(inside).alias("k"), F.count_if(top).alias("t"), F.count_if(inside & top).alias("x")).where((F.col("k") > 0) & (F.col("k") < F.col("n")))
+    m, k, t = F.col("n"), F.col("k"), F.col("t")
+    mean = k * t / m
+    var = F.when(m > 1, mean * (1 - k / m) * (m - t) / F.nullif(m - 1, F.lit(0))).otherwise(0.0)
+    own = per.agg(F.count("*").alias("n_straddling"), F.coalesce(F.sum("x"), F.lit(0)).alias("observed"), F.sum(mean).alias("expected"), F.sqrt(F.sum(var)).alias("sd"))
+    null = replicate_sums(per, read, {"n": m, "k": k, "t": t}, n, seed, draw=lambda u, v, x: _hypergeometric_draws(u, x)).select(F.col("w").alias("null"))
+    return own.crossJoin(null).groupBy(*own.columns).agg(F.avg("null").alias("null_mean"), ((1 + F.count_if(F.col("null") >= F.col("observed"))) / F.lit(n + 1)).alias("p"))
+
+
+def stratum_contrasts(rows: DataFrame, stratum: str, method: str, value: str, reference: str, n: int = 200, seed: str = "0", paired: list[tuple[str, str]] = []) -> DataFrame:
+    """Contrasts of methods over strata, a row each: family, contrast, n_strata, n_won, strata_lost, mean_delta, min_delta, ci_lo, ci_hi, wilcoxon_p, p_floor.
+
+    Families: `reference` (the reference method less each other one) and `within_quantifier` (the first less the second of each
+    pair whose methods both occur). Lost: a difference of 0 or less; their names in order, joined by commas. The interval of the
+    mean is a bootstrap over strata, null for fewer than three. p_floor is the smallest p that so many strata can give.
+    """
+    pairs = rows.select(F.col(method).alias("_m")).where(F.col("_m") != reference).distinct().select(F.lit("reference").alias("family"), F.lit(reference).alias("_a"), F.col("_m").alias("_b"))
+    if paired:
+        pairs = pairs.unionByName(rows.sparkSession.createDataFrame([("within_quantifier", *p) for p in paired], "family string, _a string, _b string"))
+    side = lambda c, v: rows.select(F.col(stratum).alias("_s"), F.col(method).alias(c), F.col(value).alias(v))
+    d = pairs.join(side("_a", "_va"), "_a").join(side("_b", "_vb"), ["_b", "_s"]).select("family", F.concat_ws("-", "_a", "_b").alias("contrast"), F.col("_s").cast("string").alias("_s"), (F.col("_va") - F.col("_vb")).alias("d"))
+    by = ["family", "contrast"]
+    lost = F.array_join(F.array_sort(F.collect_list(F.when(F.col("d") <= 0, F.col("_s")))), ",")
+    base = d.groupBy(*by).agg(F.count("*").alias("n_strata"), F.count_if(F.col("d") > 0).alias("n_won"), lost.alias("strata_lost"), F.avg("d").alias("mean_delta"), F.min("d").alias("min_delta"))
+    boots = replicate_sums(d, "_s", {"d": F.col("d")}, n, seed, by).where("w > 0").select(*by, (F.col("d") / F.col("w")).alias("m")).groupBy(*by).agg(percentiles("m", 0.025, 0.975).alias("q"))
+    sized = d.where("d <> 0").withColumn("_size", F.abs("d"))
+    ties = sized.groupBy(*by, "_size").agg(F.count("*").alias("t")).groupBy(*by).agg(F.sum(F.pow(F.col("t").cast("double"), 3) - F.col("t")).alias("ties"))
+    plus = with_mid_ranks(sized, by, {"_r": "_size"}).groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("_r")).otherwise(0.0)).alias("plus"))
+    test = plus.join(ties, by).select(*by, wilcoxon_p("n", "plus", "ties").alias("wilcoxon_p"))
+    out, three = base.join(boots, by, "left").join(test, by, "left"), F.col("n_strata") >= 3
+    return out.select(*by, "n_strata", "n_won", "strata_lost", "mean_delta", "min_delta", F.when(three, F.col("q")[0]).alias("ci_lo"), F.when(three, F.col("q")[1]).alias("ci_hi"), "wilcoxon_p", (2 / F.pow(F.lit(2.0), "n_strata")).alias("p_floor"))
 
 
 def noise_ceiling(rows: DataFrame, key: str, a: str, b: str, floors: list[int], n: int = 20, seed: str = "0") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from helixmill.functions import seq as S
 from helixmill.operators import labels as L
+from helixmill.operators.thinning import thinned
 from helixmill.plans.q_kmers import rounded, unif
 from helixmill.plans.registry import query, table
 
@@ -154,9 +155,17 @@ def x07_within_budget(spark, d):
     return L.within_budget(classed(spark, d), "doc_id", "n_chars", 50_000, F.col("label") == "L1HS", "8").select("doc_id", "n_chars")
 
 
-@query(f"""WITH c AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), r AS (SELECT lang, lang || '|' || i AS id FROM c, unnest(range(1, n + 1)) t(i)), k AS (SELECT lang, row_number() OVER (ORDER BY {unif('id', "'9'")}, id) AS rk FROM r), o AS (SELECT lang, count(*) AS k FROM k WHERE rk <= 50 GROUP BY lang) SELECT lang, coalesce(k, 0) AS n FROM c LEFT JOIN o USING (lang)""")
+#: The splitting tree in SQL: totals by the key's first md5 bits at each depth, the left half's share by summed probabilities. Each of the languages is alone in its range.
+TREE = f"""c AS (SELECT lang, count(*) AS n, ('0x' || substr(md5(lang), 1, 3))::INT AS bits FROM documents GROUP BY lang), node AS (SELECT d AS depth, bits >> (12 - d) AS spot, sum(n)::BIGINT AS n FROM c, unnest(range(13)) t(d) GROUP BY ALL),
+split AS (SELECT p.depth, p.spot, p.n, coalesce(l.n, 0)::BIGINT AS k, {unif('p.depth::VARCHAR', 'p.spot::VARCHAR', "'9'")} AS u FROM node p LEFT JOIN node l ON l.depth = p.depth + 1 AND l.spot = 2 * p.spot WHERE p.depth < 12),
+cdf AS (SELECT depth, spot, t, j, sum(exp(lgamma(k + 1) - lgamma(j + 1) - lgamma(k - j + 1) + lgamma(n - k + 1) - lgamma(t - j + 1) - lgamma(n - k - t + j + 1) - lgamma(n + 1) + lgamma(t + 1) + lgamma(n - t + 1))) OVER (PARTITION BY depth, spot, t ORDER BY j) AS f FROM split, unnest(range(51)) s(t), unnest(range(greatest(0, k + t - n), least(k, t))) w(j) WHERE t <= n),
+taken AS (SELECT s.depth, s.spot, t, greatest(0, k + t - n) + (SELECT count(*) FROM cdf WHERE cdf.depth = s.depth AND cdf.spot = s.spot AND cdf.t = r.t AND f <= u) AS x FROM split s, unnest(range(51)) r(t) WHERE t <= n),
+walk AS (SELECT 0 AS depth, 0 AS spot, least(50, n) AS t FROM node WHERE depth = 0 UNION ALL SELECT w.depth + 1, 2 * w.spot + h, CASE WHEN h = 0 THEN x ELSE w.t - x END FROM walk w JOIN taken USING (depth, spot, t), unnest([0, 1]) y(h))"""
+
+
+@query(f"WITH RECURSIVE {TREE} SELECT lang, coalesce(t, 0)::BIGINT AS n FROM c LEFT JOIN walk ON depth = 12 AND spot = bits")
 def x08_thinned(spark, d):
-    return L.thinned(table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n")), "lang", "n", 50, "9")
+    return thinned(table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n")), "lang", "n", 50, "9")
 
 
 @query(f"WITH k AS (SELECT doc_id, {rk('', '10')} FROM documents) SELECT doc_id, CASE WHEN i <= n // 2 THEN 'fit' ELSE 'report' END AS half FROM k")

@@ -6,7 +6,6 @@ import math
 
 from pyspark.sql import functions as F
 
-from helixmill.functions.stats import r_p_value
 from helixmill.operators import loci as O
 from helixmill.operators import resample as R
 from helixmill.plans.q_kmers import rounded, unif
@@ -95,25 +94,45 @@ def lines(spark, d):
     return table(spark, d, "lineitem").select((F.col("l_orderkey") % 500).alias("read"), (F.col("l_returnflag") == "R").alias("inside"), (F.col("l_quantity") > 40).alias("top"), F.col("l_extendedprice").alias("v"), "l_partkey", "l_returnflag")
 
 
-@query(f"""WITH l AS (SELECT l_orderkey % 500 AS read, l_returnflag = 'R' AS i, l_quantity > 40 AS t FROM lineitem), p AS (SELECT read, count(*) FILTER (WHERE i AND t) AS a, count(*) FILTER (WHERE i AND NOT t) AS b_, count(*) FILTER (WHERE NOT i AND t) AS c, count(*) FILTER (WHERE NOT i AND NOT t) AS d FROM l GROUP BY read),
-w AS (SELECT p.*, b, {weight('read::VARCHAR', '2')} AS k FROM p, unnest(range(40)) t(b)), o AS (SELECT b, ln(sum(k * a) * sum(k * d) / (sum(k * b_) * sum(k * c))) AS l FROM w WHERE k > 0 GROUP BY b)
-SELECT (SELECT count(*) FROM p) AS n_reads, round((SELECT sum(a) * sum(d) / (sum(b_) * sum(c)) FROM p), 6) AS odds_ratio, round(exp(quantile_cont(l, 0.025)), 6) AS ci_lo, round(exp(quantile_cont(l, 0.975)), 6) AS ci_hi, round(var_samp(l) / (SELECT 1 / sum(a) + 1 / sum(b_) + 1 / sum(c) + 1 / sum(d) FROM p), 6) AS design_effect FROM o""")
+ORDERS = "l AS (SELECT l_orderkey AS read, l_returnflag = 'R' AS i, l_quantity > 40 AS t FROM lineitem)"
+#: The two-sided normal p of z by the approximation of functions.stats.normal_p, as SQL.
+P_OF_Z = "least(1, x * exp(-z * z / 2 - 1.26551223 + x * (1.00002368 + x * (0.37409196 + x * (0.09678418 + x * (-0.18628806 + x * (0.27886807 + x * (-1.13520398 + x * (1.48851587 + x * (-0.82215223 + x * 0.17087277))))))))))"
+
+
+def orders_as_reads(spark, d):
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("read"), (F.col("l_returnflag") == "R").alias("inside"), (F.col("l_quantity") > 40).alias("top"))
+
+
+@query(f"""WITH {ORDERS}, p AS (SELECT read, count(*) FILTER (WHERE i AND t) AS a, count(*) FILTER (WHERE i AND NOT t) AS b_, count(*) FILTER (WHERE NOT i AND t) AS c, count(*) FILTER (WHERE NOT i AND NOT t) AS d FROM l GROUP BY read),
+k AS (SELECT p.*, b, {weight('read::VARCHAR', '2')} AS k FROM p, unnest(range(40)) t(b)), s AS (SELECT b, sum(k * a) AS a, sum(k * b_) AS b_, sum(k * c) AS c, sum(k * d) AS d FROM k GROUP BY b UNION ALL SELECT -1, sum(a), sum(b_), sum(c), sum(d) FROM p),
+o AS (SELECT *, CASE WHEN least(a, b_, c, d) > 0 THEN a * d / (b_ * c) END AS o, CASE WHEN least(a, b_, c, d) > 0 THEN (a / (a + c)) / ((a + b_) / (a + b_ + c + d)) END AS e FROM s),
+q AS (SELECT quantile_cont(o, 0.025) AS o1, quantile_cont(o, 0.975) AS o2, quantile_cont(e, 0.025) AS e1, quantile_cont(e, 0.975) AS e2, stddev_pop(ln(o)) AS sc FROM o WHERE b >= 0),
+w AS (SELECT (a + b_ > 0) AS i, (a + c) / (a + b_ + c + d) AS x FROM p WHERE a + b_ = 0 OR c + d = 0), r AS (SELECT *, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS r FROM w), tt AS (SELECT sum(pow(t, 3) - t) AS t FROM (SELECT count(*) AS t FROM w GROUP BY x)),
+u AS (SELECT count(*) FILTER (WHERE i) AS n1, count(*) FILTER (WHERE NOT i) AS n2, count(*) AS m, sum(r) FILTER (WHERE i) AS rs, avg(x) FILTER (WHERE i) AS m1, avg(x) FILTER (WHERE NOT i) AS m2 FROM r),
+z AS (SELECT *, (rs - n1 * (n1 + 1) / 2 - n1 * n2 / 2 - 0.5) / sqrt(n1 * n2 / 12 * ((m + 1) - t / (m * (m - 1)))) AS z FROM u, tt), zp AS (SELECT *, 1 / (1 + 0.5 * abs(z) / sqrt(2)) AS x FROM z), pp AS (SELECT *, {P_OF_Z} AS p2 FROM zp),
+n AS (SELECT sqrt(1 / greatest(a, 1) + 1 / greatest(b_, 1) + 1 / greatest(c, 1) + 1 / greatest(d, 1)) AS sn, a + b_ + c + d AS n_rows, o, e FROM o WHERE b = -1)
+SELECT n_rows::BIGINT AS n_rows, (SELECT count(*) FROM p) AS n_reads, round(n_rows / (SELECT count(*) FROM p), 6) AS rows_per_read, round(o, 6) AS odds_ratio, round(o1, 6) AS or_lo, round(o2, 6) AS or_hi, round(e, 6) AS enrichment, round(e1, 6) AS enrichment_lo, round(e2, 6) AS enrichment_hi, round(sn, 6) AS se_naive, round(sc, 6) AS se_clustered, round(sc / sn, 6) AS design_effect,
+  round(n_rows / pow(sc / sn, 2), 3) AS effective_n, n1 AS n_inside, n2 AS n_outside, round(m1, 6) AS mean_inside, round(m2, 6) AS mean_outside, round(m1 / m2, 6) AS read_ratio, round(CASE WHEN z > 0 THEN p2 / 2 ELSE 1 - p2 / 2 END, 6) AS p_read FROM n, q, pp""")
 def r14_clustered_enrichment(spark, d):
-    x = R.clustered_enrichment(lines(spark, d), "read", F.col("inside"), F.col("top"), "v", 40, "2")
-    return rounded(x.drop("p_rank"), "odds_ratio", "ci_lo", "ci_hi", "design_effect")
+    x = R.clustered_enrichment(orders_as_reads(spark, d), "read", F.col("inside"), F.col("top"), 40, "2")
+    return rounded(x.withColumn("effective_n", F.round("effective_n", 3)), *(c for c in x.columns if c not in ("n_rows", "n_reads", "n_inside", "n_outside", "effective_n")))
 
 
-@query("""WITH l AS (SELECT l_orderkey % 500 AS read, (l_returnflag = 'R')::INT AS i, (l_quantity > 40)::INT AS t FROM lineitem), p AS (SELECT count(*) AS n, sum(i) AS k, sum(t) AS t, sum(i * t) AS x FROM l GROUP BY read), s AS (SELECT x, k * t / n AS m, CASE WHEN n > 1 THEN k * t / n * (1 - k / n) * (n - t) / (n - 1) ELSE 0 END AS v FROM p)
-SELECT sum(x)::BIGINT AS observed, round(sum(m), 6) AS expected, round(sqrt(sum(v)), 6) AS sd FROM s""")
+@query(f"""WITH l AS (SELECT l_orderkey % 500 AS read, (l_returnflag = 'R')::INT AS i, (l_quantity > 40)::INT AS t FROM lineitem), p AS (SELECT read, count(*) AS n, sum(i) AS k, sum(t) AS t, sum(i * t) AS x FROM l GROUP BY read HAVING sum(i) > 0 AND sum(i) < count(*)),
+h AS (SELECT n, k, t, j, sum(exp(lgamma(k + 1) - lgamma(j + 1) - lgamma(k - j + 1) + lgamma(n - k + 1) - lgamma(t - j + 1) - lgamma(n - k - t + j + 1) - lgamma(n + 1) + lgamma(t + 1) + lgamma(n - t + 1))) OVER (PARTITION BY n, k, t ORDER BY j) AS f FROM (SELECT DISTINCT n, k, t FROM p), unnest(range(greatest(0, k + t - n)::BIGINT, least(k, t)::BIGINT)) u(j)),
+d AS (SELECT read, n, k, t, b, {unif('read::VARCHAR', 'b::VARCHAR', "'5'")} AS u FROM p, unnest(range(100)) v(b)), g AS (SELECT b, greatest(0, d.k + d.t - d.n) + count(f) AS w FROM d LEFT JOIN h ON h.n = d.n AND h.k = d.k AND h.t = d.t AND f <= u GROUP BY b, read, d.n, d.k, d.t), nul AS (SELECT b, sum(w) AS w FROM g GROUP BY b),
+s AS (SELECT count(*) AS n_straddling, sum(x)::BIGINT AS observed, sum(k * t / n) AS m, sum(CASE WHEN n > 1 THEN k * t / n * (1 - k / n) * (n - t) / (n - 1) ELSE 0 END) AS v FROM p)
+SELECT n_straddling, observed, round(m, 6) AS expected, round(sqrt(v), 6) AS sd, round(avg(w), 6) AS null_mean, round((1 + count(*) FILTER (WHERE w >= observed)) / 101, 6) AS p FROM s, nul GROUP BY ALL""")
 def r14_within_read_permutation(spark, d):
-    return rounded(R.within_read_permutation(lines(spark, d), "read", F.col("inside"), F.col("top")).drop("p"), "expected", "sd")
+    x = R.within_read_permutation(lines(spark, d), "read", F.col("inside"), F.col("top"), 100, "5")
+    return rounded(x, "expected", "sd", "null_mean", "p")
 
 
-@query(f"""WITH {STRATA}, d AS (SELECT s.stratum, s.method, r.v - s.v AS d FROM s JOIN s r ON s.stratum = r.stratum AND r.method = '1-URGENT' AND s.method <> '1-URGENT'), w AS (SELECT d.*, b, {weight('stratum::VARCHAR', '3')} AS k FROM d, unnest(range(50)) t(b)),
-m AS (SELECT method, b, sum(k * d) / sum(k) AS m FROM w WHERE k > 0 GROUP BY ALL), q AS (SELECT method, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM m GROUP BY method)
-SELECT '1-URGENT-' || method AS contrast, count(*) AS n_strata, count(*) FILTER (WHERE d > 0) AS n_won, round(avg(d), 4) AS mean_delta, round(min(d), 4) AS min_delta, round(any_value(lo), 4) AS ci_lo, round(any_value(hi), 4) AS ci_hi, round(2 / pow(2, count(*)), 6) AS p_floor FROM d JOIN q USING (method) GROUP BY method""")
+@query(f"""WITH {STRATA}, c AS (SELECT 'reference' AS family, '1-URGENT' AS a, method AS b FROM s WHERE method <> '1-URGENT' UNION SELECT 'within_quantifier', '2-HIGH', '5-LOW'), d AS (SELECT family, a || '-' || b AS contrast, x.stratum::VARCHAR AS stratum, x.v - y.v AS d FROM c JOIN s x ON x.method = a JOIN s y ON y.method = b AND x.stratum = y.stratum), w AS (SELECT d.*, b, {weight('stratum', '3')} AS k FROM d, unnest(range(50)) t(b)),
+m AS (SELECT family, contrast, b, sum(k * d) / sum(k) AS m FROM w WHERE k > 0 GROUP BY ALL), q AS (SELECT family, contrast, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM m GROUP BY ALL)
+SELECT family, contrast, count(*) AS n_strata, count(*) FILTER (WHERE d > 0) AS n_won, coalesce(string_agg(stratum, ',' ORDER BY stratum) FILTER (WHERE d <= 0), '') AS strata_lost, round(avg(d), 4) AS mean_delta, round(min(d), 4) AS min_delta, CASE WHEN count(*) >= 3 THEN round(any_value(lo), 4) END AS ci_lo, CASE WHEN count(*) >= 3 THEN round(any_value(hi), 4) END AS ci_hi, round(2 / pow(2, count(*)), 6) AS p_floor FROM d JOIN q USING (family, contrast) GROUP BY family, contrast""")
 def r15_stratum_contrasts(spark, d):
-    x = R.stratum_contrasts(strata(spark, d), "stratum", "method", "v", "1-URGENT", 50, "3").drop("wilcoxon_p")
+    x = R.stratum_contrasts(strata(spark, d), "stratum", "method", "v", "1-URGENT", 50, "3", [("2-HIGH", "5-LOW"), ("2-HIGH", "absent")]).drop("wilcoxon_p")
     return x.withColumns({c: F.round(c, 4) for c in ("mean_delta", "min_delta", "ci_lo", "ci_hi")} | {"p_floor": F.round("p_floor", 6)})
 
 

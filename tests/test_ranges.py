@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from helixmill.functions import stats
+from helixmill.operators.thinning import thinned
 from helixmill.operators import intervals as I
 from helixmill.operators import kmers as K
 from helixmill.operators import loci as O
@@ -120,9 +121,8 @@ def test_long_sequences_are_tiled_without_loss(spark):
 
 
 def test_thinning_of_a_count_over_one_block(spark):
-    from helixmill.operators import labels as L
 
     rows = spark.createDataFrame([("a", 150_000), ("b", 65_536), ("c", 1), ("d", 0)], "locus string, n long")
-    got = {r.locus: r.n for r in L.thinned(rows, "locus", "n", 100_000).collect()}
+    got = {r.locus: r.n for r in thinned(rows, "locus", "n", 100_000).collect()}
     assert sum(got.values()) == 100_000 and got["d"] == 0 and abs(got["a"] - 69_600) < 1500
-    assert {r.locus: r.n for r in L.thinned(rows, "locus", "n", 10**6).collect()} == {"a": 150_000, "b": 65_536, "c": 1, "d": 0}
+    assert {r.locus: r.n for r in thinned(rows, "locus", "n", 10**6).collect()} == {"a": 150_000, "b": 65_536, "c": 1, "d": 0}
