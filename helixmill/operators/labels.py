@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from helixmill.functions.seq import class_of, keyed_uniform
 from helixmill.operators.kmers import exact_rank
+from helixmill.operators.ranks import quantiles
 
 
 def ranked(label: Column, order: list[str]) -> Column:
@@ -36,7 +37,7 @@ def frequent_classes(rows: DataFrame, label: str, least: int) -> DataFrame:
 def label_histogram(rows: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
     """(counts per label, their quartiles)."""
     counts = rows.groupBy(label).agg(F.count("*").alias("n"))
-    q = counts.agg(F.percentile("n", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = quantiles(counts, [], "n", [0.25, 0.5, 0.75])
     return counts, q.select(*(F.col("q")[i].alias(c) for i, c in enumerate(("q25", "q50", "q75"))))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixmill.functions.stats import r_p_value
-from helixmill.operators.ranks import running_sums, with_mid_ranks, with_totals
+from helixmill.operators.ranks import quantiles, running_sums, with_mid_ranks, with_totals
 from helixmill.operators.scores import pearson
 
 
@@ -61,13 +61,14 @@ def profile(rows: DataFrame, by: list[str], count: str, flags: dict[str, Column]
     p = percent_of_total(rows, by, count, "_pct")
     c = F.col(count)
     share = lambda ok: F.coalesce(F.sum(F.when(ok, F.col("_pct"))), F.lit(0.0))
-    q = F.percentile(F.when(c > 0, F.col("_pct")), F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
-    out = p.groupBy(*by).agg(F.sum(count).alias("total"), F.count_if(c > 0).alias("detected"), F.count_if(F.col("_pct") > 1).alias("over_1pct"), F.count_if(c >= 10).alias("tens"), q.alias("_q"), *(share(ok).alias(name) for name, ok in flags.items()))
+    q = quantiles(p.where(c > 0), by, "_pct", [0.5, 0.9, 0.99], "_q").select(*(F.col(b).alias(f"_q_{i}") for i, b in enumerate(by)), "_q")
+    out = p.groupBy(*by).agg(F.sum(count).alias("total"), F.count_if(c > 0).alias("detected"), F.count_if(F.col("_pct") > 1).alias("over_1pct"), F.count_if(c >= 10).alias("tens"), *(share(ok).alias(name) for name, ok in flags.items()))
     # the limit on row_number lets each task keep ten rows a group before the shuffle
     keys = [f"_k{i}" for i in range(len(by))]
     top = p.select(*(F.col(b).alias(k) for b, k in zip(by, keys)), count, "_pct").withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(count)))).where("_i <= 10")
     top = top.groupBy(*keys).agg(*(share(F.col("_i") <= k).alias(f"top{k}") for k in (1, 3, 10)))
     out = out.join(top, [F.col(b).eqNullSafe(F.col(k)) for b, k in zip(by, keys)]).drop(*keys)
+    out = out.join(q, [F.col(b).eqNullSafe(F.col(f"_q_{i}")) for i, b in enumerate(by)] or F.lit(True), "left").drop(*(f"_q_{i}" for i in range(len(by))))
     return out.select("*", *(F.col("_q")[i].alias(n) for i, n in enumerate(("median_pct", "p90_pct", "p99_pct")))).drop("_q")
 
 
@@ -241,7 +242,8 @@ def relative_difference(a: str, b: str) -> Column:
 def version_difference(rows: DataFrame, a: str, b: str) -> DataFrame:
     """Of two versions' values (null as 0): loci in both, in one only, and quantiles of the relative difference where both have some."""
     r = rows.fillna(0, [a, b]).withColumn("_d", F.when((F.col(a) > 0) & (F.col(b) > 0), relative_difference(a, b)))
-    q = r.agg(F.count("_d").alias("n_both"), F.count_if((F.col(a) > 0) & (F.col(b) == 0)).alias("only_a"), F.count_if((F.col(b) > 0) & (F.col(a) == 0)).alias("only_b"), F.percentile("_d", F.array(F.lit(0.5), F.lit(0.95))).alias("_q"), F.max("_d").alias("most"))
+    q = r.agg(F.count("_d").alias("n_both"), F.count_if((F.col(a) > 0) & (F.col(b) == 0)).alias("only_a"), F.count_if((F.col(b) > 0) & (F.col(a) == 0)).alias("only_b"), F.max("_d").alias("most"))
+    q = q.join(quantiles(r, [], "_d", [0.5, 0.95], "_q"), how="left")
     return q.select("n_both", "only_a", "only_b", F.col("_q")[0].alias("median"), F.col("_q")[1].alias("p95"), "most")
 
 

@@ -44,6 +44,20 @@ def with_mid_ranks(rows: DataFrame, by: list[str], ranks: dict[str, str]) -> Dat
     return rows
 
 
+def quantiles(rows: DataFrame, by: list[str], x: str, shares: list[float], out: str = "q") -> DataFrame:
+    """(by..., out): exact quantiles of x in each group, between two values by their distance; nulls do not count. Groups without a value are absent; without groups there is one row, of nulls if no value is there.
+
+    Values are counted, then summed up range by range, so no task holds a group's values; all shares are read off in one more pass.
+    """
+    upto = running_sums(rows.where(F.col(x).isNotNull()).groupBy(*by, F.col(x).cast("double").alias("_x")).agg(F.count("*").alias("_n")), by, "_x", {"_upto": "_n"})
+    cells = []
+    for i, q in enumerate(shares):
+        at = (F.col("total__upto") - 1) * q
+        cells += [F.min(F.when(F.col("_upto") > F.floor(at), F.col("_x"))).alias(f"_lo{i}"), F.min(F.when(F.col("_upto") > F.ceil(at), F.col("_x"))).alias(f"_hi{i}"), F.max(at - F.floor(at)).alias(f"_at{i}")]
+    got = upto.groupBy(*by).agg(*cells)
+    return got.select(*by, F.array(*(F.when(F.col(f"_at{i}") == 0, F.col(f"_lo{i}")).otherwise(F.col(f"_lo{i}") * (1 - F.col(f"_at{i}")) + F.col(f"_hi{i}") * F.col(f"_at{i}")) for i in range(len(shares)))).alias(out))
+
+
 def with_totals(rows: DataFrame, by: list[str], **totals: Column) -> DataFrame:
     """Adds aggregates of the group to each row: combined before the shuffle and joined back, so a group's rows need not meet in one task."""
     keys = [f"_t{i}" for i in range(len(by))]

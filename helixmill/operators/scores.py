@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixmill.operators.ranks import running_sums
+from helixmill.operators.surfaces import f1_surface
 
 
 def softmax(logits: Column, temperature: float | Column = 1.0) -> Column:
@@ -185,15 +186,13 @@ def geometric(lo: float, hi: float, n: int) -> list[float]:
 
 
 def weight_search(rows: DataFrame, label: str, p: str, n: int, negative: int, free: tuple[int, int], points: int = 25, fine: int = 17) -> dict:
-    """Weights of two classes that give the best macro F1 of the weighted argmax, the others' weight being 1: a wide grid, then a fine one."""
-    spark, best = rows.sparkSession, {}
+    """Weights of two classes that give the best macro F1 of the weighted argmax, the others' weight being 1: a wide grid, then a fine one, a pass over the rows each."""
+    best: dict = {}
     for sides in ("wide", "fine"):
         axes = [geometric(0.25, 4.0, points)] * 2 if sides == "wide" else [geometric(best[c] / 1.6, best[c] * 1.6, fine) for c in ("wa", "wb")]
-        grid = spark.createDataFrame([(a, b) for a in axes[0] for b in axes[1]], "wa double, wb double")
-        w = F.array(*(F.col("wa") if c == free[0] else F.col("wb") if c == free[1] else F.lit(1.0) for c in range(n)))
-        row = first_best(f1_grid(rows.select(label, p), label, argmax(weighted(F.col(p), w)), grid, ["wa", "wb"], n), ["wa", "wb"]).first().asDict()
-        if not best or row["macro_f1"] >= best["macro_f1"]:
-            best = row
+        wa, wb, f1 = max(f1_surface(rows, label, p, n, *free, *axes), key=lambda x: (x[2], -x[0], -x[1]))
+        if not best or f1 >= best["macro_f1"]:
+            best = {"wa": wa, "wb": wb, "macro_f1": f1}
     return best
 
 

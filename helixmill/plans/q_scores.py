@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from helixmill.functions import seq as S
 from helixmill.operators import scores as C
+from helixmill.operators.surfaces import f1_surface
 from helixmill.plans.q_kmers import CODE, READS, km, reads, rounded
 from helixmill.plans.registry import query, table
 
@@ -176,9 +177,8 @@ F1SQL = "(SELECT avg(f) FROM (SELECT coalesce(2 * sum(n) FILTER (WHERE label = c
 @query(f"""WITH {P}, v AS (SELECT wa, wb, label, [p[i] * CASE i WHEN 2 THEN wa WHEN 3 THEN wb ELSE 1 END FOR i IN range(1, 11)] AS z FROM t, unnest([0.5::DOUBLE, 1.0, 2.0]) a(wa), unnest([0.5::DOUBLE, 1.0, 2.0]) b(wb)), c AS (SELECT wa, wb, label, list_position(z, list_max(z)) - 1 AS pr, count(*) AS n FROM v GROUP BY ALL),
 f AS (SELECT wa, wb, k, coalesce(2 * sum(n) FILTER (WHERE label = k AND pr = k) / nullif(coalesce(sum(n) FILTER (WHERE label = k), 0) + coalesce(sum(n) FILTER (WHERE pr = k), 0), 0), 0) AS f FROM c, unnest(range(10)) u(k) GROUP BY ALL) SELECT wa, wb, round(avg(f), 6) AS macro_f1 FROM f GROUP BY ALL""")
 def m06_weight_grid(spark, d):
-    grid = spark.createDataFrame([(a, b) for a in (0.5, 1.0, 2.0) for b in (0.5, 1.0, 2.0)], "wa double, wb double")
-    w = F.array(*(F.col("wa") if c == 1 else F.col("wb") if c == 2 else F.lit(1.0) for c in range(10)))
-    return rounded(C.f1_grid(probs(spark, d).select("label", "p"), "label", C.argmax(C.weighted(F.col("p"), w)), grid, ["wa", "wb"], 10), "macro_f1")
+    grid = [0.5, 1.0, 2.0]
+    return rounded(spark.createDataFrame(f1_surface(probs(spark, d), "label", "p", 10, 1, 2, grid, grid), "wa double, wb double, macro_f1 double"), "macro_f1")
 
 
 SWEEP = f"{P}, g AS (SELECT i / 40.0::DOUBLE AS tau FROM unnest(range(41)) u(i)), k AS (SELECT tau, count(*) FILTER (WHERE label <> 0 AND p[1] < tau) AS kp, count(*) FILTER (WHERE label = 0 AND p[1] < tau) AS kn, count(*) FILTER (WHERE label <> 0) AS np, count(*) FILTER (WHERE label = 0) AS nn FROM t, g GROUP BY tau)"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from helixmill.functions import seq as S
 from helixmill.operators import kmers as K
+from helixmill.operators.ranks import quantiles
 from helixmill.plans.q_kmers import CODE, READS, km, reads, rounded, unif
 from helixmill.plans.registry import query, table
 from helixmill.streaming import scoring as ST
@@ -72,7 +73,8 @@ def p08_pair_encoding(spark, d):
 def a15_token_lengths(spark, d):
     t = table(spark, d, "documents").select(F.split("text", " ").alias("w"))
     t = t.select(F.size("w").alias("n"), F.size(F.filter("w", lambda x: x == "the")).alias("u"))
-    q = t.agg(F.avg("n").alias("mean"), F.stddev_pop("n").alias("sd"), F.percentile("n", F.array(*map(F.lit, (0.1, 0.5, 0.9, 0.95, 0.99)))).alias("q"), F.min("n").cast("bigint").alias("low"), F.max("n").cast("bigint").alias("high"), (F.sum("u") / F.sum("n")).alias("unk"))
+    q = t.agg(F.avg("n").alias("mean"), F.stddev_pop("n").alias("sd"), F.min("n").cast("bigint").alias("low"), F.max("n").cast("bigint").alias("high"), (F.sum("u") / F.sum("n")).alias("unk"))
+    q = q.join(quantiles(t, [], "n", [0.1, 0.5, 0.9, 0.95, 0.99]), how="left")
     return rounded(q.select("mean", "sd", *(F.col("q")[i].alias(n) for i, n in enumerate(("p10", "p50", "p90", "p95", "p99"))), "low", "high", "unk"), "mean", "sd", "unk")
 
 
