@@ -57,19 +57,37 @@ def int64s(column: pa.Array) -> np.ndarray:
     return np.asarray(pa.compute.fill_null(column, np.iinfo(np.int64).min), dtype=np.int64)
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """`name`, with as many underscores behind it as it takes to be none of the columns (upper and lower case are alike)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
 
 def with_row_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", name: str = "_id") -> DataFrame:
     """`docs` with a number for each pair of key and text, in order of the key (null first), then of the text's hash.
 
     Where each key stands for one text, the number is the key (null: the smallest number). Else numbers are dealt once, over
     ranges of (key, hash), so that many rows of one key or none do not meet in one task. The check of the keys runs at once.
+    `name` is none of the columns (free_name finds one); the others stay whatever their names.
     """
-    own = docs.withColumns({"_key": F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))), "_text": F.xxhash64(text, F.col(text).isNull())})
-    shared = own.groupBy("_key").agg((F.min("_text") != F.max("_text")).alias("many"))
+    k, t = free_name([*docs.columns, name], "_key"), free_name([*docs.columns, name], "_text")
+    own = docs.withColumns({k: F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))), t: F.xxhash64(text, F.col(text).isNull())})
+    shared = own.groupBy(k).agg((F.min(t) != F.max(t)).alias("many"))
     if shared.where("many").isEmpty():
-        return own.withColumn(name, F.col("_key")).drop("_key", "_text")
+        return own.withColumn(name, F.col(k)).drop(k, t)
     ensure_checkpoint_dir(docs.sparkSession)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ids = own.select("_key", "_text").distinct().repartitionByRange(n, "_key", "_text").sortWithinPartitions("_key", "_text")
+    ids = own.select(k, t).distinct().repartitionByRange(n, k, t).sortWithinPartitions(k, t)
     ids = ids.withColumn(name, F.monotonically_increasing_id()).checkpoint()
-    return own.join(ids, ["_key", "_text"]).drop("_key", "_text")
+    return own.join(ids, [k, t]).drop(k, t)
+
+
+def texts_changed(docs: DataFrame, change, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows and columns of `docs` with the texts that `change` gives a frame of key, text and all other columns in one struct."""
+    rest = [c for c in docs.columns if c not in (key, text)]
+    if not rest:
+        return change(docs).select(*docs.columns)
+    done = change(docs.select(key, text, F.struct(*(docs[c] for c in rest)).alias("others")))
+    return done.select(*(F.col("others").getField(c).alias(c) if c in rest else F.col(c) for c in docs.columns))

@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixmill.llm.common import table, with_row_ids
+from helixmill.llm.common import free_name, table, texts_changed, with_row_ids
 
 DISTANCE = 2
 #: Near matches only: in a shorter line two edits are over a tenth of it and make another line of it (a number, a short word).
@@ -170,13 +170,14 @@ def dedup_lines(docs: DataFrame, t: int = DISTANCE, least: int = LEAST_CHARS, ke
     if not 0 < t <= min(least - 1, STEP):
         raise ValueError(f"the distance must be positive, under the least length and at most {STEP}")
     names = [c for c in docs.columns if c not in ("n_lines", "n_exact", "n_near")]
-    docs = with_row_ids(docs.select(*names), key, text)
-    lines = docs.select(F.col("_id").alias("doc"), F.posexplode(F.split(F.col(text), "\n")).alias("no", "line"))
+    id_ = free_name(names, "_id")
+    docs = with_row_ids(docs.select(*names), key, text, id_)
+    lines = docs.select(F.col(id_).alias("doc"), F.posexplode(F.split(F.col(text), "\n")).alias("no", "line"))
     long = F.length("line") >= least
     short = F.lit(False) if least_exact is None else (F.length("line") >= least_exact) & F.col("line").rlike(r"[\p{L}\p{N}]")
     places = lines.where(long | short).select("doc", "no", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(t), "line").alias("g"), long.alias("long"))
     firsts = places.groupBy("h", "g").agg(F.min(F.struct("doc", "no")).alias("id"), F.max("long").alias("long"))
-    own = docs_by_key(docs, "_id")
+    own = docs_by_key(docs, id_)
     split = F.split(F.element_at("_rows", 1).getField(text), "\n")
 
     def with_text(ids: DataFrame) -> DataFrame:
@@ -200,7 +201,8 @@ def dedup_lines(docs: DataFrame, t: int = DISTANCE, least: int = LEAST_CHARS, ke
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
-    return dedup_lines(docs).select(*docs.columns)
+    """The rows and columns of `docs`, their texts less the lines that repeat an earlier one or nearly do, as dedup_lines has it. Columns stay whatever their names."""
+    return texts_changed(docs, dedup_lines)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixmill.llm.common import ensure_checkpoint_dir, int64s, table, text_bytes, text_slices, with_row_ids
+from helixmill.llm.common import ensure_checkpoint_dir, free_name, int64s, table, text_bytes, text_slices, with_row_ids
 
 WORDS = 5
 PERCENT = 75
@@ -453,11 +453,12 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 def keep_one_of_each(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows of `docs` that come first in their component, by key and then by the text's hash; rows that repeat key and text are one row.
 
-    Texts without a word have no component, so each of them stays (rows that repeat key and text are still one).
+    Texts without a word have no component, so each of them stays (rows that repeat key and text are still one). Columns stay whatever their names; an empty table stays empty.
     """
-    named = with_row_ids(docs, key)
-    found = jaccard_components(named, key="_id").where("_id = component_id").select("_id").distinct()
-    return named.join(found, "_id", "left_semi").dropDuplicates(["_id"]).select(*docs.columns)
+    id_ = free_name(docs.columns, "_id")
+    named = with_row_ids(docs, key, name=id_)
+    found = jaccard_components(named, key=id_).where(F.col(id_) == F.col("component_id")).select(id_).distinct()
+    return named.join(found, id_, "left_semi").dropDuplicates([id_]).select(*docs.columns)
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixmill.llm.common import int64s, table, text_bytes, text_slices, with_row_ids
+from helixmill.llm.common import free_name, int64s, table, text_bytes, text_slices, texts_changed, with_row_ids
 from helixmill.llm.suffix_array import suffix_array
 
 LENGTH = 100
@@ -282,8 +282,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
     names = [c for c in docs.columns if c not in new]
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kept = [c for c in names if c != text]
-    docs = with_row_ids(docs.select(*names), key, text)
-    frame = docs.select(F.col("_id").alias("key"), F.col(text).alias("text"))
+    id_ = free_name(names, "_id")
+    docs = with_row_ids(docs.select(*names), key, text, id_)
+    frame = docs.select(F.col(id_).alias("key"), F.col(text).alias("text"))
     sent = frame.mapInArrow(lambda b: send_anchors(b, length), ROW).repartition(n, "key")
     found = sent.mapInArrow(decide, FOUND)
 
@@ -294,7 +295,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
                 data = [None if x is None else squeeze(x.encode()) for x in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(int64s(part.column("key"))), part.column("row"), pa.array(data, pa.binary())], ["doc", "row", "packed"])
 
-    own = docs.select(F.col("_id").alias("key"), F.col(text).alias("text"), F.struct(*(docs[c] for c in kept)).alias("row"))
+    own = docs.select(F.col(id_).alias("key"), F.col(text).alias("text"), F.struct(*(docs[c] for c in kept)).alias("row"))
     row = own.schema["row"].dataType.simpleString()
     texts = own.mapInArrow(zipped, f"doc long not null, row {row}, packed binary").repartition(n, "doc")
 
@@ -367,8 +368,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
 
 
 def drop_repeated_strings(docs: DataFrame) -> DataFrame:
-    """The rows and columns of `docs`, their texts less the repeated strings; parts of characters at a cut go."""
-    return remove_repeats(docs).select(*docs.columns)
+    """The rows and columns of `docs`, their texts less the repeated strings; parts of characters at a cut go. Columns stay whatever their names."""
+    return texts_changed(docs, remove_repeats)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,6 +64,21 @@ def test_stages_keep_columns(spark):
     assert quality_rules.score_quality(df, keep_columns=True).columns == ["doc_id", "text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "longest_repeat", "base_failed", "kept"]
 
 
+HELPERS = "_id _ID_ _key _text _rows _row _lines doc no key row packed cuts own set component_id kept n_shingles".split()
+
+
+@pytest.mark.parametrize("shared", [False, True])
+@pytest.mark.parametrize("stage", [line_dedup.drop_repeated_lines, ngram_jaccard.keep_one_of_each, substring_dedup.drop_repeated_strings, quality_rules.keep_quality], ids=lambda f: f.__name__)
+def test_columns_of_helper_names_stay(spark, stage, shared):
+    """Columns that are named as the operators' own helpers come out as they went in, with keys that are unique and with shared ones."""
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, text.replace("word", "one")), (2, text.replace("word", "two")), (1 if shared else 3, text.replace("word", "three")), (None, text.replace("word", "four")), (None if shared else 5, text.replace("word", "five"))]
+    df = spark.createDataFrame([(*r, *(100 * i + j for j in range(len(HELPERS)))) for i, r in enumerate(rows)], f"doc_id long, text string, {', '.join(f'{c} int' for c in HELPERS)}")
+    out = stage(df)
+    assert out.columns == df.columns
+    assert sorted(tuple(r)[1:] for r in out.collect()) == sorted(tuple(r)[1:] for r in df.collect())
+
+
 def test_decoding(spark):
     df = spark.createDataFrame([(1, "häß  x\n"), (2, None)], "doc_id long, text string")
     args = P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN
