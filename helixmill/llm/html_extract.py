@@ -30,12 +30,16 @@ NESTED = frozenset("svg object template noscript".split())
 EDGE = re.compile(rf"<(/?)({'|'.join(sorted(DROPPED))})(?=[\s/>])", re.I)
 MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PARTS = re.compile(r"[A-Za-z][a-z]+|[A-Z]+(?![a-z])")
+#: Class words that begin with "ad" and are no adverts.
+LATIN = re.compile(r"(?<![A-Za-z])ad[-_]?(?:hoc|hominem|infinitum|interim|lib|libitum|nauseam)(?![A-Za-z])", re.I)
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split())
 CLOSES_P = BLOCK - frozenset("td th tr tbody thead tfoot caption body html head title".split())
 SAME = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "body": {"head", "title"}}
 STOPS = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
+#: What only a whole page holds: a form around one of these is the page's frame.
+OUTER = frozenset("article main nav header footer aside h1".split())
 GROUPS = {"html": "root", "body": "root", "div": "box", "section": "box", "center": "box", "td": "box", "tr": "box", "tbody": "box", "table": "box", "main": "main", "article": "main"} | dict.fromkeys(("nav", "header", "footer", "aside", "form", "menu"), "frame")
 
 
@@ -71,10 +75,12 @@ def parse(page: str) -> list[Node]:
     """Nodes in page order, each after its parent; the first is the root. Scripts, styles, controls and comments are left out.
 
     Inline elements make no nodes: their text belongs to the run they stand in, links are counted. A run ends where a
-    block begins or ends. Tags that nothing closes or opens do no harm: an end tag without a start is skipped.
+    block begins or ends. Tags that nothing closes or opens do no harm: an end tag without a start is skipped. Forms that
+    frame the page and headers of articles become plain boxes (`plain_boxes`). Time is linear in the page, however deep it is.
     """
     nodes = [Node("root", (), -1)]
     open_, at, linked, run = [0], 0, 0, -1
+    places: dict[str, list[int]] = {}  # of the open elements of each tag in open_
 
     def add(text: str) -> None:
         nonlocal run
@@ -93,6 +99,8 @@ def parse(page: str) -> list[Node]:
 
     def close(to: int) -> None:
         nonlocal run, linked
+        for i in open_[to:]:
+            places[nodes[i].tag].pop()
         del open_[to:]
         run, linked = -1, 0
 
@@ -113,25 +121,20 @@ def parse(page: str) -> list[Node]:
         elif tag not in BLOCK:
             continue
         elif m[2]:
-            for i in range(len(open_) - 1, 0, -1):
-                if nodes[open_[i]].tag == tag:
-                    close(i)
-                    break
+            if places.get(tag):
+                close(places[tag][-1])
         else:
             run, linked = -1, 0
             if tag in CLOSES_P and nodes[open_[-1]].tag == "p":
                 close(len(open_) - 1)
             if tag in SAME:
-                for i in range(len(open_) - 1, 0, -1):
-                    own = nodes[open_[i]].tag
-                    if own in SAME[tag]:
-                        close(i)
-                        break
-                    if own in STOPS.get(tag, ()):
-                        break
-            marks = tuple(sorted({w.lower() for x in MARKS.findall(m[4]) for y in x if y for w in PARTS.findall(y)})) if m[4] else ()
+                last = lambda tags: max((places[t][-1] for t in tags if places.get(t)), default=0)
+                if last(SAME[tag]) > last(STOPS.get(tag, ())):
+                    close(last(SAME[tag]))
+            marks = tuple(sorted({w.lower() for x in MARKS.findall(m[4]) for y in x if y for w in PARTS.findall(LATIN.sub(" ", y))})) if m[4] else ()
             nodes.append(Node(tag, marks, open_[-1]))
             nodes[open_[-1]].children.append(len(nodes) - 1)
+            places.setdefault(tag, []).append(len(open_))
             open_.append(len(nodes) - 1)
     add(page[at:])
     for n in nodes:
@@ -139,14 +142,37 @@ def parse(page: str) -> list[Node]:
             joined = "".join(n.text)
             n.text = " ".join((html.unescape(joined) if "&" in joined else joined).split())
             n.chars = len(n.text)
+    plain_boxes(nodes)
     return nodes
 
 
+def plain_boxes(nodes: list[Node]) -> None:
+    """Makes boxes of what frames an article instead of standing beside it.
+
+    A form is such a frame if it holds an article, a main part, a heading of the first rank or other parts of a page, or if
+    it stands right in the body and holds over half of the page's text; its controls are left out in any case. A header is one
+    if the nearest element of GROUPS' kinds main or frame around it is an article.
+    """
+    if not any(n.tag in ("form", "header") for n in nodes):
+        return
+    chars, outer = [n.chars for n in nodes], [n.tag in OUTER for n in nodes]
+    for i in range(len(nodes) - 1, 0, -1):
+        chars[nodes[i].parent] += chars[i]
+        outer[nodes[i].parent] |= outer[i]
+    around = [""] * len(nodes)  # the nearest such element, itself included
+    for i, n in enumerate(nodes):
+        above = around[n.parent] if i else ""
+        if n.tag == "form" and (outer[i] or (nodes[n.parent].tag in ("root", "html", "body") and 2 * chars[i] > chars[0])) or n.tag == "header" and above == "article":
+            n.tag, around[i] = "div", above
+        else:
+            around[i] = n.tag if GROUPS.get(n.tag) in ("main", "frame") else above
+
+
 def features(nodes: list[Node], i: int) -> tuple[tuple, ...]:
-    """What a node shows of itself: tag and class words of elements; size, share of links and closing sign of text."""
+    """What a node shows of itself: tag and class words of elements (comments are articles too, but have class words); size, share of links and closing sign of text."""
     n = nodes[i]
     if n.text is None:
-        return (("tag", n.tag), *(("mark", m) for m in n.marks))
+        return (("tag", n.tag, n.tag == "article" and not n.marks), *(("mark", m) for m in n.marks))
     size = min(6, int(math.log2(n.chars + 1) / 1.5))
     links = 0 if not n.linked else 1 if 3 * n.linked < n.chars else 2
     return (("text", nodes[n.parent].tag, size), ("links", links, size > 2), ("end", n.text[-1:] in ".!?…:\"'»”。", size))

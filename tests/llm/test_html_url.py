@@ -28,6 +28,32 @@ def test_unclosed_elements_swallow_nothing():
     H.parse("<a '" * 20_001 + ">")
 
 
+def test_frames_of_articles():
+    """Forms that frame a page and headers of articles lose nothing of it; forms in and beside articles, and site headers, do go."""
+    a, b = "The first paragraph of this article stands here.", "The second paragraph of this article stands here."
+    got = lambda page: H.blocks(page, H.model())
+    assert got(f"<body><form><article><p>{a}</p><p>{b}</p></article></form></body>") == [a, b]
+    assert got(f"<body><form id='aspnetForm'><input type=hidden><div class='content'><p>{a}</p><p>{b}</p></div></form></body>") == [a, b]
+    assert got(f"<article><header><h1>A headline</h1></header><p>{a}</p></article>") == ["A headline", a]
+    assert got(f"<article><p>{a}</p><p class='ad-hoc'>{b}</p></article>") == [a, b]
+    assert got(f"<article><p>{a}</p><div class='ad'>{b}</div></article>") == [a]
+    assert got(f"<body><header><p>Our site.</p></header><article><p>{a}</p><form class='subscribe'><p>Your name</p></form><p>{b}</p></article></body>") == [a, b]
+    assert got(f"<body><article><p>{a}</p></article><form><p>Write to us about this here.</p><select><option>x</select></form></body>") == [a]
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    def took(n: int) -> float:
+        t = time.perf_counter()
+        H.parse("<ul><li>" + "<div>" * n + "</nav><li>x</li>" * n)
+        H.parse("<div>" * n + "</section>x" * n)
+        return time.perf_counter() - t
+
+    took(500)
+    assert took(20_000) < 40 * max(took(2_000), 0.02)
+
+
 def test_marginals_are_exact():
     nodes = H.parse("<div><p>abc.</p><ul><li><a>x</a></li></ul></div><p>d</p>")
     m = H.model()
