@@ -14,13 +14,34 @@ def count_kmers(reads: DataFrame, k: int, by: list[str] = [], canonical: bool =
     return rows.withColumn("code", code_of_digits(F.col("code"), [k]))
 
 
-def entropy_summary(counts: DataFrame, by: list[str], k: Column | int, count: str = "count") -> DataFrame:
+def entropy_summary(counts: DataFrame, by: list[str], k: Column | int, count: str = "count", replicates: int = 0, alpha: float = 0.05, seed: str = "0") -> DataFrame:
     """Entropies, redundancies and coverage of a table of counts, from how many types have each count: that table has at most about sqrt(2 n) rows a group, and counts are read once.
 
     An empty group or a single type has entropy 0. Where all types are singletons the coverage-adjusted entropy is the plain one.
+    With replicates, entropy_low and entropy_high bound the plain entropy (see resample.estimator_intervals; 0 for single types).
     """
+    steps = count_steps(counts, by, count)
+    out = summary_of_steps(steps, by, k)
+    if not replicates:
+        return out
+    from helixmill.operators.resample import estimator_intervals
+
+    bounds = estimator_intervals(steps, by, k, ["entropy"], replicates, alpha, seed).drop("estimator", "value")
+    bounds = bounds.withColumnsRenamed({"low": "entropy_low", "high": "entropy_high"})
+    if not by:
+        return out.crossJoin(bounds)  # one row each
+    same = [F.col(f"o.{b}").eqNullSafe(F.col(f"i.{b}")) for b in by]
+    return out.alias("o").join(bounds.alias("i"), same).select("o.*", "i.entropy_low", "i.entropy_high")
+
+
+def count_steps(counts: DataFrame, by: list[str], count: str = "count") -> DataFrame:
+    """(by, _c, _m): how many types have each count; types without a positive count are left out."""
+    return counts.where(F.col(count) > 0).groupBy(*by, F.col(count).cast("bigint").alias("_c")).agg(F.count("*").alias("_m"))
+
+
+def summary_of_steps(steps: DataFrame, by: list[str], k: Column | int) -> DataFrame:
+    """The columns of entropy_summary from (by, _c, _m). Every estimator is a sum over these rows, so it serves observed and resampled counts alike."""
     k = F.lit(k) if isinstance(k, int) else k
-    steps = counts.where(F.col(count) > 0).groupBy(*by, F.col(count).cast("bigint").alias("_c")).agg(F.count("*").alias("_m"))
     c, m, n, types = F.col("_c").cast("double"), F.col("_m"), F.col("n_kmers"), F.col("n_types")
     whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     steps = steps.withColumn("_n", F.sum(F.col("_c") * m).over(whole)).withColumn("_cov", 1 - F.sum(F.when(F.col("_c") == 1, m).otherwise(0)).over(whole) / F.col("_n"))

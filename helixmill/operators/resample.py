@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from hashlib import md5
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from helixmill.functions.stats import fisher_greater, fisher_two, normal_p, poisson_count, wilcoxon_p
-from helixmill.operators.moments import poisson_counts, replicate_sums
+from helixmill.operators.moments import HELD, poisson_counts, replicate_sums
 from helixmill.operators.ranks import with_mid_ranks
 from helixmill.operators.scores import pearson
 
@@ -43,24 +49,108 @@ def _k_log_k(k: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (k * np.log2(np.maximum(k, 1)))[:, :, None]
 
 
-def entropy_interval(counts: DataFrame, key: str, count: str, n: int = 100, alpha: float = 0.05, seed: str = "0", most_types: int = 500_000) -> DataFrame:
-    """Entropy with an interval: replicates of Poisson counts, shifted so that their mean is the estimate; over `most_types` types (a parameter; one row is read for it) the normal interval of the plug-in variance. Poisson counts are exact up to a mean of 30 and normal beyond."""
-    c = F.col(count).cast("double")
-    base = counts.agg(F.count("*").alias("types"), F.sum(c).alias("N"), F.sum(c * F.log2(c)).alias("s1"), F.sum(c * F.log2(c) ** 2).alias("s2"))
-    base = base.withColumn("h", F.log2("N") - F.col("s1") / F.col("N"))
-    row = base.first()
-    if row["types"] <= 1:
-        return base.select("h", F.col("h").alias("low"), F.col("h").alias("high"))
-    if row["types"] > most_types:
-        lg = F.log2("N")
-        second = F.col("s2") / F.col("N") - 2 * lg * F.col("s1") / F.col("N") + lg * lg
-        se = F.sqrt(F.greatest(F.lit(0.0), (second - F.col("h") ** 2) / F.col("N")))
-        z = {0.05: 1.959963984540054, 0.1: 1.6448536269514722, 0.01: 2.5758293035489004}[alpha]
-        return base.select("h", F.greatest(F.lit(0.0), F.col("h") - z * se).alias("low"), (F.col("h") + z * se).alias("high"))
-    drawn = replicate_sums(counts, key, {"c": c}, n, seed, draw=lambda u, v, x: poisson_counts(x[:, :1], u, v), made=_k_log_k, names=["klogk"])
+def entropy_interval(counts: DataFrame, key: str, count: str, n: int = 100, alpha: float = 0.05, seed: str = "0") -> DataFrame:
+    """Entropy with an interval: replicates of Poisson counts keyed by type, shifted so that their mean is the estimate; h twice for at most one type. Poisson counts are exact up to a mean of 30 and normal beyond (`estimator_intervals` draws them exactly)."""
+    base = _plug_in(counts, count)
+    drawn = replicate_sums(counts, key, {"c": F.col(count).cast("double")}, n, seed, draw=lambda u, v, x: poisson_counts(x[:, :1], u, v), made=_k_log_k, names=["klogk"])
     hs = drawn.where("w > 0").select((F.log2("w") - F.col("klogk") / F.col("w")).alias("b"))
     q = hs.agg(percentiles("b", alpha / 2, 1 - alpha / 2).alias("q"), F.avg("b").alias("m"))
-    return base.crossJoin(q).select("h", (F.col("q")[0] + F.col("h") - F.col("m")).alias("low"), (F.col("q")[1] + F.col("h") - F.col("m")).alias("high"))
+    bound = lambda i: F.when(F.col("types") > 1, F.col("q")[i] - F.col("m") + F.col("h")).otherwise(F.col("h"))
+    return base.crossJoin(q).select("h", bound(0).alias("low"), bound(1).alias("high"))
+
+
+def entropy_interval_normal(counts: DataFrame, count: str, alpha: float = 0.05) -> DataFrame:
+    """Entropy with the normal interval of the plug-in variance, for well-sampled counts: one pass, no draws."""
+    from statistics import NormalDist
+
+    lg, h = F.log2("N"), F.col("h")
+    second = F.col("s2") / F.col("N") - 2 * lg * F.col("s1") / F.col("N") + lg * lg
+    half = F.when(F.col("types") > 1, NormalDist().inv_cdf(1 - alpha / 2) * F.sqrt(F.greatest(F.lit(0.0), (second - h**2) / F.col("N")))).otherwise(0.0)
+    return _plug_in(counts, count).select("h", F.greatest(F.lit(0.0), h - half).alias("low"), (h + half).alias("high"))
+
+
+def _plug_in(counts: DataFrame, count: str) -> DataFrame:
+    """One row: types, N, the sums of c log2 c and c (log2 c)^2, and the entropy h."""
+    c = F.col(count).cast("double")
+    base = counts.agg(F.count("*").alias("types"), F.sum(c).alias("N"), F.sum(c * F.log2(c)).alias("s1"), F.sum(c * F.log2(c) ** 2).alias("s2"))
+    return base.withColumn("h", F.log2("N") - F.col("s1") / F.col("N"))
+
+
+def _poisson_range(mean: float) -> tuple[int, np.ndarray]:
+    """The first value and the probabilities of a Poisson distribution where they add up to 1 within a double's precision."""
+    reach = 12 * math.sqrt(mean) + 40
+    lo, hi = max(0, int(mean - reach)), int(mean + reach)
+    j = np.arange(lo, hi + 1, dtype=np.float64)
+    logs = np.concatenate([[0.0], np.cumsum(math.log(mean) - np.log(j[1:]))])  # against the first value
+    p = np.exp(logs - logs.max())
+    return lo, p / p.sum()
+
+
+def resampled_steps(steps: DataFrame, by: list[str], n: int, seed: str = "0") -> DataFrame:
+    """(by, replicate, _c, _m): how many types have each count in n replicates, in which a type's count is Poisson around its own.
+
+    Types of one count are drawn together: how many of them get 0, 1, 2 ... is a multinomial draw, taken by conditional
+    binomials over the values that can come up (about 24 sqrt(c)), or a Poisson draw a type where there are fewer types. So
+    work and rows depend on the number of different counts, not on that of types. Draws are keyed by group, count, replicates
+    and seed. Types that get 0 are not in a replicate.
+    """
+    types = [steps.schema[b] for b in by]
+    schema = T.StructType([*types, T.StructField("replicate", T.IntegerType()), T.StructField("_c", T.LongType()), T.StructField("_m", T.LongType())])
+    frame = steps.select(*by, (F.to_json(F.struct(*by)) if by else F.lit("")).alias("_g"), F.col("_c").cast("long").alias("_c"), F.col("_m").cast("long").alias("_m"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups, cs, ms = (batch.column(x).to_pylist() for x in ("_g", "_c", "_m"))
+            row, rep, val, num = [], [], [], []
+            held = 0
+
+            def flush() -> pa.RecordBatch:
+                at = pa.array(np.concatenate(row))
+                out = [batch.column(b).take(at) for b in by] + [pa.array(np.concatenate(rep), pa.int32()), pa.array(np.concatenate(val), pa.int64()), pa.array(np.concatenate(num), pa.int64())]
+                for x in (row, rep, val, num):
+                    x.clear()
+                return pa.RecordBatch.from_arrays(out, [*by, "replicate", "_c", "_m"])
+
+            for i, (g, c, m) in enumerate(zip(groups, cs, ms)):
+                rng = np.random.Generator(np.random.Philox(key=int.from_bytes(md5(f"{g}|{c}|{n}|{seed}".encode()).digest(), "big")))
+                lo, p = _poisson_range(c) if m > 24 * math.sqrt(c) + 80 else (0, None)
+                width = m if p is None else len(p)
+                for first in range(0, n, max(1, HELD // width)):
+                    reps = np.arange(first, min(n, first + max(1, HELD // width)))
+                    got = rng.poisson(c, (len(reps), m)) if p is None else rng.multinomial(m, p, len(reps))
+                    r, j = np.nonzero(got)
+                    row.append(np.full(len(r), i))
+                    rep.append(reps[r])
+                    val.append(got[r, j] if p is None else lo + j)
+                    num.append(np.ones(len(r), np.int64) if p is None else got[r, j])
+                    held += len(r)
+                    if held > HELD:
+                        yield flush()
+                        held = 0
+            if row:
+                yield flush()
+
+    return frame.mapInArrow(run, schema).where("_c > 0").groupBy(*by, "replicate", "_c").agg(F.sum("_m").alias("_m"))
+
+
+def estimator_intervals(steps: DataFrame, by: list[str], k: Column | int, estimators: list[str], n: int = 100, alpha: float = 0.05, seed: str = "0") -> DataFrame:
+    """(by, estimator, value, low, high) for any columns of kmers.entropy_summary, from (by, _c, _m) of kmers.count_steps.
+
+    The interval is that of the estimator's values in n replicates (`resampled_steps`), shifted so that their mean is the value.
+    A group of a single type has no variability: low and high are the value. Groups of null keys are groups as others are; an
+    empty table gives no rows.
+    """
+    from helixmill.operators.kmers import summary_of_steps
+
+    def long(df: DataFrame, *more: str) -> DataFrame:
+        return df.select(*by, *more, F.inline(F.array(*(F.struct(F.lit(e).alias("estimator"), F.col(e).cast("double").alias("value")) for e in estimators))))
+
+    drawn = long(summary_of_steps(resampled_steps(steps, by, n, seed), [*by, "replicate"], k))
+    q = drawn.groupBy(*by, "estimator").agg(percentiles("value", alpha / 2, 1 - alpha / 2).alias("_q"), F.avg("value").alias("_mean"))
+    own = long(summary_of_steps(steps, by, k), "n_types")
+    same = [F.col(f"o.{b}").eqNullSafe(F.col(f"q.{b}")) for b in [*by, "estimator"]]
+    bound = lambda i: F.when(F.col("n_types") > 1, F.coalesce(F.col("_q")[i] - F.col("_mean") + F.col("o.value"), F.col("o.value"))).otherwise(F.col("o.value"))
+    return own.alias("o").join(q.alias("q"), same, "left").select(*(F.col(f"o.{b}") for b in by), "o.estimator", "o.value", bound(0).alias("low"), bound(1).alias("high"))
 
 
 def composition_bootstrap(rows: DataFrame, key: str, label: str, p: str, classes: int, n: int = 20, size: int = 2000, soft: bool = True, seed: str = "0") -> DataFrame:

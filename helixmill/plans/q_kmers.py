@@ -82,6 +82,12 @@ def a03_a09_entropy_summary(spark, d):
     return rounded(K.entropy_summary(K.count_kmers(reads(spark, d), 7, ["corpus"]), ["corpus"], 7), *MEASURES)
 
 
+@query()
+def a09_summary_with_interval(spark, d):
+    """The whole summary row of each corpus with the interval of its entropy, from 200 replicates of the counts of counts."""
+    return K.entropy_summary(K.count_kmers(reads(spark, d), 7, ["corpus"]), ["corpus"], 7, replicates=200, seed="1")
+
+
 def unif(*key: str) -> str:
     return f"(('0x' || substr(md5(concat_ws('|', {', '.join(key)})), 1, 13))::BIGINT / {16**13}.0)"
 

@@ -59,7 +59,16 @@ def r11_entropy_interval(spark, d):
 @query("WITH c AS (SELECT count(*)::DOUBLE AS c, sum(count(*)) OVER () AS n FROM lineitem GROUP BY l_partkey), x AS (SELECT log2(sum(c)) - sum(c * log2(c)) / sum(c) AS e, sum(c / n * pow(log2(c / n), 2)) AS s, sum(c) AS t FROM c) SELECT round(e, 6) AS h, round(e - 1.959963984540054 * sqrt((s - e * e) / t), 6) AS low, round(e + 1.959963984540054 * sqrt((s - e * e) / t), 6) AS high FROM x")
 def r11_entropy_interval_normal(spark, d):
     x = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("c"))
-    return rounded(R.entropy_interval(x, "l_partkey", "c", most_types=1), "h", "low", "high")
+    return rounded(R.entropy_interval_normal(x, "c"), "h", "low", "high")
+
+
+@query()
+def r11_estimator_intervals(spark, d):
+    """Plain, Miller-Madow and Chao-Shen entropy of the parts sold by each supplier, with their intervals."""
+    from helixmill.operators.kmers import count_steps
+
+    x = table(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("c"))
+    return R.estimator_intervals(count_steps(x, ["l_suppkey"], "c"), ["l_suppkey"], 7, ["entropy", "miller_madow", "chao_shen"], 100)
 
 
 @query(f"""WITH {P}, n AS (SELECT label, count(*) AS n FROM t GROUP BY label), x AS (SELECT r, label, n, -ln(1 - {unif('r::VARCHAR', 'label::VARCHAR', "'0m'")}) AS e FROM n, unnest(range(10)) u(r)), m AS (SELECT r, label, e / sum(e) OVER (PARTITION BY r) * 500 / n AS mean FROM x),

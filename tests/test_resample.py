@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from helixmill.functions.seq import keyed_uniform
+from helixmill.operators import kmers as K
 from helixmill.operators import moments as M
 from helixmill.operators import resample as R
 
@@ -94,3 +95,59 @@ def test_stratum_contrasts_by_hand(spark):
     assert got["reference", "A-C"].wilcoxon_p < r.wilcoxon_p and got["within_quantifier", "C-B"].strata_lost == "s1,s2,s3"
     two = R.stratum_contrasts(df.where("stratum < 's2'"), "stratum", "method", "v", "A", 100).where("contrast = 'A-B'").first()
     assert two.ci_lo is None and two.ci_hi is None and two.n_strata == 2
+
+
+def by_count(spark, groups):
+    """(g, _c, _m) of groups {name: counts}."""
+    return K.count_steps(spark.createDataFrame([(g, c) for g, cs in groups.items() for c in cs], "g string, count long"), ["g"])
+
+
+def test_resampled_steps_follow_poisson_counts(spark):
+    """Types drawn together (100,000 of count 3) and one by one (2 of count 400) have the numbers that single draws would have."""
+    steps = spark.createDataFrame([("a", 3, 100_000), ("a", 400, 2), (None, 1, 1)], "g string, _c long, _m long")
+    got = R.resampled_steps(steps, ["g"], 200, "1").toPandas()
+    assert sorted(map(tuple, R.resampled_steps(steps.repartition(3), ["g"], 200, "1").collect()), key=str) == sorted(map(tuple, got.astype(object).where(got.notna(), None).values), key=str)
+    low = got[(got.g == "a") & (got._c < 100)]
+    for j in range(1, 9):
+        p = math.exp(-3) * 3**j / math.factorial(j)
+        m = low[low._c == j].groupby("replicate")._m.sum()
+        assert len(m) == 200 and abs(m.mean() - 1e5 * p) < 6 * math.sqrt(1e5 * p * (1 - p) / 200) and 0.7 < m.std() / math.sqrt(1e5 * p * (1 - p)) < 1.35
+    high = got[got._c >= 100]
+    assert high._m.sum() == 400 and abs((high._c * high._m).sum() / 400 - 400) < 6 and 15 < np.repeat(high._c, high._m).std() < 25
+    null = got[got.g.isna()]  # one type of count 1: it has none in e^-1 of the replicates
+    assert 100 < null.replicate.nunique() < 150 and set(null.replicate) <= set(range(200))
+
+
+def test_estimator_intervals_against_single_draws(spark):
+    """Each estimator's interval is that of a plain bootstrap of all types; a single type has none; no row without counts."""
+    rng = np.random.default_rng(5)
+    counts = rng.geometric(0.08, 300).tolist() + [1] * 40
+    got = {(r.g, r.estimator): r for r in R.estimator_intervals(by_count(spark, {"a": counts, "one": [42], "zero": [0]}), ["g"], 5, ["entropy", "miller_madow", "chao_shen"], 2_000).collect()}
+    assert {g for g, _ in got} == {"a", "one"} and all(r.value == r.low == r.high for (g, _), r in got.items() if g == "one")
+
+    def values(c):
+        c = c[c > 0].astype(float)
+        n, cov = c.sum(), 1 - (c == 1).sum() / c.sum()
+        h = math.log2(n) - (c * np.log2(c)).sum() / n
+        pa = cov * c / n
+        return h, h + (len(c) - 1) / (2 * n * math.log(2)), -(pa * np.log2(pa) / (1 - (1 - pa) ** n)).sum()
+
+    own = values(np.array(counts))
+    drawn = np.array([values(x) for x in rng.poisson(counts, (2_000, len(counts)))])
+    for i, e in enumerate(("entropy", "miller_madow", "chao_shen")):
+        r, spread = got["a", e], drawn[:, i].std()
+        assert abs(r.value - own[i]) < 1e-9 and r.low < r.value < r.high
+        for bound, q in ((r.low, 2.5), (r.high, 97.5)):
+            assert abs(bound - (np.percentile(drawn[:, i], q) - drawn[:, i].mean() + own[i])) < 0.25 * spread
+
+
+def test_summary_rows_with_intervals(spark):
+    df = spark.createDataFrame([("a", c) for c in (10, 20, 30, 40, 5, 5)] + [(None, 7)], "g string, count long")
+    rows = {r.g: r for r in K.entropy_summary(df, ["g"], 3, replicates=100, seed="7").collect()}
+    assert rows["a"].entropy_low < rows["a"].entropy < rows["a"].entropy_high
+    assert rows[None].entropy_low == rows[None].entropy == rows[None].entropy_high == 0
+    plain = {r.g: r for r in K.entropy_summary(df, ["g"], 3).collect()}
+    assert all(plain[g][c] == rows[g][c] for g in plain for c in plain[g].asDict())
+    whole = K.entropy_summary(df, [], 3, replicates=100).first()
+    assert whole.entropy_low < whole.entropy < whole.entropy_high and whole.n_types == 7
+    assert R.entropy_interval(df.where("g is null"), "count", "count").first() == R.entropy_interval_normal(df.where("g is null"), "count").first()
