@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,17 +86,18 @@ def base_code(kmer: Column) -> Column:
     return F.conv(F.translate(kmer, "ACGT", "0123"), 4, 10).cast("bigint")
 
 
-@F.pandas_udf(T.LongType())
-def splitmix_bucket(code: pd.Series, buckets: pd.Series) -> pd.Series:
-    """splitmix64 of a code, modulo the number of buckets. Unsigned 64-bit arithmetic, which SQL types don't have."""
-    import numpy as np
-
+def splitmix64(x: np.ndarray) -> np.ndarray:
+    """splitmix64 of unsigned 64-bit numbers. Their arithmetic is one that SQL types don't have."""
     # fixed values: the shifts and factors of splitmix64
-    x = code.to_numpy().astype(np.uint64)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    x = x ^ (x >> np.uint64(31))
-    return pd.Series((x % buckets.to_numpy().astype(np.uint64)).astype(np.int64))
+    return x ^ (x >> np.uint64(31))
+
+
+@F.pandas_udf(T.LongType())
+def splitmix_bucket(code: pd.Series, buckets: pd.Series) -> pd.Series:
+    """splitmix64 of a code, modulo the number of buckets."""
+    return pd.Series((splitmix64(code.to_numpy().astype(np.uint64)) % buckets.to_numpy().astype(np.uint64)).astype(np.int64))
 
 
 def packed(seq: Column, n: int, first: int = 0x4E00) -> Column:

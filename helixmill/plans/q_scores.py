@@ -252,3 +252,51 @@ def m02_m03_m04_kmer_classifier(spark, d):
         s = m.transform(x.where(F.col("fold") == f)).select("doc_id", "fold", "label", "prediction", vector_to_array("probability")[1].alias("score"))
         out = s if out is None else out.unionByName(s)
     return out
+
+
+def labelled_reads(spark, d):
+    from helixmill.plans.q_kmers import reads as cleaned
+
+    own = table(spark, d, "labels").select("doc_id", F.col("quality").cast("string").alias("label"))
+    return cleaned(spark, d).join(own, "doc_id").select("doc_id", "seq", "label")
+
+
+@query()
+def m02_k_ablation(spark, d):
+    """Cross-validated accuracy and macro F1 of k = 3, 4, 5 on all labelled reads."""
+    from helixmill.operators.classify import ablation
+    from helixmill.plans.q_streams import shared_folder
+
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    return ablation(labelled_reads(spark, d), "doc_id", "label", [3, 4, 5], 256, folds=3, seed="1", iterations=20)
+
+
+def baseline(spark, rows):
+    from helixmill.operators import classify as L
+
+    x = L.hashed_features(rows, "doc_id", [4], 256, 2, True).join(rows.select("doc_id", F.col("label").cast("double").alias("label")), "doc_id")
+    return L.fit_linear(x, rows.count(), iterations=20), x
+
+
+@query()
+def m03_baseline_table(spark, d):
+    """The linear baseline fitted on one keyed half of the labelled reads, evaluated on the other."""
+    from helixmill.operators import classify as L
+    from helixmill.operators.labels import halves
+
+    x = halves(labelled_reads(spark, d), "doc_id", "2")
+    model, _ = baseline(spark, x.where("half = 'fit'"))
+    rest = x.where("half = 'report'").select("doc_id", "seq", F.col("label").cast("double").alias("label"))
+    held = L.hashed_features(rest, "doc_id", [4], 256, 2, True).join(rest.select("doc_id", "label"), "doc_id")
+    return L.evaluation(L.transformed(model, held, "label"), "label", "prediction")
+
+
+@query()
+def m04_scored_reads(spark, d):
+    """Class probabilities of every read, labelled or not, by the baseline fitted on all labelled ones."""
+    from helixmill.operators import classify as L
+    from helixmill.plans.q_kmers import reads as cleaned
+
+    model, _ = baseline(spark, labelled_reads(spark, d))
+    return L.score_rows(cleaned(spark, d), L.linear_scorer(*L.linear_parts(model), 4, 2, True), ["doc_id"])
