@@ -7,8 +7,9 @@ bits, and two lines of a key are a pair only if their fingerprints allow it. Pai
 diagonals and t + 1 rows of errors, whose bits move together, one step a character; what both lines begin or end with
 is left out before, and a pair that cannot match any more takes no further steps.
 
-Every distinct line is known by its first place (document, number), which travels instead of its bytes. The texts are
-shuffled once, by document; that exchange serves the segments, the fingerprints and the result.
+Every distinct line is known by its first place (document, number), which travels instead of its bytes. The keys that meet
+are written and read again, so that their search runs once and its shuffle files go; it takes the texts by document, and
+one more shuffle of the texts serves the fingerprints, the lines of pairs and the result.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixmill.llm.common import free_name, table, texts_changed, with_row_ids
+from helixmill.llm.common import free_name, stored, table, texts_changed, with_row_ids
 
 DISTANCE = 2
 #: Near matches only: in a shorter line two edits are over a tenth of it and make another line of it (a number, a short word).
@@ -138,7 +139,7 @@ def meeting_pairs(lines: DataFrame, with_text: Callable[[DataFrame], DataFrame],
     filed = F.element_at("_v", 2).bitwiseAND(F.lit(1))
     shared = rows.groupBy("key").agg(F.count("*").alias("_n"), F.max(filed).alias("_f")).where("_n > 1 and _f = 1").select("key")
     id_ = F.struct(F.element_at("_v", 1).alias("doc"), F.shiftright(F.element_at("_v", 2), 1).cast("int").alias("no"))
-    met = rows.join(shared.hint("shuffle_hash"), "key").select("key", "_v").repartition(n, "key").select("key", id_.alias("id"), filed.alias("filed"))
+    met = stored(rows.join(shared.hint("shuffle_hash"), "key").select("key", id_.alias("id"), filed.alias("filed")), "lines")
     texts = with_text(met.select("id").distinct())
     # inside the array the optimizer cannot prune, so one exchange serves the fingerprints and both sides of the pairs
     texts = texts.select("id", F.array(F.struct("line", F.length("line").alias("n"), fingerprint(F.col("line")).alias("print"))).alias("_v")).repartition(n, "id")

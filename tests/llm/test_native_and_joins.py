@@ -153,6 +153,23 @@ def test_lines(spark, t):
     assert near and LD.dedup_lines(frame(spark, docs).limit(0)).count() == 0
 
 
+def test_lines_come_from_two_smaller_plans(spark):
+    """A plan that holds the search for keys at each place where its result is read is too large for a small driver."""
+    docs, sizes, plain = frame(spark, made()), [], LD.stored
+
+    def exchanges(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+    def seen(df, name):
+        sizes.append(exchanges(df))
+        return plain(df, name)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(LD, "stored", seen)
+        sizes.append(exchanges(LD.dedup_lines(docs)))
+    assert len(sizes) == 2 and max(sizes) <= 50, sizes
+
+
 def test_divide_skip():
     rng = random.Random(2)
     for _ in range(200):
