@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixmill.llm.common import ensure_checkpoint_dir, free_name, int64s, table, text_bytes, text_slices, with_row_ids
+from helixmill.llm.common import ensure_checkpoint_dir, free_name, int64s, lean, table, text_bytes, text_slices, with_row_ids
 
 WORDS = 5
 PERCENT = 75
@@ -345,7 +345,7 @@ def bitmap_of(ids: DataFrame, column: str, bits: int = 24) -> np.ndarray:
                 parts.setdefault(int(i), np.zeros(1 << 17, bool))[x[x >> 17 == i] & ((1 << 17) - 1)] = True
         yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([np.packbits(v).tobytes() for v in parts.values()], pa.binary())], ["part", "bits"])
 
-    dealt = ids.select(F.col(column).alias("x")).mapInArrow(run, "part long, bits binary").repartition(16, "part")
+    dealt = ids.select(F.col(column).alias("x")).mapInArrow(lean(run), "part long, bits binary").repartition(16, "part")
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, np.ndarray] = {}
@@ -356,7 +356,7 @@ def bitmap_of(ids: DataFrame, column: str, bits: int = 24) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([v.tobytes() for v in parts.values()], pa.binary())], ["part", "bits"])
 
     out = np.zeros(1 << (bits - 3), np.uint8)
-    for r in dealt.mapInArrow(unite, "part long, bits binary").collect():
+    for r in dealt.mapInArrow(lean(unite), "part long, bits binary").collect():
         out[r.part << 14 : (r.part + 1) << 14] = np.frombuffer(r.bits, np.uint8)
     return out
 
@@ -376,7 +376,7 @@ def packed_texts(sets: DataFrame, reps: DataFrame, frame: DataFrame) -> DataFram
             for part in text_slices(b, "text"):
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([squeeze((t or "").encode()) for t in part.column("text").to_pylist()], pa.binary())], ["key", "packed"])
 
-    return frame.mapInArrow(packed, "key long, packed binary").join(asked, "key").groupBy("set").agg(F.min("packed").alias("packed"))
+    return frame.mapInArrow(lean(packed), "key long, packed binary").join(asked, "key").groupBy("set").agg(F.min("packed").alias("packed"))
 
 
 def verified(pairs: DataFrame, reps: DataFrame, frame: DataFrame, words: int, percent: int) -> DataFrame:
@@ -388,7 +388,7 @@ def verified(pairs: DataFrame, reps: DataFrame, frame: DataFrame, words: int, pe
     firsts = salted.select("a", "salt").distinct().join(texts, F.col("a") == F.col("set")).select("a", "salt", F.lit(None).cast("long").alias("other"), "packed")
     others = salted.join(texts, F.col("b") == F.col("set")).select("a", "salt", F.col("b").alias("other"), "packed")
     dealt = firsts.unionByName(others).repartition(n, "a", "salt").sortWithinPartitions("a", "salt", F.col("other").asc_nulls_first())
-    return dealt.select("a", "other", "packed").mapInArrow(lambda b: settle(b, words, percent), "a long, b long").checkpoint()
+    return dealt.select("a", "other", "packed").mapInArrow(lean(lambda b: settle(b, words, percent)), "a long, b long").checkpoint()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -427,23 +427,23 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     named = with_row_ids(docs.select(F.col(key).cast("long").alias("own"), F.col(text).alias("text")), "own")
     frame = named.select(F.col("_id").alias("key"), "own", "text")
-    whole = frame.mapInArrow(lambda b: summaries(b, words), "key long, own long, set long, size long, cells binary").checkpoint()
+    whole = frame.mapInArrow(lean(lambda b: summaries(b, words)), "key long, own long, set long, size long, cells binary").checkpoint()
     frame = frame.select("key", "text")
     cells = np.zeros(SKETCH, np.int64)
-    for r in whole.where("size = -1").select("set", "cells").repartition(16, "set").mapInArrow(add_cells, "set long, cells binary").collect():
+    for r in whole.where("size = -1").select("set", "cells").repartition(16, "set").mapInArrow(lean(add_cells), "set long, cells binary").collect():
         cells[r.set * CHUNK : (r.set + 1) * CHUNK] = np.frombuffer(r.cells, "<i8")
     held = spark.sparkContext.broadcast(cells)
     rows = whole.where("size >= 0").select("key", "own", "set", "size")
     reps = rows.where("size > 0").groupBy("set").agg(F.min("key").alias("key"))
-    sent = frame.mapInArrow(lambda b: prefixes(b, held.value, words, percent), "shingle long, set long, size long")
-    met = sent.repartition(n, "shingle").mapInArrow(lambda b: first_pairs(b, percent), "kind byte, a long, b long, size long").checkpoint()
+    sent = frame.mapInArrow(lean(lambda b: prefixes(b, held.value, words, percent)), "shingle long, set long, size long")
+    met = sent.repartition(n, "shingle").mapInArrow(lean(lambda b: first_pairs(b, percent)), "kind byte, a long, b long, size long").checkpoint()
 
     links = verified(met.where("kind = 0").select("a", "b").distinct().checkpoint(), reps, frame, words, percent)
     comps = components(links)
     long = met.where("kind = 1").select(F.col("a").alias("shingle"), F.col("b").alias("set"), "size")
     if not long.isEmpty():
         labelled = long.join(comps, "set", "left").select("shingle", "set", "size", F.coalesce("comp", "set").alias("comp"))
-        open_ = labelled.repartition(n, "shingle").mapInArrow(lambda b: cross_pairs(b, percent), "a long, b long").distinct().checkpoint()
+        open_ = labelled.repartition(n, "shingle").mapInArrow(lean(lambda b: cross_pairs(b, percent)), "a long, b long").distinct().checkpoint()
         if not open_.isEmpty():
             links = links.unionByName(verified(open_, reps, frame, words, percent))
             comps = components(links)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixmill.llm.common import table, text_slices, texts_of
+from helixmill.llm.common import KEPT, lean, table, text_slices, texts_of
 from helixmill.llm.words import head_and_chunks
 
 CAPACITY = 2048
@@ -96,6 +96,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+KEPT["encoder"] = encoder.cache_clear
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -177,7 +180,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, length: str = "leng
         yield from whole.to_batches(max_chunksize=20_000)
 
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return dealt.mapInArrow(run, f"{names}, sequence_id long, offset long")
+    return dealt.mapInArrow(lean(run), f"{names}, sequence_id long, offset long")
 
 
 def tokenised_pieces(docs: DataFrame, path: str, end: int = 0, capacity: int = CAPACITY, with_ids: bool = False, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -186,7 +189,7 @@ def tokenised_pieces(docs: DataFrame, path: str, end: int = 0, capacity: int = C
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_encoder = encoder(path)
         for batch in batches:
-            for part in text_slices(batch, "text", 1 << 22):
+            for part in text_slices(batch, "text"):
                 rows, ids_out = [], []
                 for k, ids in zip(part.column("key").to_pylist(), own_encoder.many(texts_of(part.column("text")))):
                     ids = np.append(ids, np.uint32(end)).astype("<u4")
@@ -199,7 +202,7 @@ def tokenised_pieces(docs: DataFrame, path: str, end: int = 0, capacity: int = C
                 yield pa.RecordBatch.from_arrays(cols + ([pa.array(ids_out, pa.list_(pa.int32()))] if with_ids else []), ["key", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
 
     kind = docs.schema[key].dataType.simpleString()
-    out = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    out = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(lean(run, "encoder"), f"key {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
     return out.withColumnRenamed("key", key)
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixmill.llm.common import table, text_slices, texts_of
+from helixmill.llm.common import lean, table, text_slices, texts_of
 
 SYMBOLS = re.compile(rb"[#*$%&|<>]")
 MIN_REPEAT = 8
@@ -151,7 +151,7 @@ def _measured(frame: DataFrame, text: str | None, least: int) -> DataFrame:
                 cols = zip(*measures(texts_of(part.column("text")), least))
                 yield pa.RecordBatch.from_arrays([part.column("row"), *(pa.array(c, pa.int64()) for c in cols)], ["row", *COUNTS])
 
-    return frame.mapInArrow(run, ", ".join(["row " + frame.schema["row"].dataType.simpleString(), *(f"{c} long" for c in COUNTS)]))
+    return frame.mapInArrow(lean(run), ", ".join(["row " + frame.schema["row"].dataType.simpleString(), *(f"{c} long" for c in COUNTS)]))
 
 
 def _judged(got: DataFrame, min_words: int = MIN_WORDS, max_covered: float = MAX_COVERED, max_longest: float = MAX_LONGEST, longest_floor: int = LONGEST_FLOOR) -> DataFrame:

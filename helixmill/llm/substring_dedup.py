@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixmill.llm.common import free_name, int64s, table, text_bytes, text_slices, texts_changed, with_row_ids
+from helixmill.llm.common import free_name, int64s, lean, table, text_bytes, text_slices, texts_changed, with_row_ids
 from helixmill.llm.suffix_array import suffix_array
 
 LENGTH = 100
@@ -285,8 +285,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
     id_ = free_name(names, "_id")
     docs = with_row_ids(docs.select(*names), key, text, id_)
     frame = docs.select(F.col(id_).alias("key"), F.col(text).alias("text"))
-    sent = frame.mapInArrow(lambda b: send_anchors(b, length), ROW).repartition(n, "key")
-    found = sent.mapInArrow(decide, FOUND)
+    sent = frame.mapInArrow(lean(lambda b: send_anchors(b, length)), ROW).repartition(n, "key")
+    found = sent.mapInArrow(lean(decide), FOUND)
 
     def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
@@ -297,10 +297,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
 
     own = docs.select(F.col(id_).alias("key"), F.col(text).alias("text"), F.struct(*(docs[c] for c in kept)).alias("row"))
     row = own.schema["row"].dataType.simpleString()
-    texts = own.mapInArrow(zipped, f"doc long not null, row {row}, packed binary").repartition(n, "doc")
+    texts = own.mapInArrow(lean(zipped), f"doc long not null, row {row}, packed binary").repartition(n, "doc")
 
-    def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Slices of some MB of unpacked texts."""
         for b in batches:
+            yield from text_slices(b, "packed", 1 << 19)
+
+    def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in few(batches):
             out = []
             for doc, data, asked in zip(b.column("doc").to_pylist(), b.column("packed").to_pylist(), b.column("asked").to_pylist()):
                 whole = zstandard.ZstdDecompressor().decompress(data) if data else b""
@@ -312,7 +317,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ds, pa.int64()), pa.array(starts, pa.int64()), pa.array(data, pa.binary())], ["key", "doc", "start", "data"])
 
     asked = found.where(F.col("kind") == ASKED).groupBy("doc").agg(F.collect_list(F.struct("key", "lo")).alias("asked"))
-    stretches = texts.join(asked, "doc").select("doc", "packed", "asked", "row").mapInArrow(surroundings, "key long, doc long, start long, data binary")
+    stretches = texts.join(asked, "doc").select("doc", "packed", "asked", "row").mapInArrow(lean(surroundings), "key long, doc long, start long, data binary")
 
     def sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows in order of the key; a group is complete when the next key comes."""
@@ -340,12 +345,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
         close()
         yield flush()
 
-    sorted_ = stretches.repartition(n, "key").sortWithinPartitions("key").mapInArrow(sort_groups, FOUND)
+    sorted_ = stretches.repartition(n, "key").sortWithinPartitions("key").mapInArrow(lean(sort_groups), FOUND)
     cuts = found.where(F.col("kind") == DECIDED).select("doc", "lo", "hi").unionByName(sorted_.select("doc", "lo", "hi"))
     cuts = cuts.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("cuts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few(batches):
             rows, texts_out, kept_out = [], [], []
             for data, found in zip(b.column("packed").to_pylist(), b.column("cuts").to_pylist()):
                 whole = zstandard.ZstdDecompressor().decompress(data) if data else b""
@@ -363,7 +368,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
             cols = [pa.array(c, kind) for c, kind in zip(zip(*rows) if rows else ((),) * 4, (pa.int64(), pa.int64(), pa.int64(), pa.string()))]
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts_out, pa.string()), pa.array(kept_out, pa.binary()), *cols], ["row", "text", "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    done = texts.join(cuts, "doc", "left").select("doc", "packed", "cuts", "row").mapInArrow(cut, f"row {row}, text string, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    done = texts.join(cuts, "doc", "left").select("doc", "packed", "cuts", "row").mapInArrow(lean(cut), f"row {row}, text string, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return done.select(*(F.col("text").alias(text) if c == text else F.col(f"row.`{c}`").alias(c) for c in names), *new)
 
 
