@@ -86,6 +86,46 @@ def test_chunked_encoding_is_the_tokenizers():
         assert own.ids(t).tolist() == plain.encode(t, add_special_tokens=False).ids, t
 
 
+def test_pieces_of_chunks_encode_as_in_the_text():
+    from tokenizers import Tokenizer
+
+    own, plain, rng = Encoder(P.path("byte_bpe_50k.json"), most=3000), Tokenizer.from_file(P.path("byte_bpe_50k.json")), random.Random(5)
+    signs = ["  ", "\n", "\n\n", "\t", "\r\n", "\u00a0", "\u2003", "\u3000", "\u0085", "\u180e", "\x1c", "\x00", "\x7f", "'s", "'", "\u2019t", "\u201c", "\u00d7", "\u00f7", "\u00aa", "\u00b2", "\u0301", "\u0660", "\u4e2d\u6587", "\U0001f600", "\u03b1"]
+    signs += ["the", "And", "\u00e9t\u00e9", "\u017ftra\u00dfe", "\u0434\u043e\u043c", "x1y22", ".", ",", "?!", "#%", "_", "'ll", "<|", "<|endoftext|>"]
+    for _ in range(150):
+        many = ["".join(rng.choice(signs) if rng.random() < 0.5 else rng.choice([" ", " the", ".", "\n", " 12", " Re"]) for _ in range(rng.randrange(12))) for _ in range(8)]
+        assert [x.tolist() for x in own.many(many)] == [plain.encode(t, add_special_tokens=False).ids for t in many], many
+    long = " ".join(rng.choices(signs, k=3000)).replace("<|endoftext|>", "") + "x" * 1000
+    Encoder.PLACED, before = 100, Encoder.PLACED
+    try:
+        assert own.ids(long).tolist() == plain.encode(long, add_special_tokens=False).ids
+    finally:
+        Encoder.PLACED = before
+
+
+def test_words_are_encoded_once_whatever_signs_follow():
+    own, sent = Encoder(P.path("byte_bpe_50k.json")), []
+
+    class Counted:
+        def __init__(self, of):
+            self.of = of
+
+        def encode_batch_fast(self, texts, **more):
+            sent.extend(texts)
+            return self.of.encode_batch_fast(texts, **more)
+
+        def tokenize(self, text):
+            sent.append(text)
+            return self.of.tokenize(text)
+
+    words = [a + b for a in ("thorre", "ciónes", "lyouble") for b in "abcdefgh"]
+    text = " ".join(w + s + v for w in words for v in ("", "\nThe") for s in (".", ",", "?!", "###", ""))
+    want = own.tokenizer.encode(text, add_special_tokens=False).ids
+    own.tokenizer, own.model = Counted(own.tokenizer), Counted(getattr(own, "model", None))
+    assert own.ids(text).tolist() == want and own.ids(text).tolist() == want
+    assert sum(map(len, sent)) < 2 * sum(map(len, words))  # the text has 13 times as many characters
+
+
 def test_pack_fits_and_fills():
     rng = random.Random(1)
     for cap in (7, 100, 2048):
