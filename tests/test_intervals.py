@@ -102,3 +102,44 @@ def test_strandedness_by_its_thresholds(spark):
 def test_strand_histogram(spark):
     rows = I.strand_histogram(strand_rows(spark, [0.0, 0.05, 0.3, 0.55, 1.0, 0.99])).orderBy("bucket").collect()
     assert [r.n for r in rows] == [2, 0, 0, 1, 0, 1, 0, 0, 0, 2]
+
+
+def all_stretches(cigar):
+    import re
+
+    at, out = 0, []
+    for n, op in re.findall(r"(\d+)([MIDNSHP=X])", cigar):
+        out += [(at, at + int(n))] * (op in "M=X")
+        at += int(n) * (op in "MDN=X")
+    return out
+
+
+def pair_rows_shuffled(df):
+    """Exchanges of the plan that stand above a join of reads and features."""
+    lines, above = df._jdf.queryExecution().optimizedPlan().toString().split("\n"), 0
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    for i, x in enumerate(lines):
+        if "Aggregate" in x or "Window" in x:
+            below = [lines[j] for j in range(i + 1, len(lines)) if all(depth[k] > depth[i] for k in range(i + 1, j + 1))]
+            above += any("_bin" in y and "Join Inner" in y for y in below)
+    return above
+
+
+def test_full_length_sums_stretches_inside_the_pair(spark):
+    """Few and many stretches, a read twice at one place, an element twice, gaps that hold a whole element; no pair is grouped."""
+    rng = random.Random(4)
+    cigars = ["30M", "5S10M5N10M", "3M2N3M2D4M1I5M9N6X", "2M3N" * 11 + "4=", "1M1N" * 7 + "2M", "4M60N4M"]
+    reads = [(i, rng.choice("ab"), rng.choice("+-"), s := rng.randrange(0, 400), s + max(e for _, e in all_stretches(c)), c) for i in range(60) for c in [rng.choice(cigars)]]
+    reads += reads[:5]
+    elements = [(f"g{i}", rng.choice("ab"), s := rng.randrange(0, 400), s + rng.choice([4, 20, 60, 300]), rng.choice("+-")) for i in range(40)]
+    elements += elements[:3]
+    want = {}
+    for read, c, strand, s, e, cigar in reads:
+        for gene, d, a, b, fs in elements:
+            for x, y in all_stretches(cigar):
+                if c == d and s + x < b and s + y > a:
+                    want[read, gene] = want.get((read, gene), 0) + min(s + y, b) - max(s + x, a)
+    got = I.full_length(spark.createDataFrame(reads, "read long, contig string, strand string, start long, end long, cigar string"), spark.createDataFrame(elements, "gene string, contig string, f_start long, f_end long, f_strand string"), 0.4, 9)
+    rows = got.collect()
+    assert {(r.read, r.gene): r.covered for r in rows} == want and len(rows) == len(want) > 100
+    assert pair_rows_shuffled(got) == 0
