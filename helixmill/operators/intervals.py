@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixmill.operators.ranks import running_sums
 
 #: Bins of level i are 128 * 8^i bases wide: 128, 1024, ... 2^34. An interval's own level is the lowest whose bins are as wide as it is long, so it touches two bins at most.
 FIRST_SHIFT, SHIFT, LEVELS = 7, 3, 10
@@ -68,8 +69,49 @@ def strict_overlap(pairs: DataFrame, share: float) -> DataFrame:
     return pairs.where(shared_bases() / (F.col("end") - F.col("start")) >= share)
 
 
+def places_of(marks: DataFrame, rows: DataFrame, places: dict[str, Column], contig: str = "contig") -> DataFrame:
+    """(contig, at, sums of the marks' other columns): a row a place that a mark has or that the rows ask for."""
+    sums = [c for c in marks.columns if c not in (contig, "at")]
+    asked = rows.select(contig, F.explode(F.array(*(c.cast("bigint") for c in places.values()))).alias("at"), *(F.lit(0).cast("bigint").alias(c) for c in sums))
+    both = marks.select(contig, F.col("at").cast("bigint").alias("at"), *(F.col(c).cast("bigint").alias(c) for c in sums)).unionByName(asked)
+    return both.where(F.col(contig).isNotNull() & F.col("at").isNotNull()).groupBy(contig, "at").agg(*(F.sum(c).alias(c) for c in sums))
+
+
+def read_off(rows: DataFrame, table: DataFrame, places: dict[str, Column], contig: str = "contig") -> DataFrame:
+    """The rows with <place>_<column> of the table's row at each place; 0 where a place or the contig is null."""
+    values = [c for c in table.columns if c not in (contig, "at")]
+    for name, at in places.items():
+        own = table.select(F.col(contig).alias("_on"), F.col("at").alias("_at"), *(F.col(c).alias(f"{name}_{c}") for c in values))
+        rows = rows.join(own, (F.col(contig) == F.col("_on")) & (at.cast("bigint") == F.col("_at")), "left").drop("_on", "_at")
+    return rows.withColumns({f"{n}_{c}": F.coalesce(f"{n}_{c}", F.lit(0).cast("bigint")) for n in places for c in values})
+
+
+def sums_upto(marks: DataFrame, rows: DataFrame, places: dict[str, Column], contig: str = "contig") -> DataFrame:
+    """The rows with <place>_<column>: the sum of the column over the marks (contig, at, columns) of the row's contig at the place or before it.
+
+    Marks are combined a place first; the sums run in ranges of places (running_sums) and are looked up, so the work is that of sorting both sides.
+    """
+    table = places_of(marks, rows, places, contig)
+    sums = [c for c in table.columns if c not in (contig, "at")]
+    table = running_sums(table, [contig], "at", {f"_u{c}": c for c in sums}).select(contig, "at", *(F.col(f"_u{c}").alias(c) for c in sums))
+    return read_off(rows, table, places, contig)
+
+
+def overlap_counts(left: DataFrame, right: DataFrame, kinds: dict[str, Column], contig: str = "contig", l: tuple[str, str] = ("start", "end"), r: tuple[str, str] = ("f_start", "f_end")) -> DataFrame:  # noqa: E741
+    """Adds to each left row, for each kind, how many right rows of that kind (a condition) overlap_join would pair it with. No pair is made.
+
+    All that start before a row's end meet it, less those that end at its start or before: two running counts, read off at two places.
+    """
+    end = lambda c, first: F.struct(F.col(c).alias("at"), *(F.coalesce(k.cast("bigint"), F.lit(0)).alias(f"{x}{i}") if x == first else F.lit(0).cast("bigint").alias(f"{x}{i}") for i, k in enumerate(kinds.values()) for x in "se"))
+    marks = right.where(F.col(r[0]) < F.col(r[1])).select(contig, F.explode(F.array(end(r[0], "s"), end(r[1], "e"))).alias("_m")).select(contig, "_m.*")
+    met = sums_upto(marks, left, {"_a": F.col(l[0]), "_b": F.col(l[1]) - 1}, contig)
+    some = F.col(l[0]) < F.col(l[1])
+    return met.select(*left.columns, *(F.when(some, F.col(f"_b_s{i}") - F.col(f"_a_e{i}")).otherwise(0).alias(k) for i, k in enumerate(kinds)))
+
+
 def without_overlap(left: DataFrame, right: DataFrame, key: list[str], **kw) -> DataFrame:
-    return left.join(overlap_join(left, right, **kw).select(*key), key, "left_anti")
+    """Left rows less all whose key has a row that overlap_join would pair."""
+    return left.join(overlap_counts(left, right, {"_met": F.lit(True)}, **kw).where("_met > 0").select(*key), key, "left_anti")
 
 
 def merged(intervals: DataFrame, by: list[str] = ["contig"], start: str = "start", end: str = "end", width: int = 1 << 16) -> DataFrame:
