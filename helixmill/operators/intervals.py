@@ -223,7 +223,8 @@ def start_profile(reads: DataFrame, elements: DataFrame, bins: int = 20) -> Data
 
 def track_flags(loci: DataFrame, elements: DataFrame, key: str, tracks: list[str], composites: dict[str, list[str]] = {}) -> DataFrame:
     """A flag per track that has an element on the locus, and composites that are true if any member is."""
-    met = overlap_join(loci, elements).groupBy(key).agg(*(F.bool_or(F.col("track") == t).alias(f"in_{t}") for t in tracks))
+    counts = overlap_counts(loci, elements, {f"_n{i}": F.col("track") == t for i, t in enumerate(tracks)})
+    met = counts.groupBy(key).agg(*(F.bool_or(F.col(f"_n{i}") > 0).alias(f"in_{t}") for i, t in enumerate(tracks)))
     out = loci.join(met, key, "left").withColumns({f"in_{t}": F.coalesce(F.col(f"in_{t}"), F.lit(False)) for t in tracks})
     any_of = lambda ts: F.greatest(*(F.col(f"in_{t}") for t in ts)) if len(ts) > 1 else F.col(f"in_{ts[0]}")
     return out.withColumns({name: any_of(ts) for name, ts in composites.items()})
