@@ -319,7 +319,8 @@ def membership_fractions(reads: DataFrame, loci: DataFrame, read: str, classes:
     """
     t = F.col("target")
     cls = F.when(t == "L1PA2", "L1PA2").when(t == "L1HS", "L1HS").when(t.startswith("L1PA"), "L1PA").when(F.col("family").startswith("LINE"), "LINE/L1").otherwise("NEGATIVE")
-    hits = overlap_join(reads, loci).withColumn("_class", cls).groupBy(read).agg(F.count("*").alias("_n"), *(F.count_if(F.col("_class") == c).alias(f"_{c}") for c in classes))
+    kinds = {"_n": F.lit(True)} | {f"_{c}": cls == c for c in classes}
+    hits = overlap_counts(reads, loci, kinds).where("_n > 0").groupBy(read).agg(*(F.sum(n).alias(n) for n in kinds))
     if unique_only:
         hits = hits.where("_n = 1")
     divided = classes if divided is None else divided

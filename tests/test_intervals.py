@@ -143,3 +143,38 @@ def test_full_length_sums_stretches_inside_the_pair(spark):
     rows = got.collect()
     assert {(r.read, r.gene): r.covered for r in rows} == want and len(rows) == len(want) > 100
     assert pair_rows_shuffled(got) == 0
+
+
+def joined_pairs(df):
+    """Whether the plan pairs intervals by bins."""
+    return "_bin" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def random_reads(rng, n=150):
+    reads = [(rng.randrange(n // 2), rng.choice("ab"), s := rng.randrange(-20, 400), s + rng.choice([0, 1, 5, 30, 200]), rng.choice("+-")) for _ in range(n)] + [(None, "a", 50, 60, "+"), (7_000, None, 50, 60, "+"), (7_001, "a", None, 60, "+")]
+    return reads, "read long, contig string, start long, end long, strand string"
+
+
+def test_counts_without_pairs_are_those_of_pairs(spark):
+    """Reads with several rows, empty ones and nulls; touching, nested and equal features."""
+    rng = random.Random(5)
+    reads, schema = random_reads(rng)
+    loci = [(f"g{i}", rng.choice("abc"), s := rng.randrange(-50, 450), s + rng.choice([0, 3, 10, 100]), rng.choice("xyz")) for i in range(30)] + [("n", None, 0, 400, "x")]
+    loci += loci[:4]
+    r, f = spark.createDataFrame(reads, schema), spark.createDataFrame(loci, "gene string, contig string, f_start long, f_end long, track string")
+    meets = lambda x, g: None not in (x[1], x[2], g[1]) and x[1] == g[1] and x[2] < x[3] and g[2] < g[3] and x[2] < g[3] and x[3] > g[2]
+    want = sorted((str(x), sum(meets(x, g) for g in loci), sum(meets(x, g) and g[4] == "y" for g in loci)) for x in reads)
+    got = I.overlap_counts(r, f, {"n": F.lit(True), "y": F.col("track") == "y"})
+    assert got.columns == [*r.columns, "n", "y"] and sorted((str(tuple(x[:5])), x.n, x.y) for x in got.collect()) == want and not joined_pairs(got)
+    hit = {x[0] for x in reads if x[0] is not None and any(meets(x, g) for g in loci)}
+    free = I.without_overlap(r, f, ["read"])
+    assert sorted(str(tuple(x)) for x in free.collect()) == sorted(str(x) for x in reads if x[0] not in hit) and not joined_pairs(free)
+    flags = I.track_flags(r, f, "read", ["x", "z"], {"any": ["x", "z"]})
+    on = lambda read, t: read is not None and any(meets(x, g) and g[4] == t for x in reads if x[0] == read for g in loci)
+    assert all((x.in_x, x.in_z, x.any) == (on(x.read, "x"), on(x.read, "z"), on(x.read, "x") or on(x.read, "z")) for x in flags.collect()) and flags.count() == len(reads) and not joined_pairs(flags)
+    named = f.withColumns({"target": F.when(F.col("track") == "x", "L1HS").otherwise("o"), "family": F.when(F.col("track") == "y", "LINE/L1").otherwise("SINE")})
+    shares = I.membership_fractions(r, named, "read", ["L1HS", "NEGATIVE"], ["L1HS"])
+    for x in (rows := shares.collect()):
+        all_hits = [g[4] for y in reads if y[0] == x.read for g in loci if meets(y, g)]
+        assert x.L1HS == all_hits.count("x") / len(all_hits) and x.NEGATIVE == all_hits.count("z")
+    assert len(rows) == len(hit) + any(x[0] is None and any(meets(x, g) for g in loci) for x in reads) and not joined_pairs(shares)
