@@ -233,21 +233,27 @@ def track_flags(loci: DataFrame, elements: DataFrame, key: str, tracks: list[str
 def coverage(features: DataFrame, reads: DataFrame, key: str, tile: int = 1 << 20) -> DataFrame:
     """Reads, covered bases and mean depth of each feature (key, contig, f_start, f_end), 0 without reads; a row a row of features.
 
-    Where the depth changes is counted before it is summed up: a feature has at most two such places a base, however many reads
-    it has. Pairs that share more than `tile` bases are cut there, so that a feature's places are summed tile by tile.
+    No pair is made: the bases of all reads before a place are a running sum of their starts and ends, and so are those of their
+    islands, whose borders are where the depth leaves 0 or comes back to it. A feature takes the differences of its two places.
+    `tile` has no effect any more: no sum goes over a pair's bases.
     """
     own = [key, "contig", "f_start", "f_end"]
-    met = overlap_join(reads, features.select(*own).distinct()).select(*own, F.greatest("start", "f_start").alias("a"), F.least("end", "f_end").alias("b"))
-    cut = met.select("*", F.posexplode(F.sequence(F.floor(F.col("a") / tile), F.floor((F.col("b") - 1) / tile))).alias("_nth", "_tile"))
-    a, b = F.greatest(F.col("a"), F.col("_tile") * tile), F.least(F.col("b"), (F.col("_tile") + 1) * tile)
-    ends = F.array(F.struct(a.alias("at"), F.lit(1).alias("step"), (F.col("_nth") == 0).cast("int").alias("read")), F.struct(b.alias("at"), F.lit(-1).alias("step"), F.lit(0).alias("read")))
-    steps = cut.select(*own, "_tile", F.explode(ends).alias("e")).groupBy(*own, "_tile", "e.at").agg(F.sum("e.step").alias("step"), F.sum("e.read").alias("reads"))
-    along = Window.partitionBy(*own, "_tile").orderBy("at")
-    deep = steps.select(*own, "reads", F.sum("step").over(along).alias("depth"), (F.lead("at").over(along) - F.col("at")).alias("bases"))
-    per = deep.groupBy(*own).agg(F.sum("reads").alias("n_reads"), F.sum(F.when(F.col("depth") > 0, F.col("bases"))).alias("covered"), F.sum(F.col("depth") * F.col("bases")).alias("_bases"))
-    out = features.select(*own).join(per, own, "left")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return out.select(*own, zero("n_reads").alias("n_reads"), zero("covered").alias("covered"), (zero("_bases") / (F.col("f_end") - F.col("f_start"))).alias("mean_depth"))
+    step = lambda c, s, e: F.struct(F.col(c).cast("bigint").alias("at"), F.lit(s).alias("starts"), F.lit(e).alias("ends"))
+    marks = reads.where(F.col("start") < F.col("end")).select("contig", F.explode(F.array(step("start", 1, 0), step("end", 0, 1))).alias("_m")).select("contig", "_m.*")
+    places = {"_a": F.col("f_start"), "_b": F.col("f_end")}
+    at = F.col("at")
+    table = places_of(marks, features, places).withColumn("moved", at * (F.col("starts") - F.col("ends")))
+    table = running_sums(table, ["contig"], "at", {"s": "starts", "e": "ends", "m": "moved"})
+    depth = F.col("s") - F.col("e")
+    before = depth - F.col("starts") + F.col("ends")
+    border = F.when((before == 0) & (depth > 0), 1).when((before > 0) & (depth == 0), -1).otherwise(0).cast("bigint")
+    table = table.select("contig", "at", "starts", "s", "e", (at * depth - F.col("m")).alias("bases"), border.alias("border")).withColumn("moved", at * F.col("border"))
+    table = running_sums(table, ["contig"], "at", {"i": "border", "m": "moved"})
+    table = table.select("contig", "at", "starts", "s", "e", "bases", (at * F.col("i") - F.col("m")).alias("covered"))
+    out, some = read_off(features.select(*own), table, places), F.col("f_start") < F.col("f_end")
+    here = lambda n: F.when(some, n).otherwise(0)
+    reads_in, grown = F.col("_b_s") - F.col("_b_starts") - F.col("_a_e"), lambda c: F.col(f"_b_{c}") - F.col(f"_a_{c}")
+    return out.select(*own, here(reads_in).alias("n_reads"), here(grown("covered")).alias("covered"), (here(grown("bases")) / (F.col("f_end") - F.col("f_start"))).alias("mean_depth"))
 
 
 def element_coverage(features: DataFrame, reads: DataFrame, key: str) -> DataFrame:

@@ -178,3 +178,10 @@ def test_counts_without_pairs_are_those_of_pairs(spark):
         all_hits = [g[4] for y in reads if y[0] == x.read for g in loci if meets(y, g)]
         assert x.L1HS == all_hits.count("x") / len(all_hits) and x.NEGATIVE == all_hits.count("z")
     assert len(rows) == len(hit) + any(x[0] is None and any(meets(x, g) for g in loci) for x in reads) and not joined_pairs(shares)
+
+
+def test_coverage_makes_no_pairs(spark):
+    r = spark.createDataFrame([("c", 0, 10), ("c", 5, 8), ("c", 10, 12), ("c", 20, 21)], "contig string, start long, end long")
+    f = spark.createDataFrame([("k", "c", 5, 25), ("m", "c", 12, 20), ("o", "c", 8, 10), ("o", None, 8, 10)], "key string, contig string, f_start long, f_end long")
+    got = I.coverage(f, r, "key")
+    assert sorted(tuple(x)[0:1] + tuple(x)[4:] for x in got.collect()) == [("k", 4, 8, 11 / 20), ("m", 0, 0, 0.0), ("o", 0, 0, 0.0), ("o", 1, 2, 1.0)] and not joined_pairs(got)
