@@ -161,12 +161,35 @@ def five_prime_hits(reads: DataFrame, windows: DataFrame) -> DataFrame:
     """Reads whose ends lie in 5' windows, under three conventions: strand_matched (the read's 5' end, strands agree), position_matched (either end, the one at the window's own 5' side), either_end (once per read and gene).
 
     reads: read, contig, start, end, strand. windows: gene, contig, f_start, f_end, f_strand. Returns gene and three counts.
+
+    Ends in a window are counted from running sums. A read with several ends there counts once under either_end: of its ends in
+    order, each one that is in the window with the one before it is taken off again; such neighbours are combined by place before
+    they meet windows. Genes of several windows take pairs of reads and windows.
     """
-    ends = reads.select("read", "contig", "strand", F.explode(F.array(F.struct(F.col("start").alias("start"), F.lit("+").alias("side")), F.struct((F.col("end") - 1).alias("start"), F.lit("-").alias("side")))).alias("e"))
-    ends = ends.select("read", "contig", "strand", "e.start", (F.col("e.start") + 1).alias("end"), "e.side")
-    met = overlap_join(ends, windows, levels=([0], None))
-    own = (F.col("side") == F.col("strand")) & (F.col("f_strand") == F.col("strand"))
-    return met.groupBy("gene").agg(F.count_if(own).alias("strand_matched"), F.count_if(F.col("side") == F.col("f_strand")).alias("position_matched"), F.count_distinct("read").alias("either_end"))
+    sized = windows.withColumn("_n", F.count("*").over(Window.partitionBy("gene")))
+    one, several = sized.where("_n = 1").drop("_n"), sized.where("_n > 1").drop("_n")
+    point = lambda at, side: F.struct(at.cast("bigint").alias("at"), F.lit(side).alias("side"))
+    ends = reads.select("read", "contig", "strand", F.explode(F.array(point(F.col("start"), "+"), point(F.col("end") - 1, "-"))).alias("e")).select("read", "contig", "strand", "e.*")
+    own, plus = F.col("side") == F.col("strand"), F.col("side") == "+"
+    flags = {"all": F.lit(True), "known": F.col("read").isNotNull(), "plus": plus, "minus": ~plus, "own_plus": own & plus, "own_minus": own & ~plus}
+    marks = ends.select("contig", "at", *(F.coalesce(v.cast("bigint"), F.lit(0)).alias(k) for k, v in flags.items()))
+    got = sums_upto(marks, one, {"_a": F.col("f_start") - 1, "_b": F.col("f_end") - 1})
+    inside = lambda c: F.col(f"_b_{c}") - F.col(f"_a_{c}")
+    on = lambda a, b: F.when(F.col("f_strand") == "+", inside(a)).when(F.col("f_strand") == "-", inside(b)).otherwise(0)
+    got = got.where("f_start < f_end").select(*windows.columns, inside("all").alias("_all"), inside("known").alias("_known"), on("own_plus", "own_minus").alias("strand_matched"), on("plus", "minus").alias("position_matched")).where("_all > 0")
+    # neighbours (p, q) among a read's ends on a contig, no wider apart than the widest window
+    whole = reads.where(F.col("read").isNotNull() & F.col("contig").isNotNull()).groupBy("contig", "read").agg(F.array_sort(F.flatten(F.collect_list(F.array(F.col("start").cast("bigint"), (F.col("end") - 1).cast("bigint"))))).alias("_p"))
+    near = whole.select("contig", F.explode(F.arrays_zip(F.slice("_p", F.lit(1), F.size("_p") - 1).alias("p"), F.slice("_p", F.lit(2), F.size("_p") - 1).alias("q"))).alias("_e")).select("contig", F.col("_e.p").alias("start"), (F.col("_e.q") + 1).alias("end"))
+    widest = one.agg(F.max(F.col("f_end") - F.col("f_start")).alias("_widest"))
+    near = near.crossJoin(F.broadcast(widest)).where(F.col("end") - F.col("start") <= F.col("_widest")).groupBy("contig", "start", "end").agg(F.count("*").alias("_pairs"))
+    spans = one.where("f_start < f_end").select("contig", "f_start", "f_end").distinct()
+    twice = overlap_join(near, spans).where((F.col("start") >= F.col("f_start")) & (F.col("end") <= F.col("f_end"))).groupBy("contig", "f_start", "f_end").agg(F.sum("_pairs").alias("_twice"))
+    got = got.join(twice, ["contig", "f_start", "f_end"], "left").select("gene", "strand_matched", "position_matched", (F.col("_known") - F.coalesce("_twice", F.lit(0))).alias("either_end"))
+    if not several.take(1):
+        return got
+    met = overlap_join(ends.select("read", "contig", "strand", F.col("at").alias("start"), (F.col("at") + 1).alias("end"), "side"), several, levels=([0], None))
+    rest = met.groupBy("gene").agg(F.count_if(own & (F.col("f_strand") == F.col("strand"))).alias("strand_matched"), F.count_if(F.col("side") == F.col("f_strand")).alias("position_matched"), F.count_distinct("read").alias("either_end"))
+    return got.unionByName(rest)
 
 
 def cigar_blocks(df: DataFrame, cigar: str = "cigar", start: str = "start") -> DataFrame:

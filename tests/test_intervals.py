@@ -185,3 +185,25 @@ def test_coverage_makes_no_pairs(spark):
     f = spark.createDataFrame([("k", "c", 5, 25), ("m", "c", 12, 20), ("o", "c", 8, 10), ("o", None, 8, 10)], "key string, contig string, f_start long, f_end long")
     got = I.coverage(f, r, "key")
     assert sorted(tuple(x)[0:1] + tuple(x)[4:] for x in got.collect()) == [("k", 4, 8, 11 / 20), ("m", 0, 0, 0.0), ("o", 0, 0, 0.0), ("o", 1, 2, 1.0)] and not joined_pairs(got)
+
+
+def test_five_prime_hits_once_a_read(spark):
+    """Reads of several rows, both ends in a window, windows that genes share, genes of one and of several windows, other strands; ends are not paired with windows for a distinct count."""
+    rng = random.Random(6)
+    reads, schema = random_reads(rng, 200)
+    windows = [(f"g{i}", rng.choice("ab"), s := rng.randrange(-20, 420), s + rng.choice([0, 1, 4, 9, 40]), rng.choice("+-.")) for i in range(50)]
+    windows += [("h", *w[1:]) for w in windows[:2]] + [("i", *windows[3][1:])] + [(None, "a", 40, 70, "+")]
+    r, make = spark.createDataFrame(reads, schema), lambda rows: spark.createDataFrame(rows, "gene string, contig string, f_start long, f_end long, f_strand string")
+    want = {}
+    for gene, c, a, b, fs in windows:
+        for read, d, s, e, strand in reads:
+            for at, side in ((s, "+"), (None if e is None else e - 1, "-")):
+                if c == d and at is not None and a <= at < b:
+                    n = want.setdefault(gene, [0, 0, set()])
+                    n[0] += side == strand == fs
+                    n[1] += side == fs
+                    n[2] |= {read} - {None}
+    got = I.five_prime_hits(r, make(windows))
+    assert {x.gene: (x.strand_matched, x.position_matched, x.either_end) for x in got.collect()} == {g: (a, b, len(c)) for g, (a, b, c) in want.items()}
+    plan = I.five_prime_hits(r, make(windows[:50]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "distinct" not in plan
