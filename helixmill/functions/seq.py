@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TILE = 128
 OUTER = 1 << 16
+#: Rows that packed takes at a time, so that its arrays stay small whatever the size of an Arrow batch.
+PACKED_ROWS = 256
+_DIGIT = np.full(256, 9, np.uint8)
+_DIGIT[[ord(c) for c in "ACGT"]] = range(4)
 
 
 def standardize(seq: Column) -> Column:
@@ -102,9 +108,36 @@ def splitmix_bucket(code: pd.Series, buckets: pd.Series) -> pd.Series:
 
 def packed(seq: Column, n: int, first: int = 0x4E00) -> Column:
     """Each n bases as one character; bases left over at the end go. Other characters than A, C, G and T raise an error."""
-    clean = F.when(F.length(F.translate(seq, "ACGT", "")) > 0, F.raise_error(F.lit("packed: only A, C, G and T"))).otherwise(seq)
-    steps = F.when(F.length(seq) >= n, F.sequence(F.lit(0), F.floor(F.length(seq) / n).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_join(F.transform(steps, lambda i: F.decode(F.unhex(F.lpad(F.hex(base_code(F.substring(clean, i * n + 1, F.lit(n))) + first), 4, "0")), "UTF-16BE")), "")
+    if n < 1 or not 0x800 <= first <= first + 4**n <= 0xD800:
+        raise ValueError(f"packed: {n} bases a character from {first} on leave the characters of three bytes")
+    return _packed(seq.cast("string"), F.lit(n), F.lit(first))
+
+
+@F.arrow_udf(T.StringType())
+def _packed(seq: pa.Array, n: pa.Array, first: pa.Array) -> pa.Array:
+    """packed, a batch at a time: characters from U+0800 to U+D7FF are three bytes of UTF-8, so a batch's text is one array of them."""
+    if not len(seq):
+        return pa.array([], pa.string())
+    k, start, out = n[0].as_py(), first[0].as_py(), []
+    for at in range(0, len(seq), PACKED_ROWS):
+        part = seq.slice(at, PACKED_ROWS)
+        rows = [x or b"" for x in pc.cast(part, pa.binary()).to_pylist()]
+        digits = _DIGIT[np.frombuffer(b"".join(rows), np.uint8)]
+        if (digits > 3).any():
+            raise ValueError("packed: only A, C, G and T")
+        sizes = np.array([len(x) for x in rows], np.int64)
+        begin, count = np.cumsum(sizes) - sizes, sizes // k
+        ends = np.concatenate(([0], np.cumsum(count)))
+        place = np.repeat(begin - ends[:-1] * k, count) + np.arange(ends[-1]) * k
+        code = np.zeros(len(place), np.int64)
+        for j in range(k):
+            code = code * 4 + digits[place + j]
+        code += start
+        text = np.empty((len(code), 3), np.uint8)
+        text[:, 0], text[:, 1], text[:, 2] = 0xE0 | code >> 12, 0x80 | code >> 6 & 63, 0x80 | code & 63
+        made = pa.StringArray.from_buffers(len(part), pa.py_buffer((ends * 3).astype(np.int32)), pa.py_buffer(text.tobytes()))
+        out.append(pc.if_else(pc.is_null(part), pa.scalar(None, pa.string()), made))
+    return pa.concat_arrays(out)
 
 
 def field(read_id: Column, i: int) -> Column:

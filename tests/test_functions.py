@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,3 +86,15 @@ def test_hits_and_labels(spark):
     best = S.better_hit(h(0.9, 0.5, "L1PA3#LINE/L1"), h(0.5, 0.9, "x"))
     r = one(spark, best, S.sequence_label(best, 0.8, 0.4), S.sequence_label(best, 0.95, 0.4), S.kmer_position(F.lit(100.0), F.lit("-"), F.lit(0), 10, F.lit(50)), S.significance(F.lit(0.02)))
     assert r.c0.target == "L1PA3#LINE/L1" and tuple(r.c1) == ("L1PA", "L1PA3") and tuple(r.c2) == ("NEGATIVE", "NEGATIVE") and r.c3 == 120.0 and r.c4 == "*"
+
+
+def test_packed_in_batches_is_python_of_each_row(spark):
+    """More rows than one slice, empty and null ones, left-over bases, one to four bases a character; it is one function, not a chain of columns a base."""
+    rng = random.Random(7)
+    rows = [(i, None if i % 50 == 0 else "".join(rng.choice("ACGT") for _ in range(rng.randrange(0, 40)))) for i in range(700)]
+    df = spark.createDataFrame(rows, "i long, s string").coalesce(1)
+    for n in (1, 2, 4):
+        want = {i: None if s is None else "".join(chr(0x4E00 + sum("ACGT".index(c) * 4 ** (n - 1 - j) for j, c in enumerate(s[p : p + n]))) for p in range(0, len(s) - n + 1, n)) for i, s in rows}
+        got = df.select("i", S.packed(F.col("s"), n).alias("p"))
+        assert {r.i: r.p for r in got.collect()} == want
+        assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()
