@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StringIndexer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -107,32 +107,60 @@ def score_rows(rows: DataFrame, load: Callable[[], Callable[[pa.RecordBatch], np
     return rows.mapInArrow(run, schema)
 
 
+_DIGIT = np.zeros(256, np.int64)
+_DIGIT[[ord(c) for c in "ACGT"]] = range(4)
+
+
+def bucket_shares(texts: list[str | None], k: int, buckets: int, norm: int = 1, canonical: bool = False, bases: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, row after it, bucket, value) of the vectors of hashed_features of standardized texts, k <= 31, for about `bases` characters at a time (a longer text alone)."""
+    first, size = 0, 0
+    for i, text in enumerate(texts):
+        n = len(text or "")
+        if size and size + n > bases:
+            yield first, *_bucket_shares(texts[first:i], k, buckets, norm, canonical)
+            first, size = i, 0
+        size += n
+    yield first, *_bucket_shares(texts[first:], k, buckets, norm, canonical)
+
+
+def _bucket_shares(texts: list[str | None], k: int, buckets: int, norm: int, canonical: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    texts = [(x or "").encode() for x in texts]
+    sizes = np.array([len(x) for x in texts], np.int64)
+    d, row = _DIGIT[np.frombuffer(b"".join(texts), np.uint8)], np.repeat(np.arange(len(texts)), sizes)
+    places = max(0, len(d) - k + 1)
+    code, back = np.zeros(places, np.int64), np.zeros(places, np.int64)
+    for j in range(k):
+        code = code * 4 + d[j : j + places]
+        back += (3 - d[j : j + places]) << (2 * j)
+    inside = row[:places] == row[len(row) - places :]
+    code = (np.minimum(code, back) if canonical else code)[inside]
+    bucket = (splitmix64(code.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    cell, n = np.unique(row[:places][inside] * buckets + bucket, return_counts=True)
+    at, b = cell // buckets, cell % buckets
+    total = np.bincount(at, n if norm == 1 else n.astype(float) ** 2, len(texts))
+    return at, b, n / (total if norm == 1 else np.sqrt(total))[at]
+
+
+def dense_features(rows: DataFrame, keep: list[str], k: int, buckets: int, norm: int = 1, canonical: bool = False, seq: str = "seq") -> DataFrame:
+    """The columns of `keep` and features: the vector of hashed_features for a single k and few buckets, a batch of rows at a time; no k-mer is shuffled."""
+
+    def run(batch: pa.RecordBatch) -> np.ndarray:
+        out = np.zeros((batch.num_rows, buckets))
+        for first, at, b, x in bucket_shares(batch.column(seq).to_pylist(), k, buckets, norm, canonical):
+            out[first + at, b] = x
+        return out
+
+    return score_rows(rows, lambda: run, keep, "features").withColumn("features", array_to_vector("features"))
+
+
 def linear_scorer(weights: np.ndarray, intercept: np.ndarray, k: int, norm: int = 1, canonical: bool = False, seq: str = "seq") -> Callable[[], Callable[[pa.RecordBatch], np.ndarray]]:
     """For score_rows: a linear model (classes x buckets) on the features of hashed_features, straight from standardized sequences of k <= 31."""
     buckets = weights.shape[1]
-    digit = np.full(256, 0, np.int64)
-    digit[[ord(c) for c in "ACGT"]] = range(4)
 
     def score(batch: pa.RecordBatch) -> np.ndarray:
-        texts = [(x or "").encode() for x in batch.column(seq).to_pylist()]
-        sizes = np.array([len(x) for x in texts])
-        d = digit[np.frombuffer(b"".join(texts), np.uint8)]
-        row = np.repeat(np.arange(len(texts)), sizes)
-        logits = np.tile(intercept, (len(texts), 1)).astype(np.float64)
-        places = len(d) - k + 1
-        if places > 0:
-            code, back = np.zeros(places, np.int64), np.zeros(places, np.int64)
-            for j in range(k):
-                code = code * 4 + d[j : j + places]
-                back += (3 - d[j : j + places]) << (2 * j)
-            inside = row[:places] == row[k - 1 :]
-            code = (np.minimum(code, back) if canonical else code)[inside]
-            bucket = (splitmix64(code.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-            cell, n = np.unique(row[:places][inside] * buckets + bucket, return_counts=True)
-            at, b = cell // buckets, cell % buckets
-            size = np.bincount(at, n if norm == 1 else n.astype(float) ** 2, len(texts))
-            x = n / (size if norm == 1 else np.sqrt(size))[at]
-            np.add.at(logits, at, weights[:, b].T * x[:, None])
+        logits = np.tile(intercept, (batch.num_rows, 1)).astype(np.float64)
+        for first, at, b, x in bucket_shares(batch.column(seq).to_pylist(), k, buckets, norm, canonical):
+            np.add.at(logits, first + at, weights[:, b].T * x[:, None])
         e = np.exp(logits - logits.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 

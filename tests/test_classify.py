@@ -96,3 +96,22 @@ def test_evaluation_by_hand(spark):
     got = {r["class"]: r for r in L.evaluation(df, "label", "pred").collect()}
     assert (got[0].support, got[0].precision, got[0].recall) == (4, 1.0, 0.75) and (got[1].precision, got[1].recall) == (0.5, 1.0)
     assert got[2].f1 == 0 and abs(got[0].accuracy - 5 / 7) < 1e-12 and abs(got[0].macro_f1 - (6 / 7 + 2 / 3 + 0) / 3) < 1e-12
+
+
+def test_dense_features_are_the_hashed_ones(spark):
+    """Short, empty and null reads, both norms, slices of one text and of many; no k-mer leaves its row, so nothing is shuffled."""
+    import random
+
+    from helixmill.operators.classify import bucket_shares, dense_features, hashed_features
+
+    rng = random.Random(8)
+    texts = ["", "ACG", None, "ACGTA"] + ["".join(rng.choice("ACGT") for _ in range(rng.randrange(1, 300))) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, seq string")
+    for norm, canonical in ((1, False), (2, True)):
+        want = {r.id: r.features.toArray() for r in hashed_features(df, "id", [5], 64, norm, canonical).collect()}
+        made = dense_features(df, ["id"], 5, 64, norm, canonical)
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+        got = {r.id: r.features.toArray() for r in made.collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]).max() < 1e-12 for i in want)
+        whole, cut = ({(f + a, b): x for f, at, bs, xs in bucket_shares(texts, 5, 64, norm, canonical, n) for a, b, x in zip(at.tolist(), bs.tolist(), xs.tolist())} for n in (1 << 20, 50))
+        assert whole == cut and whole
