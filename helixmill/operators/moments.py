@@ -23,7 +23,7 @@ HELD = 1 << 20
 SUMS = 1 << 23
 
 
-def keyed_uniforms(keys: list[str], suffixes: list[bytes]) -> np.ndarray:
+def keyed_uniforms(keys: list[str | None], suffixes: list[bytes]) -> np.ndarray:
     """keyed_uniform(key, *suffix) for all keys (rows) and suffixes (columns), as the SQL functions give it."""
     try:
         from _md5 import md5  # the same function with less ado
@@ -31,7 +31,7 @@ def keyed_uniforms(keys: list[str], suffixes: list[bytes]) -> np.ndarray:
         from hashlib import md5
     out = np.empty((len(keys), len(suffixes)))
     for i, k in enumerate(keys):
-        head = k.encode() + b"|"
+        head = b"" if k is None else k.encode() + b"|"
         out[i] = (np.frombuffer(b"".join([md5(head + s).digest() for s in suffixes]), ">u8")[::2] >> np.uint64(12)) / 2.0**52
     return out
 

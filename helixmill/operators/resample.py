@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixmill.functions.stats import fisher_greater, fisher_two, normal_p, poisson_count, wilcoxon_p
-from helixmill.operators.moments import HELD, poisson_counts, replicate_sums
-from helixmill.operators.ranks import with_mid_ranks
+from helixmill.functions.stats import fisher_greater, fisher_two, normal_p, wilcoxon_p
+from helixmill.operators.moments import HELD, keyed_uniforms, poisson_counts, replicate_sums
+from helixmill.operators.ranks import running_sums, with_mid_ranks
 from helixmill.operators.scores import pearson
 
 
@@ -292,6 +292,29 @@ def stratum_contrasts(rows: DataFrame, stratum: str, method: str, value: str, re
     return out.select(*by, "n_strata", "n_won", "strata_lost", "mean_delta", "min_delta", F.when(three, F.col("q")[0]).alias("ci_lo"), F.when(three, F.col("q")[1]).alias("ci_hi"), "wilcoxon_p", (2 / F.pow(F.lit(2.0), "n_strata")).alias("p_floor"))
 
 
+def pooled_draws(pool: DataFrame, n: int, seed: str) -> DataFrame:
+    """(_p, replicate, sa, sb): n keyed Poisson counts around a row's means _ma and _mb, those of poisson_count(mean, _key, replicate, seed + side)."""
+    schema = T.StructType([pool.schema["_p"], T.StructField("replicate", T.IntegerType()), T.StructField("sa", T.DoubleType()), T.StructField("sb", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, HELD // (4 * n))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                keys, sides = part.column("_key").to_pylist(), []
+                for side, mean in (("a", "_ma"), ("b", "_mb")):
+                    m = np.asarray(part.column(mean).fill_null(0.0))[:, None]
+                    v = np.zeros((len(keys), n))
+                    wide = np.flatnonzero(m[:, 0] > 30)  # only these take a second number
+                    if len(wide):
+                        v[wide] = keyed_uniforms([keys[i] for i in wide], [f"{r}|{seed}{side}|n".encode() for r in range(n)])
+                    sides.append(poisson_counts(m, keyed_uniforms(keys, [f"{r}|{seed}{side}".encode() for r in range(n)]), v).ravel())
+                own = pa.array(np.repeat(np.arange(len(keys)), n))
+                yield pa.RecordBatch.from_arrays([part.column("_p").take(own), pa.array(np.tile(np.arange(n, dtype=np.int32), len(keys))), *map(pa.array, sides)], schema.names)
+
+    return pool.mapInArrow(run, schema)
+
+
 def noise_ceiling(rows: DataFrame, key: str, a: str, b: str, floors: list[int], n: int = 20, seed: str = "0") -> DataFrame:
     """For each floor of the pooled count: loci, observed agreement (rank, log10 and concordance with sample covariance), and the rank correlation that two draws from the pooled profile reach."""
     marked = rows.fillna(0, [a, b]).withColumn("_p", F.col(a) + F.col(b)).select("*", F.explode(F.array(*map(F.lit, floors))).alias("floor")).where(F.col("_p") >= F.greatest("floor", F.when(F.col("floor") > 0, 1).otherwise(0)))
@@ -299,12 +322,20 @@ def noise_ceiling(rows: DataFrame, key: str, a: str, b: str, floors: list[int],
     down = F.var_pop("_la") + F.var_pop("_lb") + F.pow(F.avg("_la") - F.avg("_lb"), 2)
     own = x.groupBy("floor").agg(F.count("*").alias("n_loci"), F.count_if((F.col(a) > 0) & (F.col(b) > 0)).alias("detected_both"), pearson("_ra", "_rb").alias("rho"), (pearson("_la", "_lb") ** 2).alias("r2_log10"), (2 * F.covar_samp("_la", "_lb") / F.nullif(down, F.lit(0.0))).alias("ccc_log10"))
     totals = rows.agg(F.sum(a).alias("_na"), F.sum(b).alias("_nb"))
-    sim = marked.select(key, "floor", "_p").crossJoin(F.broadcast(totals)).select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("replicate"))
-    share = F.col("_p") / (F.col("_na") + F.col("_nb"))
-    draw = lambda total, side: poisson_count(share * F.col(total), F.col(key).cast("string"), F.col("replicate").cast("string"), F.lit(seed + side))
-    sim = sim.withColumns({"sa": draw("_na", "a"), "sb": draw("_nb", "b")})
+    # a locus is drawn once a replicate for all floors; loci of the same two counts are then one row with a number for each floor
+    pool = rows.fillna(0, [a, b]).withColumn("_p", F.col(a) + F.col(b)).crossJoin(F.broadcast(totals))
+    share, least = F.col("_p") / (F.col("_na") + F.col("_nb")), [F.col("_p") >= max(f, 1 if f > 0 else 0) for f in floors]
+    drawn = pooled_draws(pool.select(F.col(key).cast("string").alias("_key"), (share * F.col("_na")).alias("_ma"), (share * F.col("_nb")).alias("_mb"), "_p"), n, seed)
+    cells = drawn.groupBy("replicate", "sa", "sb").agg(*(F.count_if(on).alias(f"_w{i}") for i, on in enumerate(least)))
+    each = F.array(*(F.struct(F.lit(f).alias("floor"), F.col(f"_w{i}").alias("_w")) for i, f in enumerate(floors)))
+    cells = cells.select("replicate", "sa", "sb", F.inline(each)).where("_w > 0")
     by = ["floor", "replicate"]
-    sim = with_mid_ranks(sim, by, {"_ra": "sa", "_rb": "sb"}).groupBy(*by).agg(pearson("_ra", "_rb").alias("r"))
+    for x in ("sa", "sb"):
+        ranks = running_sums(cells.groupBy(*by, x).agg(F.sum("_w").alias("_n")), by, x, {"_upto": "_n"})
+        # ranks with ties at their mean, less the mean of all
+        cells = cells.join(ranks.select(*by, x, (F.col("_upto") - (F.col("_n") - 1) / 2 - (F.col("total__upto") + 1) / 2).alias(f"_r{x}")), [*by, x])
+    ra, rb, w = F.col("_rsa"), F.col("_rsb"), F.col("_w")
+    sim = cells.groupBy(*by).agg((F.sum(w * ra * rb) / F.nullif(F.sqrt(F.sum(w * ra * ra)) * F.sqrt(F.sum(w * rb * rb)), F.lit(0.0))).alias("r"))
     top = sim.groupBy("floor").agg(F.avg("r").alias("ceiling"), percentiles("r", 0.05, 0.95).alias("q"))
     return own.join(top, "floor", "left").select("floor", "n_loci", "detected_both", "rho", "r2_log10", "ccc_log10", "ceiling", F.col("q")[0].alias("ceiling_p05"), F.col("q")[1].alias("ceiling_p95"), (100 * F.col("rho") / F.nullif("ceiling", F.lit(0.0))).alias("pct_of_ceiling"))
 

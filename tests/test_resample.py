@@ -2,11 +2,13 @@
 
 import hashlib
 import math
+import random
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from helixmill.functions.seq import keyed_uniform
+from helixmill.functions.stats import poisson_count
 from helixmill.operators import kmers as K
 from helixmill.operators import moments as M
 from helixmill.operators import resample as R
@@ -151,3 +153,23 @@ def test_summary_rows_with_intervals(spark):
     whole = K.entropy_summary(df, [], 3, replicates=100).first()
     assert whole.entropy_low < whole.entropy < whole.entropy_high and whole.n_types == 7
     assert R.entropy_interval(df.where("g is null"), "count", "count").first() == R.entropy_interval_normal(df.where("g is null"), "count").first()
+
+
+def test_noise_ceiling_draws_once_for_all_floors(spark):
+    """Against pandas' ranks of poisson_count's own numbers, with small and large means and a null key; draws are no chain of columns and are counted before they are ranked."""
+    import pandas as pd
+
+    rng = random.Random(9)
+    rows = [(f"k{i}", None if i % 9 == 0 else rng.randrange(0, 12), rng.choice([0, 3, 8, 90])) for i in range(120)] + [(None, 4, 5)]
+    df = spark.createDataFrame(rows, "k string, x long, y long")
+    got = R.noise_ceiling(df, "k", "x", "y", [0, 5, 20], 4, "s")
+    na, nb = sum(r[1] or 0 for r in rows), sum(r[2] for r in rows)
+    p = F.coalesce("x", F.lit(0)) + F.col("y")
+    side = lambda total, name: poisson_count(p / (na + nb) * total, F.col("k"), F.col("r").cast("string"), F.lit(f"s{name}"))
+    sim = df.crossJoin(spark.range(4).withColumnRenamed("id", "r")).select(p.alias("p"), "r", side(na, "a").alias("a"), side(nb, "b").alias("b")).toPandas()
+    for x in got.collect():
+        own = sim[sim.p >= x.floor]
+        r = [g.a.rank().corr(g.b.rank()) for _, g in own.groupby("r")]
+        assert abs(x.ceiling - pd.Series(r).mean()) < 1e-9 and abs(x.ceiling_p05 - pd.Series(r).quantile(0.05)) < 1e-9
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan
